@@ -27,42 +27,71 @@ END_ID = 0
 #: Buckets in which pieces of one length are numbered; hot lengths (whole sequences above all) spread over them.
 RANK_BUCKETS = 1024
 #: Distinct words whose ids a worker keeps; then it starts afresh.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 
 _WORD = re.compile(r"[^ \n]+")
+#: Characters that str.split() takes for white space and the vocabulary's rules do not.
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f]")
+#: A plain word is of letters whose lower case is one letter of the same alphabet, then ASCII marks other than the apostrophe.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_NOT_PLAIN = re.compile(rf"[^ {_LETTERS}{_MARKS}]|(?<=[{_MARKS}])[{_LETTERS}]")
+#: By byte of Latin-1: 1 for letters, 2 for marks.
+_KINDS = np.array([1 if re.match(f"[{_LETTERS}]", chr(b)) else 2 if re.match(f"[{_MARKS}]", chr(b)) else 0 for b in range(256)], dtype=np.uint8)
 
 
 class WordEncoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes, for vocabularies in which no token spans white space.
+    """Ids of texts, as little-endian unsigned 32-bit bytes, for the vocabulary that drops white space and marks word ends.
 
-    New words of a batch are encoded together in one call, and kept: the ids of a
-    text are those of its words in turn.
+    The ids of a text are those of its words in turn, so the ids of each distinct
+    word are kept. A new word of letters, or of letters and then ASCII marks, is
+    split as the vocabulary's own rules do and only merged here, many in one call;
+    any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self._whole = Tokenizer.from_file(path)
+        self._merges = Tokenizer(self._whole.model)
+        self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ids = self._whole.get_vocab(with_added_tokens=True)
+        # the byte alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self._alphabet = {b: chr(256 + n) for n, b in enumerate(odd) if b not in (10, 32)}
+        self._odd = re.compile("[" + "".join(map(re.escape, map(chr, self._alphabet))) + "]")
+        self._ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
         self._memo: dict[str, bytes] = {}
 
     def _learn(self, fresh: list[str]) -> None:
-        joined = " ".join(fresh)
-        got = self._tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u4")
-        starts = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(ids))
         ends = np.cumsum(np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh)) + 1)
-        cuts = np.searchsorted(starts, ends)
-        raw, at = ids.tobytes(), 0
-        for word, cut in zip(fresh, cuts.tolist(), strict=True):
-            self._memo[word] = raw[4 * at : 4 * cut]
-            at = cut
+        odd = {int(i) for i in np.searchsorted(ends, [m.start() for m in _NOT_PLAIN.finditer(" ".join(fresh))], side="right")}
+        if odd:
+            for i in odd:
+                self._memo[fresh[i]] = np.array(self._whole.encode(fresh[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            fresh = [word for i, word in enumerate(fresh) if i not in odd]
+        if not fresh:
+            return
+        flat = np.frombuffer("\n".join(fresh).lower().encode("latin-1"), dtype=np.uint8)
+        kind = _KINDS[flat]
+        cut = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1  # where marks follow letters
+        lines = np.flatnonzero(flat == 10)
+        parts = np.searchsorted(cut, np.append(lines, len(flat))) + np.arange(1, len(fresh) + 1)  # parts up to each word's end
+        spaced = np.insert(flat, cut, 32).tobytes().decode("latin-1").encode().decode("latin-1")
+        mapped = self._odd.sub(lambda m: self._alphabet[ord(m[0])], spaced)
+        ids = np.array(self._merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != parts[-1]:
+            raise ValueError("the vocabulary does not keep words apart")
+        raw, stops = ids.tobytes(), (ends[parts - 1] * 4).tolist()
+        self._memo.update(zip(fresh, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. Works through the batch in parts of a few million characters."""
         part: list[list[str]] = []
         size = 0
         for text in texts:
-            part.append(_WORD.findall(text) if "\n" in text else text.split(" "))
+            part.append(_WORD.findall(text) if _OTHER_SPACE.search(text) else text.split())
             size += len(text)
             if size > 2_000_000:
                 yield from self._encoded(part)
@@ -73,10 +102,8 @@ class WordEncoder:
         if len(self._memo) > MEMO_WORDS:
             self._memo = {}
         fresh = set().union(*part) - self._memo.keys()
-        fresh.discard("")
         if fresh:
-            self._learn(sorted(fresh))
-        self._memo[""] = b""
+            self._learn(list(fresh))
         get = self._memo.__getitem__
         for found in part:
             yield b"".join(map(get, found))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding
+from . import packing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_table(spark, sf_dir, "documents"), 40)
 
@@ -19,6 +23,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS body FROM documents),
 w AS (SELECT doc_id, host, body, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
@@ -43,5 +51,10 @@ SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
 FROM base
 """
 
-QUERIES = {"op4_sharding": op4_sharding, "op8_quality_rules": op8_quality_rules}
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_sharding": op4_sharding,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_secret_scans": op10_secret_scans,
+}
 ORACLES = {"op8_quality_rules": OP8_SQL}
