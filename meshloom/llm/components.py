@@ -1,0 +1,43 @@
+"""Connected components of a link table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+#: Rounds after which something is wrong: they are logarithmic in the longest chain.
+MOST_ROUNDS = 60
+
+
+def _sum(links: DataFrame) -> tuple[int, int]:
+    row = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+    return row["n"], row["x"] or 0
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(u, root) for every node of ``links`` (u, v; longs) but the roots themselves; root is the smallest node reachable.
+
+    Nothing but two sums a round comes to the driver. Every round is written to the
+    shared folder, so that it outlives its executors. Minima are pre-aggregated and
+    hub nodes only meet their one minimum in a join, which Spark can split.
+    """
+    stars = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    before = _sum(stars)
+    for _ in range(MOST_ROUNDS):
+        if not before[0]:
+            break
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
+        stars = written(small, "stars")
+        after = _sum(stars)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError("components did not settle")
+    return stars.select("u", F.col("v").alias("root"))
