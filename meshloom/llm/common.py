@@ -37,9 +37,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a table's size, from its files or its plan; reads no rows."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str) -> int:
+    """About the bytes of a table's texts: Spark's estimate from the files, which reads no rows, or where there is none a sum over all rows."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 58 else df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
 def words(text: Column) -> Column:
