@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams and of itself, each hashed to a row of
-an embedding table; a text is the average of all rows of all its words, and a
-softmax over two classes follows. Table and softmax are trained together, so a
+an embedding table; a text is the average of the rows of its different words, and
+a softmax over two classes follows. Table and softmax are trained together, so a
 misspelling never seen shares most of its rows with the word it stands for.
 
 After training, a row adds a fixed amount to the difference of the two logits.
@@ -24,7 +24,11 @@ from pyspark.sql import types as T
 ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Labelled rows of each class that training takes at most (in expectation: the choice is by hash).
 MOST_OF_CLASS = 2500
-EPOCHS, BATCH, RATE, SCALE = 6, 64, 0.02, 40.0
+STEPS, BATCH, RATE, SCALE = 600, 64, 0.02, 120.0
+#: Empty rows that every average holds beside a text's own: a few words alone then say little.
+PRIOR_ROWS = 2500
+#: Rows in fewer samples than this, or than this share of them, are left at zero: they would learn single texts by heart.
+LEAST_SAMPLES, LEAST_SHARE = 4, 0.003
 #: Words that a worker keeps amounts for.
 MEMO_WORDS = 1_000_000
 THRESHOLD = 0.7
@@ -51,17 +55,13 @@ def rows_of(word: str) -> list[int]:
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct embedding rows of a text and their shares in its average."""
-    words: dict[str, int] = {}
-    for w in text.split():
-        words[w] = words.get(w, 0) + 1
-    rows = [rows_of(w) for w in words]
+    rows = [rows_of(w) for w in sorted(set(text.split()))]
     if not rows:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
     flat = np.fromiter((r for found in rows for r in found), dtype=np.int64)
-    times = np.repeat(np.fromiter(words.values(), dtype=np.int64), [len(r) for r in rows])
-    sums = np.bincount(flat, weights=times, minlength=ROWS)
+    sums = np.bincount(flat, minlength=ROWS)
     at = np.flatnonzero(sums)
-    return at.astype(np.int32), (sums[at] / times.sum()).astype(np.float32)
+    return at.astype(np.int32), (sums[at] / (len(flat) + PRIOR_ROWS)).astype(np.float32)
 
 
 class Model:
@@ -69,42 +69,41 @@ class Model:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.table = rng.normal(0, 0.1, (ROWS, WIDTH)).astype(np.float32)
+        self.table = np.zeros((ROWS, WIDTH), dtype=np.float32)  # rows that training does not see add nothing
         self.weights = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> None:
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> None:
         """Adam on the cross entropy, over the table and the softmax at once."""
         rng = np.random.default_rng(seed)
+        often = np.bincount(np.concatenate([at for at, _ in bags]), minlength=ROWS) >= max(LEAST_SAMPLES, LEAST_SHARE * len(bags))
+        bags = [(at[often[at]], share[often[at]]) for at, share in bags]
         params = [self.table, self.weights, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(bags))
-            for low in range(0, len(order), BATCH):
-                mine = order[low : low + BATCH]
-                at = np.concatenate([bags[i][0] for i in mine])
-                share = np.concatenate([bags[i][1] for i in mine])
-                of = np.repeat(np.arange(len(mine)), [len(bags[i][0]) for i in mine])
-                part = self.table[at] * share[:, None]
-                hidden = np.stack([np.bincount(of, part[:, k], len(mine)) for k in range(WIDTH)], axis=1).astype(np.float32)
-                logits = SCALE * hidden @ self.weights + self.bias
-                logits -= logits.max(axis=1, keepdims=True)
-                p = np.exp(logits)
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(mine)), labels[mine]] -= 1
-                p /= len(mine)
-                back = SCALE * p @ self.weights.T
-                pull = back[of] * share[:, None]
-                touched, where = np.unique(at, return_inverse=True)
-                grads = [np.stack([np.bincount(where, pull[:, k], len(touched)) for k in range(WIDTH)], axis=1), SCALE * hidden.T @ p, p.sum(axis=0)]
-                step += 1
-                for k, (param, grad) in enumerate(zip(params, grads, strict=True)):
-                    rows = touched if k == 0 else slice(None)
-                    m, v = first[k], second[k]
-                    m[rows] = 0.9 * m[rows] + 0.1 * grad
-                    v[rows] = 0.98 * v[rows] + 0.02 * grad**2
-                    param[rows] -= (RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.98**step)) + 1e-9)).astype(np.float32)
+        order = np.concatenate([rng.permutation(len(bags)) for _ in range(-(-steps * BATCH // len(bags)))])
+        for step in range(1, steps + 1):
+            mine = order[(step - 1) * BATCH : step * BATCH]
+            at = np.concatenate([bags[i][0] for i in mine])
+            share = np.concatenate([bags[i][1] for i in mine])
+            of = np.repeat(np.arange(len(mine)), [len(bags[i][0]) for i in mine])
+            part = self.table[at] * share[:, None]
+            hidden = np.stack([np.bincount(of, part[:, k], len(mine)) for k in range(WIDTH)], axis=1).astype(np.float32)
+            logits = SCALE * hidden @ self.weights + self.bias
+            logits -= logits.max(axis=1, keepdims=True)
+            p = np.exp(logits)
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(mine)), labels[mine]] -= 1
+            p /= len(mine)
+            back = SCALE * p @ self.weights.T
+            pull = back[of] * share[:, None]
+            touched, where = np.unique(at, return_inverse=True)
+            grads = [np.stack([np.bincount(where, pull[:, k], len(touched)) for k in range(WIDTH)], axis=1), SCALE * hidden.T @ p, p.sum(axis=0)]
+            for k, (param, grad) in enumerate(zip(params, grads, strict=True)):
+                rows = touched if k == 0 else slice(None)
+                m, v = first[k], second[k]
+                m[rows] = 0.9 * m[rows] + 0.1 * grad
+                v[rows] = 0.98 * v[rows] + 0.02 * grad**2
+                param[rows] -= (RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.98**step)) + 1e-9)).astype(np.float32)
 
     def amounts(self) -> tuple[np.ndarray, float]:
         """What each row adds to the difference of the logits, and their difference without any."""
@@ -117,7 +116,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     A key with several labels has the largest; null labels and keys are left out.
     Which rows are taken depends on a hash of the key alone.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # a row for each class
     taken = F.lit(False)
     for y, n in counts.items():
@@ -136,18 +135,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_OF_CLASS) -> tuple[np.ndarray, float]:
     """Fit a model on a bounded sample; returns its amounts.
 
-    The sample is balanced as far as there are labels, and the bias is then moved
-    back to the shares of all labels. Without labels of both classes nothing is
+    Both classes weigh the same, so a score tells the odds as if they were equally
+    common. Without labels of both classes nothing is
     learnt: all amounts are zero and the bias tells the one share (half, if none).
     """
-    rows = sorted(training_rows(docs, labels, key, text, label, most).collect(), key=lambda r: (r["k"], r["y"], r["shares"], r["rows"]))
-    y = np.array([min(1, max(0, r["y"])) for r in rows], dtype=np.int64)
+    sample = training_rows(docs, labels, key, text, label, most)
+    rows = sorted(sample.collect(), key=lambda r: (r["k"], r["y"], r["shares"], r["rows"]))
+    y = np.array([r["y"] for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return np.zeros(ROWS), 4.0 * (1 if len(y) and y[0] else -1 if len(y) else 0)
     bags = [(np.frombuffer(r["rows"], dtype=np.int32), np.frombuffer(r["shares"], dtype=np.float32)) for r in rows]
-    # twice the smaller class, so that neither drowns the other
-    few, many = (1, 0) if y.sum() * 2 <= len(y) else (0, 1)
-    again = np.r_[np.arange(len(y)), np.resize(np.flatnonzero(y == few), max(0, int((y == many).sum() - (y == few).sum())))]
+    # as many of the smaller class as of the larger, by repetition
+    many = int(y.sum() * 2 > len(y))
+    again = np.r_[np.arange(len(y)), np.resize(np.flatnonzero(y != many), abs(int(len(y) - 2 * y.sum())))]
     model = Model()
     model.fit([bags[i] for i in again], y[again])
     return model.amounts()
@@ -176,8 +176,8 @@ def score(docs: DataFrame, amounts: np.ndarray, bias: float, key: str = "doc_id"
         for batch in batches:
             out = []
             for value in batch.column(1):
-                total = sum(map(kept.__getitem__, (value.as_py() or "").split()), 0j)
-                x = bias + (total.real / total.imag if total.imag else 0.0)
+                total = sum(map(kept.__getitem__, sorted(set((value.as_py() or "").split()))), 0j)
+                x = bias + total.real / (total.imag + PRIOR_ROWS)
                 out.append(1 / (1 + np.exp(-min(50.0, max(-50.0, x)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["k", "score"])
 
