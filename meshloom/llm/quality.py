@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, SPACE_CLASS, words
+from .common import SPACE_CLASS, SPACES, words, written
 
 #: Fixed thresholds of the rules on one text.
 MIN_WORDS = 20
@@ -75,23 +75,23 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The boilerplate lines (host, line hash, documents) and, for each document that has some, the words they take.
+    """The boilerplate lines (host, line hash, documents) and, for each document that has some, its words and those they take.
 
     Equal texts count as one document, so copies do not turn their own lines into
     boilerplate. A null host is a host of its own.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    who = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), F.xxhash64(body).alias("_text"), body.alias("_body"))
+    who = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), F.xxhash64(body).alias("_text"), body.alias("_body"), F.size(words(F.col(text))).alias("_n"))
     split = F.transform(F.split("_body", "\n"), lambda x: F.lower(F.btrim(x, F.lit(SPACES))))
     lines = (
-        who.select("_key", "_host", "_text", F.posexplode(F.transform(split, lambda x: F.struct(F.xxhash64(F.regexp_replace(x, SPACE_CLASS + "+", " ")).alias("h"), F.when(x == "", F.lit(0)).otherwise(F.size(F.split(x, SPACE_CLASS + "+"))).alias("w")))).alias("_pos", "_line"))
-        .select("_key", "_host", "_text", "_pos", F.col("_line.h").alias("_hash"), F.col("_line.w").alias("_w"))
+        who.select("_key", "_host", "_text", "_n", F.posexplode(F.transform(split, lambda x: F.struct(F.xxhash64(F.regexp_replace(x, SPACE_CLASS + "+", " ")).alias("h"), F.when(x == "", F.lit(0)).otherwise(F.size(F.split(x, SPACE_CLASS + "+"))).alias("w")))).alias("_pos", "_line"))
+        .select("_key", "_host", "_text", "_n", "_pos", F.col("_line.h").alias("_hash"), F.col("_line.w").alias("_w"))
         .where((F.col("_w") > 0) & (F.col("_w") <= MAX_LINE_WORDS))
     )
     sizes = who.groupBy("_host", "_text").count().groupBy("_host").agg(F.count("*").alias("_texts"))
     counted = lines.groupBy("_host", "_hash", "_text").count().groupBy("_host", "_hash").agg(F.count("*").alias("_docs"))
     common = counted.where(F.col("_docs") >= MIN_LINE_DOCS).join(sizes, "_host").where(F.col("_docs") >= F.lit(MIN_LINE_SHARE) * F.col("_texts")).select("_host", "_hash", "_docs")
-    taken = lines.join(common.select("_host", "_hash"), ["_host", "_hash"]).groupBy("_key", "_host", "_text", "_pos").agg(F.max("_w").alias("_w")).groupBy("_key", "_host", "_text").agg(F.sum("_w").alias("_taken"))
+    taken = lines.join(common.select("_host", "_hash"), ["_host", "_hash"]).groupBy("_key", "_host", "_text", "_pos").agg(F.max("_w").alias("_w"), F.max("_n").alias("_n")).groupBy("_key", "_host", "_text").agg(F.sum("_w").alias("_taken"), F.max("_n").alias("_n"))
     return common, taken
 
 
@@ -125,7 +125,8 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", host: str = "source", t
     body = F.coalesce(F.col(text), F.lit(""))
     base = base_rules(docs, text).where(~F.col("_q.base_failed"))
     _, taken = boilerplate(docs, key, host, text)
-    taken = taken.select(F.col("_key").alias("_k"), F.col("_host").alias("_h"), F.col("_text").alias("_t"), "_taken")
-    tagged = base.withColumn("_hx", F.coalesce(F.col(host).cast("string"), F.lit("\x00"))).withColumn("_tx", F.xxhash64(body))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_hx") == F.col("_h")) & (F.col("_tx") == F.col("_t"))
-    return tagged.join(taken, same & _depleted(F.col("_q.n_words"), F.col("_taken")), "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    # written first, so that its size is known when the join is planned
+    gone = written(taken.where(_depleted(F.col("_n"), F.col("_taken"))).select(F.col("_key").alias("_k"), F.col("_host").alias("_h"), F.col("_text").alias("_t")), "depleted")
+    here = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (here == F.col("_h")) & (F.xxhash64(body) == F.col("_t"))
+    return base.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
