@@ -55,23 +55,30 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     Windows are compared by 64-bit hashes of their words, within one text only.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    with_words = docs.withColumn("_words", words(F.col(text)))
-    n = F.size("_words")
-    windows = F.when(n < REPEAT_WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(REPEAT_WINDOW)) - (REPEAT_WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_words"), i, REPEAT_WINDOW)))
-    )
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    counted = with_words.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        n.cast("long").alias("_n_words"),
-        F.length(F.concat_ws("", "_words")).cast("long").alias("_word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("_n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("_n_dup_lines"),
-        windows.alias("_windows"),
-    ).withColumn("_n_repeat_words", _repeat_words(F.col("_windows")))
-    failed = (F.col("_n_words") < MIN_WORDS) | (F.lit(100) * F.col("_n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("_n_words"))
-    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*[F.col(f"_{x}").alias(x) for x in fields], failed.alias("base_failed")).alias("_q"))
+
+    def windows(found: Column) -> Column:
+        n = F.size(found)
+        return F.when(n < REPEAT_WINDOW, F.array().cast("array<bigint>")).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(REPEAT_WINDOW)) - (REPEAT_WINDOW - 1)), lambda i: F.xxhash64(F.slice(found, i, REPEAT_WINDOW)))
+        )
+
+    def counts(found: Column) -> Column:
+        return F.struct(F.size(found).cast("long").alias("n_words"), F.length(F.concat_ws("", found)).cast("long").alias("word_chars"), _let(windows(found), _repeat_words).alias("n_repeat_words"))
+
+    # one expression, in which nothing is evaluated twice wherever the optimizer moves it
+    counted = F.struct(
+        _let(words(F.col(text)), counts).alias("w"),
+        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+    )
+
+    def told(c: Column) -> Column:
+        n, repeated = c["w"]["n_words"], c["w"]["n_repeat_words"]
+        failed = (n < MIN_WORDS) | (F.lit(100) * repeated > F.lit(MAX_REPEAT_PERCENT) * n)
+        return F.struct(n.alias("n_words"), c["w"]["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["n_dup_lines"].alias("n_dup_lines"), repeated.alias("n_repeat_words"), failed.alias("base_failed"))
+
+    return docs.withColumn("_q", _let(counted, told))
 
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
