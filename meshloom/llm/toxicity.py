@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 #: Embedding rows, their width, and the n-gram lengths.
 ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Labelled rows of each class that training takes at most (in expectation: the choice is by hash).
-MOST_OF_CLASS = 2500
+MOST_OF_CLASS = 1600
 STEPS, BATCH, RATE, SCALE = 600, 64, 0.02, 120.0
 #: Empty rows that every average holds beside a text's own: a few words alone then say little.
 PRIOR_ROWS = 2500
@@ -55,7 +55,7 @@ def rows_of(word: str) -> list[int]:
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct embedding rows of a text and their shares in its average."""
-    rows = [rows_of(w) for w in sorted(set(text.split()))]
+    rows = [rows_of(w) for w in dict.fromkeys(text.split())]
     if not rows:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
     flat = np.fromiter((r for found in rows for r in found), dtype=np.int64)
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if len(set(y.tolist())) < 2:
         return np.zeros(ROWS), 4.0 * (1 if len(y) and y[0] else -1 if len(y) else 0)
     bags = [(np.frombuffer(r["rows"], dtype=np.int32), np.frombuffer(r["shares"], dtype=np.float32)) for r in rows]
+    del rows
     # as many of the smaller class as of the larger, by repetition
     many = int(y.sum() * 2 > len(y))
     again = np.r_[np.arange(len(y)), np.resize(np.flatnonzero(y != many), abs(int(len(y) - 2 * y.sum())))]
@@ -176,7 +177,7 @@ def score(docs: DataFrame, amounts: np.ndarray, bias: float, key: str = "doc_id"
         for batch in batches:
             out = []
             for value in batch.column(1):
-                total = sum(map(kept.__getitem__, sorted(set((value.as_py() or "").split()))), 0j)
+                total = sum(map(kept.__getitem__, dict.fromkeys((value.as_py() or "").split())), 0j)
                 x = bias + total.real / (total.imag + PRIOR_ROWS)
                 out.append(1 / (1 + np.exp(-min(50.0, max(-50.0, x)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["k", "score"])
