@@ -141,8 +141,8 @@ def point_in_mesh(a: Mesh, b: Mesh, pairs: DataFrame | None = None, cell: float
 
 
 def _swapped(pairs: DataFrame) -> DataFrame:
-    names = {f"a_{c}": f"b_{c}" for c in ("object_id", *BOX)}
-    return pairs.withColumnsRenamed(names | {v: k for k, v in names.items()})
+    names = [(f"a_{c}", f"b_{c}") for c in ("object_id", *BOX)]
+    return pairs.select(*[F.col(x).alias(y) for a, b in names for x, y in ((a, b), (b, a))])
 
 
 def parity(a: Mesh, b: Mesh, pairs: DataFrame, direction: str) -> DataFrame:
@@ -153,7 +153,7 @@ def parity(a: Mesh, b: Mesh, pairs: DataFrame, direction: str) -> DataFrame:
     if direction == "b_to_a":
         found = point_hits(a, b, pairs)
     else:
-        found = point_hits(b, a, _swapped(pairs)).withColumnsRenamed({"a_object_id": "b_object_id", "b_object_id": "a_object_id"}).select("a_object_id", "b_object_id", "hits")
+        found = point_hits(b, a, _swapped(pairs)).select(F.col("b_object_id").alias("a_object_id"), F.col("a_object_id").alias("b_object_id"), "hits")
     return found
 
 

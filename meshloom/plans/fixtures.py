@@ -94,5 +94,5 @@ def slab_sql(source: str, target: str, name: str = "X") -> str:
 
 
 def hits_sql(name: str = "X") -> str:
-    """Rows (sid, edge_id, tid, at) of every crossing of a surface."""
-    return f"SELECT sid, edge_id, tid, tin AS at FROM {name} WHERE tin > 0 AND tin <= 1 UNION ALL SELECT sid, edge_id, tid, tout FROM {name} WHERE tout > 0 AND tout <= 1"
+    """Rows (sid, edge_id, tid, pos) of every crossing of a surface."""
+    return f"SELECT sid, edge_id, tid, tin AS pos FROM {name} WHERE tin > 0 AND tin <= 1 UNION ALL SELECT sid, edge_id, tid, tout FROM {name} WHERE tout > 0 AND tout <= 1"

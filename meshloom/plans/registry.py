@@ -62,7 +62,7 @@ query("edge_hit_count", f"WITH {A_TO_B} {EDGE_COUNTS}")(lambda s, d: jo.edge_hit
 query("edge_hit_offsets", f"WITH {A_TO_B} SELECT object_id, edge_id, hits, CAST(coalesce(sum(hits) OVER (ORDER BY object_id, edge_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM ({EDGE_COUNTS})")(
     lambda s, d: jo.prefix_sums(jo.edge_hit_counts(*both(s, d), CELL), "object_id", ["edge_id"], "hits")
 )
-query("edge_multi_hit", f"WITH {A_TO_B} SELECT DISTINCT sid AS a_object_id, tid AS b_object_id FROM (SELECT *, dense_rank() OVER (PARTITION BY sid, edge_id ORDER BY at) AS k FROM ({hits_sql()})) WHERE k <= 1")(
+query("edge_multi_hit", f"WITH {A_TO_B} SELECT DISTINCT sid AS a_object_id, tid AS b_object_id FROM (SELECT *, dense_rank() OVER (PARTITION BY sid, edge_id ORDER BY pos) AS k FROM ({hits_sql()})) WHERE k <= 1")(
     lambda s, d: jo.overlap(*both(s, d), "a_to_b", CELL, max_hits_per_edge=1)
 )
 query("pair_dedup_hash", OVERLAP)(lambda s, d: jo.overlap(*both(s, d), cell=CELL).dropDuplicates(["a_object_id", "b_object_id"]))
@@ -82,10 +82,10 @@ query("ray_hit_count", f"WITH {A_TO_B} SELECT CAST(count(*) AS BIGINT) AS edges_
 query("ray_hit_compact", f"WITH {A_TO_B} SELECT DISTINCT sid AS object_id, edge_id FROM ({hits_sql()})")(lambda s, d: jo.edge_hit_counts(*both(s, d), CELL).where("hits > 0").select("object_id", "edge_id"))
 
 
-@query("seg_tri_hit", "SELECT id, (x >= 0 AND y >= 0 AND x + y <= 10 AND z > 0) AS hit FROM (SELECT CAST(p_partkey AS BIGINT) AS id, (p_partkey*7919)%157/10.0::DOUBLE - 3.05::DOUBLE AS x, (p_partkey*104729)%151/10.0::DOUBLE - 3.05::DOUBLE AS y, (p_partkey*31)%20/10.0::DOUBLE - 0.95::DOUBLE AS z FROM part)")
+@query("seg_tri_hit", "SELECT id, (x >= 0 AND y >= 0 AND x + y <= 10 AND z >= 0) AS hit FROM (SELECT CAST(p_partkey AS BIGINT) AS id, (p_partkey*7919)%157/10.0::DOUBLE - 3.03::DOUBLE AS x, (p_partkey*104729)%151/10.0::DOUBLE - 3.05::DOUBLE AS y, (p_partkey*31)%20/10.0::DOUBLE - 0.95::DOUBLE AS z FROM part)")
 def seg_tri_hit(spark, sf_dir):
     k = F.col("p_partkey")
-    p = fx.table(spark, sf_dir, "part").select(k.cast("long").alias("id"), ((k * 7919) % 157 / F.lit(10.0) - F.lit(3.05)).alias("x"), ((k * 104729) % 151 / F.lit(10.0) - F.lit(3.05)).alias("y"), ((k * 31) % 20 / F.lit(10.0) - F.lit(0.95)).alias("z"))
+    p = fx.table(spark, sf_dir, "part").select(k.cast("long").alias("id"), ((k * 7919) % 157 / F.lit(10.0) - F.lit(3.03)).alias("x"), ((k * 104729) % 151 / F.lit(10.0) - F.lit(3.05)).alias("y"), ((k * 31) % 20 / F.lit(10.0) - F.lit(0.95)).alias("z"))
     o, one = F.lit(0.0), F.lit(10.0)
     return p.select("id", g.segment_hits((F.col("x"), F.col("y"), F.lit(-1.0)), (F.col("x"), F.col("y"), F.col("z")), (o, o, o), (one, o, o), (o, one, o)).alias("hit"))
 
@@ -173,11 +173,11 @@ query("dataset_bbox", f"WITH {BOXES} SELECT " + ", ".join(f"round({'min' if c[0]
 
 def triangles_sql(side: str, corners=me.BOX_CORNERS, faces=me.BOX_FACES) -> str:
     rows = ", ".join("({}, {})".format(n, ", ".join(str(x) for i in f for x in corners[i])) for n, f in enumerate(faces))
-    cols = ", ".join(f"{c[1]} + t.{c}*s/2 AS {c}" for c in TRIANGLE)
-    return f"T{side} AS (SELECT id AS object_id, CAST(t.n AS BIGINT) AS tri_id, {cols} FROM {side}, (VALUES {rows}) AS t(n, {', '.join(TRIANGLE)}))"
+    cols = ", ".join(f"{c[1]} + t.t{c}*s/2 AS t{c}" for c in TRIANGLE)
+    return f"T{side} AS (SELECT id AS object_id, CAST(t.n AS BIGINT) AS tri_id, {cols} FROM {side}, (VALUES {rows}) AS t(n, {', '.join('t' + c for c in TRIANGLE)}))"
 
 
-ROUND_TRI = ", ".join(f"round({c}, 6) AS {c}" for c in TRIANGLE)
+ROUND_TRI = ", ".join(f'round(t{c}, 6) AS "{c}"' for c in TRIANGLE)  # by is a word of SQL
 query("box_mesh", f"WITH {BOXES}, {triangles_sql('A')} SELECT object_id, tri_id, {ROUND_TRI} FROM TA")(lambda s, d: rounded(me.box_mesh(cubes_a(s, d).objects)))
 query("cube_mesh", f"WITH {BOXES}, {triangles_sql('B')} SELECT object_id, tri_id, {ROUND_TRI} FROM TB")(lambda s, d: rounded(cubes_b(s, d).triangles))
 
