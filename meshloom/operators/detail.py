@@ -79,7 +79,7 @@ def voxelize(samples: DataFrame, boxes: DataFrame, steps: int) -> DataFrame:
     """The occupied cells of a grid of ``steps`` a side over each object's box, by its sampled points."""
     rows = samples.join(boxes.select("object_id", *BOX), "object_id")
     at = lambda i, c: F.least(F.lit(steps - 1), F.floor((F.col(c) - F.col(BOX[i])) / F.nullif(F.col(BOX[i + 3]) - F.col(BOX[i]), F.lit(0.0)) * steps).cast("int"))
-    return rows.select("object_id", *[F.coalesce(at(i, c), F.lit(0)).alias(f"i{c}") for i, c in enumerate("xyz")]).distinct()
+    return rows.select("object_id", *[F.greatest(F.coalesce(at(i, c), F.lit(0)), F.lit(0)).alias(f"i{c}") for i, c in enumerate("xyz")]).distinct()
 
 
 def fill_voxels(triangles: DataFrame, cores: DataFrame) -> DataFrame:

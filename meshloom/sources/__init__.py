@@ -1,5 +1,6 @@
 """Readers of mesh formats and lists."""
 
+from . import text
 from .binary import read_npz, read_pre, require_edges, write_pre
 from .lists import read_ids, read_manifest, read_nuclei, read_pairs
 from .text import read_obj, read_off, read_off_lines, read_wkt_polygons
@@ -16,4 +17,4 @@ def load(spark, path: str):
     return LOADERS[kind](spark, path)
 
 
-__all__ = ["LOADERS", "load", "read_ids", "read_manifest", "read_npz", "read_nuclei", "read_obj", "read_off", "read_off_lines", "read_pairs", "read_pre", "read_wkt_polygons", "require_edges", "write_pre"]
+__all__ = ["LOADERS", "load", "read_ids", "read_manifest", "read_npz", "read_nuclei", "read_obj", "read_off", "read_off_lines", "read_pairs", "read_pre", "read_wkt_polygons", "require_edges", "text", "write_pre"]
