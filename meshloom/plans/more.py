@@ -361,3 +361,4 @@ def stream_static_join(spark, sf_dir):
     found = stream_candidates(stream, cubes_b(spark, sf_dir).objects.select("object_id", *BOX), CELL)
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("a_object_id long, b_object_id long").parquet(out)
+from . import extra  # noqa: E402,F401  (registers the rest)
