@@ -112,5 +112,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Seque
     rows = parts.select("_key", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("_by_rule"))
     counted = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("_by_rule").alias("labelled"), F.count(F.when(F.col("_by_rule") == "block", 1)).alias("blocked"))
     named, judged = templates(counted)
-    verdicts = named.join(judged.select("host", "template", F.col("verdict").alias("_by_tree")), ["host", "template"])
+    # written, so that the paths of a large template can be split in the join
+    judged = written(judged.select("host", "template", F.col("verdict").alias("_by_tree")), "templates")
+    verdicts = named.join(judged, ["host", "template"])
     return rows.join(verdicts, ["host", "path"], "left").select(F.col("_key").alias(key), "host", "path", "rule", F.coalesce("_by_rule", "_by_tree", F.lit("allow")).alias("verdict"), "template")
