@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,44 @@ def input_bytes(df: DataFrame, text: str) -> int:
     return known if known < 1 << 58 else df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
+#: Keys up to which a table of them is sent to every task (some 50 MB there); more are joined by an exchange.
+SENT_KEYS = 1_000_000
+
+
+def sent_if_small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked to be broadcast if it has at most ``SENT_KEYS`` rows."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
+#: Rows that a task hands to Python at once; texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session whose Arrow batches have ``BATCH_ROWS`` rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back to the system at its end: workers live on, idle, beside other stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: nothing to ask for
+
+    return wrapped
+
+
 def words(text: Column) -> Column:
     """The words of a text (maximal runs of other characters than the six separators); null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

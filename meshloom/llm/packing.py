@@ -10,7 +10,6 @@ are then numbered within their length and looked up in it.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import released, small_batches, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Buckets in which pieces of one length are numbered; hot lengths (whole sequences above all) spread over them.
 RANK_BUCKETS = 1024
-#: Distinct words whose ids a worker keeps; then it starts afresh.
+#: Distinct words whose ids a task keeps; then it starts afresh.
 MEMO_WORDS = 500_000
 
 _WORD = re.compile(r"[^ \n]+")
@@ -36,7 +35,8 @@ _OTHER_SPACE = re.compile(r"[\x1c-\x1f]")
 #: A plain word is of letters whose lower case is one letter of the same alphabet, then ASCII marks other than the apostrophe.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _NOT_PLAIN = re.compile(rf"[^ {_LETTERS}{_MARKS}]|(?<=[{_MARKS}])[{_LETTERS}]")
-_MARK_SET = "".join(chr(b) for b in range(33, 127) if re.match(f"[{_MARKS}]", chr(b)))
+#: By byte of Latin-1: 1 for letters, 2 for marks.
+_KINDS = np.array([1 if re.match(f"[{_LETTERS}]", chr(b)) else 2 if re.match(f"[{_MARKS}]", chr(b)) else 0 for b in range(256)], dtype=np.uint8)
 
 
 class WordEncoder:
@@ -62,38 +62,29 @@ class WordEncoder:
         self._ends = np.zeros(max(ids.values()) + 1, dtype=bool)
         self._ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
         self._memo: dict[str, bytes] = {}
-        self._marks: dict[str, bytes] = {}
 
     def _learn(self, fresh: list[str]) -> None:
         ends = np.cumsum(np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh)) + 1)
         odd = {int(i) for i in np.searchsorted(ends, [m.start() for m in _NOT_PLAIN.finditer(" ".join(fresh))], side="right")}
         if odd:
             for i in odd:
-                self._memo[fresh[i]] = self._encode_whole(fresh[i])
+                self._memo[fresh[i]] = np.array(self._whole.encode(fresh[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
             fresh = [word for i, word in enumerate(fresh) if i not in odd]
         if not fresh:
             return
-        stems = [word.rstrip(_MARK_SET).lower() for word in fresh]
-        new = list(set(stems) - self._memo.keys() - {""})
-        if new:
-            mapped = self._odd.sub(lambda m: self._alphabet[ord(m[0])], " ".join(new).encode().decode("latin-1"))
-            ids = np.array(self._merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
-            raw = ids.tobytes()
-            self._memo.update(zip(new, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
-        for word, stem in zip(fresh, stems, strict=True):
-            if len(word) > len(stem):
-                marks = word[len(stem) :]
-                if marks not in self._marks:
-                    if len(self._marks) > MEMO_WORDS // 10:
-                        self._marks = {}
-                    self._marks[marks] = self._encode_whole(marks)
-                self._memo[word] = (self._memo[stem] if stem else b"") + self._marks[marks]
-            elif word != stem:
-                self._memo[word] = self._memo[stem]
-
-    def _encode_whole(self, word: str) -> bytes:
-        return np.array(self._whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        flat = np.frombuffer("\n".join(fresh).lower().encode("latin-1"), dtype=np.uint8)
+        kind = _KINDS[flat]
+        cut = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1  # where marks follow letters
+        lines = np.flatnonzero(flat == 10)
+        parts = np.searchsorted(cut, np.append(lines, len(flat))) + np.arange(1, len(fresh) + 1)  # parts up to each word's end
+        spaced = np.insert(flat, cut, 32).tobytes().decode("latin-1").encode().decode("latin-1")
+        mapped = self._odd.sub(lambda m: self._alphabet[ord(m[0])], spaced)
+        ids = np.array(self._merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != parts[-1]:
+            raise ValueError("the vocabulary does not keep words apart")
+        raw, stops = ids.tobytes(), (ends[parts - 1] * 4).tolist()
+        self._memo.update(zip(fresh, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. Works through the batch in parts of a few million characters."""
@@ -136,13 +127,12 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab: str
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary(vocab))
-        gc.freeze()  # what is kept from here on are strings, which need no tracing
+        mine = WordEncoder(vocabulary(vocab))
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
-                for row, raw in enumerate(encoder.encode([x or "" for x in part.column(1).to_pylist()])):
+                for row, raw in enumerate(mine.encode([x or "" for x in part.column(1).to_pylist()])):
                     raw += end
                     for n, at in enumerate(range(0, len(raw), step)):
                         cut = raw[at : at + step]
@@ -159,7 +149,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab: str
                     columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
