@@ -17,19 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released, small_batches
 from .substrings import Words
 
 GRAM = 3
 SIMILARITY = 0.8
 #: Shorter items say too little to be looked for.
 LEAST_ITEM_WORDS = 8
-#: An n-gram is rare if at most this share of documents has it, or at most so many times what half of its item's n-grams have.
-RARE_SHARE, RARE_TIMES = 0.0005, 4
+#: An n-gram is rare if at most so many documents have it, or this share of all, or so many times what half of its item's n-grams have.
+RARE_DOCS, RARE_SHARE, RARE_TIMES = 8, 0.0005, 4
 #: Words of test items that one pass looks for.
 BLOCK_WORDS = 2_000_000
-#: Costs of the alignment; a match is 1.
-MISMATCH, GAP = 0.5, 0.5
-PART_BYTES = 4_000_000
+#: Costs of the alignment, low enough that a few matches beyond an edit are worth it; a match is 1.
+MISMATCH, GAP = 0.2, 0.2
+PART_BYTES = 1_000_000
 #: Marks that are dropped before words are compared.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -90,7 +91,7 @@ class Block:
             half[item] = np.median(mine)
         usual = np.zeros(len(self.grams))
         np.maximum.at(usual, gram, half[self.of])
-        self.rare = counts <= np.maximum(RARE_SHARE * documents, RARE_TIMES * usual)
+        self.rare = counts <= np.maximum(max(RARE_DOCS, RARE_SHARE * documents), RARE_TIMES * usual)
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word positions at which an n-gram of an item starts, and which one."""
@@ -147,10 +148,11 @@ class Block:
             yield t, i, share, start, length
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(from, texts) of about ``PART_BYTES`` each: what is held at once is a part, not a batch."""
     part, low, size = [], 0, 0
     for i, text in enumerate(texts):
-        part.append(plain(text))
+        part.append(plain(text.as_py()))
         size += len(part[-1])
         if size >= PART_BYTES:
             yield low, part
@@ -168,7 +170,7 @@ def _counted(docs: DataFrame, text: str, block: Block) -> tuple[np.ndarray, int]
         mine, total, n = sent.value, np.zeros(len(sent.value.grams), dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, part in _parts(batch.column(0).to_pylist()):
+            for _, part in _parts(batch.column(0)):
                 words = Words(part)
                 at, gram = mine.hits(words)
                 once = np.unique(words.owner(at) * len(total) + gram)
@@ -176,7 +178,7 @@ def _counted(docs: DataFrame, text: str, block: Block) -> tuple[np.ndarray, int]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen], pa.int64()), pa.array(np.r_[n, total[seen]], pa.int64())], names=["gram", "n"])
 
-    sums = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    sums = small_batches(docs).select(F.col(text).cast("string").alias("t")).mapInArrow(released(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts, documents = np.zeros(len(block.grams), dtype=np.int64), 0
     for row in sums:
         if row["gram"] < 0:
@@ -222,13 +224,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low, part in _parts(batch.column(1).to_pylist()):
+                for low, part in _parts(batch.column(1)):
                     found = sorted(sent.value.matches(Words(part), similarity))
                     if found:
                         t, i, s, a, n = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([low + x for x in t], pa.int64())), pa.array([sent.value.ids[x] for x in i], kind), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], names=["k", "item", "similarity", "start", "words"])
 
-        result = result.unionByName(slim.mapInArrow(run, schema))
+        result = result.unionByName(slim.mapInArrow(released(run), schema))
     return result.withColumnRenamed("k", key).withColumnRenamed("item", item)
 
 
@@ -241,10 +243,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                for low, part in _parts(batch.column(at).to_pylist()):
+                for low, part in _parts(batch.column(at)):
                     for t, *_ in sent.value.matches(Words(part), similarity):
                         keep[low + t] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs
