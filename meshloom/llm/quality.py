@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, words, written
+from .common import SPACE_CLASS, SPACES, sent_if_small, words, written
 
 #: Fixed thresholds of the rules on one text.
 MIN_WORDS = 20
@@ -132,8 +132,7 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", host: str = "source", t
     body = F.coalesce(F.col(text), F.lit(""))
     base = base_rules(docs, text).where(~F.col("_q.base_failed"))
     _, taken = boilerplate(docs, key, host, text)
-    # written first, so that its size is known when the join is planned
     gone = written(taken.where(_depleted(F.col("_n"), F.col("_taken"))).select(F.col("_key").alias("_k"), F.col("_host").alias("_h"), F.col("_text").alias("_t")), "depleted")
     here = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
     same = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (here == F.col("_h")) & (F.xxhash64(body) == F.col("_t"))
-    return base.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return base.join(sent_if_small(gone), same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])

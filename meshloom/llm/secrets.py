@@ -13,12 +13,16 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns and least lengths.
@@ -147,7 +151,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["k", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", threshold: float = NOVEL_SHARE) -> DataFrame:
@@ -160,17 +164,19 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            counts = batch.column(count).to_pylist() if count is not None else None
-            for i, value in enumerate(texts):
-                if value and (spans := all_spans(value, novelty, threshold)[1]):
-                    texts[i] = redacted(value, spans)
-                    if counts is not None:
-                        counts[i] = len(texts[i])
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            if counts is not None:
-                columns[count] = pa.array(counts, batch.schema.field(count).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+            changed: dict[int, str] = {}
+            for i, value in enumerate(batch.column(at)):
+                text = value.as_py()
+                if text and (spans := all_spans(text, novelty, threshold)[1]):
+                    changed[i] = redacted(text, spans)
+            if changed:  # a few rows: the others are not copied one by one
+                mask = np.zeros(batch.num_rows, dtype=bool)
+                mask[list(changed)] = True
+                columns = list(batch.columns)
+                columns[at] = pc.replace_with_mask(columns[at], pa.array(mask), pa.array(list(changed.values()), columns[at].type))
+                if count is not None:
+                    columns[count] = pc.replace_with_mask(columns[count], pa.array(mask), pa.array([len(x) for x in changed.values()], columns[count].type))
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return small_batches(docs).mapInArrow(run, docs.schema)

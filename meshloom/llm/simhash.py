@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import released, sent_if_small, small_batches, written
 from .components import components
 
 SEED = 42
@@ -39,6 +39,8 @@ MANY = 1 << 28
 #: Sampled fingerprints for similarity on shingle sets.
 BINS, SAMPLE = 64, 3
 SKETCH = 256
+#: Orders in which buckets choose their representatives.
+ORDERS = 3
 WIDE_RADIUS = 26
 
 _LANES = np.array([sum(((byte >> (7 - bit)) & 1) << (8 * bit) for bit in range(8)) for byte in range(256)], dtype="<u8")
@@ -104,7 +106,7 @@ def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 fps = fingerprints([shingles(x or "", width) for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["k", "fp"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
 
 
 def _coordinates(fp: Column) -> Column:
@@ -142,7 +144,8 @@ def links(nodes: DataFrame) -> DataFrame:
 def classes(keyed: DataFrame, key: str, roots: DataFrame) -> DataFrame:
     """(key, node, component_id) given (key, node) rows and (u, root) of the nodes that have links: the smallest key of each class."""
     named = keyed.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("_class", F.coalesce("root", "node")).drop("root")
-    lowest = named.groupBy("_class").agg(F.min(key).alias("component_id"))
+    # written, so that the rows of a large class can be split in the join
+    lowest = written(named.groupBy("_class").agg(F.min(key).alias("component_id")), "classes")
     return named.join(lowest, "_class").select(key, "node", "component_id")
 
 
@@ -178,7 +181,7 @@ def _sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
     mixed ^= mixed >> np.uint64(29)
     a, b, c = mixed[: BINS - BINS % SAMPLE].reshape(-1, SAMPLE).T
     keys = (a & b) | (b & c) | (a & c)
-    return keys.view(np.int64).tolist(), np.sort(h * np.uint64(0xD6E8FEB86659FD93))[:SKETCH].tobytes()
+    return keys.view(np.int64).tolist(), np.unique((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32))[:SKETCH].astype(np.uint32).tobytes()
 
 
 def _set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -198,7 +201,7 @@ def _set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     names=["k", "node", "fp", "keys", "sketch", "size"],
                 )
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
 
 
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -208,7 +211,7 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
                 union = np.union1d(a, b)
                 if len(a) == SKETCH or len(b) == SKETCH:
                     union = union[:SKETCH]
@@ -224,7 +227,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Rows with equal words share a node. Nodes meet where one of their sampled
     fingerprints is equal; in each such bucket every member is compared with one
-    representative, which differs from bucket to bucket, so the work is in
+    representative, the first in one of ``ORDERS`` orders, so the work is in
     proportion to the members. The pivot table of the full fingerprints discards
     first, then the Hamming distance, then the sketches decide. A null or blank
     text is alike only to the others.
@@ -232,15 +235,17 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     table = written(_set_table(docs, key, text, width), "sets")
     nodes = table.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     rows = nodes.select("node", F.posexplode("keys").alias("way", "key"))
-    order = F.struct(F.xxhash64("node", "way"), F.col("node"))
+    order = F.struct(F.xxhash64("node", F.col("way") % ORDERS), F.col("node"))
     heads = rows.groupBy("way", "key").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("way", "key", F.col("head.node").alias("v"))
     met = written(rows.join(heads, ["way", "key"]).where("node <> v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "met")
-    ends = met.select(F.col("u").alias("node")).unionByName(met.select(F.col("v").alias("node"))).distinct()
-    info = written(table.join(ends, "node", "left_semi").groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketches").withColumn("at", _coordinates(F.col("fp")))
-    pairs = met.join(info.select(F.col("node").alias("u"), F.col("fp").alias("fp_u"), F.col("at").alias("at_u"), F.col("sketch").alias("sketch_u")), "u").join(
-        info.select(F.col("node").alias("v"), F.col("fp").alias("fp_v"), F.col("at").alias("at_v"), F.col("sketch").alias("sketch_v")), "v"
-    )
-    pairs = pairs.where((_coordinate_gap("at_u", "at_v") <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS))
+    ends = written(met.select(F.col("u").alias("node")).unionByName(met.select(F.col("v").alias("node"))).distinct(), "ends")
+    info = written(table.join(sent_if_small(ends), "node", "left_semi").groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketches").withColumn("at", _coordinates(F.col("fp")))
+    side = lambda x: info.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("at").alias(f"at_{x}"))
+    near = (_coordinate_gap("at_u", "at_v") <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
+    pairs = met.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v")
+    # sketches are long: only the pairs that are left take them along
+    sketch = lambda x: info.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = pairs.join(sketch("u"), "u").join(sketch("v"), "v")
     return classes(table.select(key, "node"), key, components(_alike(pairs, similarity)))
 
 
@@ -254,7 +259,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     gone = written(found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct(), "gone")
     twice = written(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("_gone")), "twice")
     same = F.col(f"`{key}`").eqNullSafe(F.col("_gone"))
-    left = docs.join(gone, same, "left_anti")
+    left = docs.join(sent_if_small(gone), same, "left_anti")
     if twice.isEmpty():
         return left
     return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key]))

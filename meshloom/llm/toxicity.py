@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Embedding rows, their width, and the n-gram lengths.
 ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Labelled rows of each class that training takes at most (in expectation: the choice is by hash).
@@ -129,7 +131,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
             bags = [bag(x or "") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in bags], pa.binary()), pa.array([b.tobytes() for _, b in bags], pa.binary())], names=["k", "y", "rows", "shares"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(chosen, "k").select(F.col("k").cast("string").alias("k"), "y", "t").mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(chosen, "k").select(F.col("k").cast("string").alias("k"), "y", "t").mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_OF_CLASS) -> tuple[np.ndarray, float]:
