@@ -160,6 +160,20 @@ def segment_hits(p: Vec, q: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     return (size > 0) & (u >= 0) & (v >= 0) & (u + v <= size) & (t > 0) & (t <= size)
 
 
+def segment_terms(p: Vec, q: Vec, a: Vec, b: Vec, c: Vec) -> tuple[Column, Column, Column, Column]:
+    """The four determinants of ``segment_hits``, for plans that compute them once and test them after."""
+    e1, e2, d, s = sub(b, a), sub(c, a), sub(q, p), sub(p, a)
+    h, k = cross(d, e2), cross(s, e1)
+    return dot(e1, h), dot(s, h), dot(d, k), dot(e2, k)
+
+
+def terms_hit(det: Column, u: Column, v: Column, t: Column) -> Column:
+    """``segment_hits`` from its determinants."""
+    up = (u >= 0) & (v >= 0) & (u + v <= det) & (t > 0) & (t <= det)
+    down = (u <= 0) & (v <= 0) & (u + v >= det) & (t < 0) & (t >= det)
+    return ((det > 0) & up) | ((det < 0) & down)
+
+
 def segment_parameter(p: Vec, q: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     """Where on the segment (0 at p, 1 at q) its line meets the triangle's plane; null if parallel."""
     e1, e2, d = sub(b, a), sub(c, a), sub(q, p)

@@ -81,7 +81,11 @@ def edge_hits(source: Mesh, target: Mesh, pairs: DataFrame) -> DataFrame:
     a, b, c = g.vec("a"), g.vec("b"), g.vec("c")
     met = edges.join(target.triangles.withColumnRenamed("object_id", "t"), "t")
     near = g.box_overlaps_inclusive(edge_box, g.tri_box(a, b, c))
-    return met.where(near & g.segment_hits(p, q, a, b, c)).select("s", "t", "edge_id", "tri_id", g.segment_parameter(p, q, a, b, c).alias("at"))
+    names = ("_det", "_u", "_v", "_t")
+    terms = [x.alias(n) for x, n in zip(g.segment_terms(p, q, a, b, c), names, strict=True)]
+    # the row number keeps the optimizer from writing the terms out again in every comparison of the filter
+    rows = met.where(near).select("s", "t", "edge_id", "tri_id", *terms, F.monotonically_increasing_id().alias("_row"))
+    return rows.where((F.col("_row") >= 0) & g.terms_hit(*map(F.col, names))).select("s", "t", "edge_id", "tri_id", (F.col("_t") / F.nullif(F.col("_det"), F.lit(0.0))).alias("at"))
 
 
 def _side(pairs: DataFrame, source: str, target: str) -> DataFrame:
