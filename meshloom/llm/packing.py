@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ END_ID = 0
 #: Buckets in which pieces of one length are numbered; hot lengths (whole sequences above all) spread over them.
 RANK_BUCKETS = 1024
 #: Distinct words whose ids a task keeps; then it starts afresh.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 _WORD = re.compile(r"[^ \n]+")
 #: Characters that str.split() takes for white space and the vocabulary's rules do not.
@@ -39,6 +40,23 @@ _NOT_PLAIN = re.compile(rf"[^ {_LETTERS}{_MARKS}]|(?<=[{_MARKS}])[{_LETTERS}]")
 _KINDS = np.array([1 if re.match(f"[{_LETTERS}]", chr(b)) else 2 if re.match(f"[{_MARKS}]", chr(b)) else 0 for b in range(256)], dtype=np.uint8)
 
 
+@lru_cache(maxsize=2)
+def _loaded(path: str) -> tuple:
+    """The tokenizer, its merges alone, which ids end a word, the byte alphabet and the characters it replaces; loaded once by each worker."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    merges = Tokenizer(whole.model)
+    merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    ids = whole.get_vocab(with_added_tokens=True)
+    # printable bytes stand for themselves, the others for characters from 256 on
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    alphabet = {b: chr(256 + n) for n, b in enumerate(odd) if b not in (10, 32)}
+    ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+    ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+    return whole, merges, ends, alphabet, re.compile("[" + "".join(map(re.escape, map(chr, alphabet))) + "]")
+
+
 class WordEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes, for the vocabulary that drops white space and marks word ends.
 
@@ -49,18 +67,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self._whole = Tokenizer.from_file(path)
-        self._merges = Tokenizer(self._whole.model)
-        self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        ids = self._whole.get_vocab(with_added_tokens=True)
-        # the byte alphabet: printable bytes stand for themselves, the others for characters from 256 on
-        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-        self._alphabet = {b: chr(256 + n) for n, b in enumerate(odd) if b not in (10, 32)}
-        self._odd = re.compile("[" + "".join(map(re.escape, map(chr, self._alphabet))) + "]")
-        self._ends = np.zeros(max(ids.values()) + 1, dtype=bool)
-        self._ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+        self._whole, self._merges, self._ends, self._alphabet, self._odd = _loaded(path)
         self._memo: dict[str, bytes] = {}
 
     def _learn(self, fresh: list[str]) -> None:
@@ -93,7 +100,7 @@ class WordEncoder:
         for text in texts:
             part.append(_WORD.findall(text) if _OTHER_SPACE.search(text) else text.split())
             size += len(text)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from self._encoded(part)
                 part, size = [], 0
         yield from self._encoded(part)
