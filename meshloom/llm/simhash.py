@@ -39,9 +39,9 @@ MANY = 1 << 28
 #: Sampled fingerprints for similarity on shingle sets.
 BINS, SAMPLE = 64, 3
 SKETCH = 256
-#: Orders in which buckets choose their representatives.
-ORDERS = 3
 WIDE_RADIUS = 26
+#: Pairs for each member that a crowded bucket may cost; beyond, it is split by one more key, until ``MOST_KEYS`` are equal.
+MOST_CROSS, MOST_KEYS = 16, 4
 
 _LANES = np.array([sum(((byte >> (7 - bit)) & 1) << (8 * bit) for bit in range(8)) for byte in range(256)], dtype="<u8")
 
@@ -165,13 +165,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 # Similarity of shingle sets: fingerprints of samples find the pairs.
 
 
-def _sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """Keys by which similar sets meet, and the smallest hashes of a set (all of a small one).
+def _sketch(h: np.ndarray) -> tuple[list[int], bytes]:
+    """Keys by which similar sets meet, and the smallest hashes of a set (all of a small one), given its hashes in order.
 
     The hashes are dealt to bins and the smallest of each is kept (an empty bin
     takes the next one's); the SimHash of ``SAMPLE`` neighbouring minima is a key.
     """
-    h = np.unique(hashes.view(">u8")[:, 0].astype(np.uint64))
     where = (h >> np.uint64(58)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
     # the next filled bin, round the end
@@ -185,27 +184,31 @@ def _sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def _set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, node, fp, keys, sketch, size) of every row with a word; node is XXH64 of the lower-cased words."""
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("size", T.LongType())])
+    """(key, node, fp, keys, sketch, hashes) of every row with a word; node is XXH64 of the lower-cased words.
+
+    Hashes are those of all distinct shingles in order.
+    """
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 250):
                 part = batch.slice(low, 250)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                sets = [shingles(x, width) for x in texts]
+                sets = [np.unique(shingles(x, width).view(">u8")[:, 0].astype(np.uint64)) for x in texts]
                 made = [_sketch(s) if len(s) else ([], b"") for s in sets]
                 node = [_signed(xxhash.xxh64_intdigest(b" ".join(x.encode().lower().split()), SEED)) for x in texts]
+                fps = fingerprints([shingles(x, width) for x in texts])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(node, pa.int64()), pa.array(fingerprints(sets).view(np.int64)), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
-                    names=["k", "node", "fp", "keys", "sketch", "size"],
+                    [part.column(0), pa.array(node, pa.int64()), pa.array(fps.view(np.int64)), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["k", "node", "fp", "keys", "sketch", "hashes"],
                 )
 
     return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
 
 
-def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v, sketch_u, sketch_v) whose sets are similar by their sketches; exact for sets that fit in a sketch."""
+def _told_alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v, sketch_u, sketch_v) whose sets may be similar by their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,31 +225,80 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
 
 
+def _decided(table: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes that are similar: fingerprints discard, the sketches decide."""
+    met = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "met")
+
+    def beside(pairs: DataFrame, name: str) -> DataFrame:
+        # long columns: only the nodes that are left send theirs
+        ends = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "ends")
+        info = written(table.join(sent_if_small(ends), "node", "left_semi").groupBy("node").agg(F.first(name).alias(name)), name)
+        side = lambda x: info.select(F.col("node").alias(x), F.col(name).alias(f"{name}_{x}"))
+        return pairs.join(side("u"), "u").join(side("v"), "v")
+
+    placed = table.groupBy("node").agg(F.first("fp").alias("fp")).withColumn("at", _coordinates(F.col("fp")))
+    side = lambda x: placed.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("at").alias(f"at_{x}"))
+    near = (_coordinate_gap("at_u", "at_v") <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
+    near_pairs = written(met.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "near")
+    return written(_told_alike(beside(near_pairs, "sketch"), similarity), "alike")
+
+
+def _paired(members: DataFrame, at: list[str]) -> DataFrame:
+    """All pairs (u, v) of members of a bucket with different roots; members of its largest root (``main``) are not paired among themselves."""
+    u = members.where("root <> main").select(*at, F.col("node").alias("u"), F.col("root").alias("root_u"))
+    v = members.select(*at, F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("main").alias("main"))
+    # where both are outside the main root, the pair is told once
+    return u.join(v, at).where("root_u <> root_v AND (root_v = main OR u > v)").select("u", "v")
+
+
+def _rest(rows: DataFrame, crowded: DataFrame, roots: DataFrame) -> list[DataFrame]:
+    """Pairs (u, v) of members of crowded buckets that are in different classes so far.
+
+    A bucket with one class left is done. Where the pairs between classes are too
+    many, members are dealt to smaller buckets by one more key each; what shares
+    ``MOST_KEYS`` keys is paired off whatever it costs.
+    """
+    named = crowded.select("way", F.xxhash64("way", "key").alias("bucket"), "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = []
+    for keys in range(1, MOST_KEYS + 1):
+        named = written(named, "open")
+        size = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "root"))["root"].alias("main"))
+        size = written(size.where("same < n * n").withColumn("cross", (F.col("n") * F.col("n") - F.col("same")) / 2), "crowds")
+        cheap = (F.col("cross") <= MOST_CROSS * F.col("n")) | F.lit(keys == MOST_KEYS)
+        found.append(_paired(named.join(size.where(cheap), "bucket"), ["bucket"]))
+        dear = size.where(~cheap).select("bucket")
+        if keys == MOST_KEYS or dear.isEmpty():
+            break
+        further = rows.select("node", F.col("way").alias("next"), "key")
+        named = named.join(dear, "bucket").join(further, "node").where("next > way").select(F.col("next").alias("way"), F.xxhash64("bucket", "next", "key").alias("bucket"), "node", "root")
+    return found
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, node, component_id) for every row: classes linked by similarity of their shingle sets.
 
     Rows with equal words share a node. Nodes meet where one of their sampled
-    fingerprints is equal; in each such bucket every member is compared with one
-    representative, the first in one of ``ORDERS`` orders, so the work is in
-    proportion to the members. The pivot table of the full fingerprints discards
-    first, then the Hamming distance, then the sketches decide. A null or blank
-    text is alike only to the others.
+    fingerprints is equal. Small buckets are paired off. Each member of a crowded
+    one is first compared with a representative, chosen anew for every key; members
+    that are then still in different classes are compared with each other, in
+    buckets split by further keys. The pivot table of the fingerprints discards
+    first, then the Hamming distance, then the sketches decide. A null
+    or blank text is alike only to the others.
     """
     table = written(_set_table(docs, key, text, width), "sets")
-    nodes = table.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    rows = nodes.select("node", F.posexplode("keys").alias("way", "key"))
-    order = F.struct(F.xxhash64("node", F.col("way") % ORDERS), F.col("node"))
-    heads = rows.groupBy("way", "key").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("way", "key", F.col("head.node").alias("v"))
-    met = written(rows.join(heads, ["way", "key"]).where("node <> v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "met")
-    ends = written(met.select(F.col("u").alias("node")).unionByName(met.select(F.col("v").alias("node"))).distinct(), "ends")
-    info = written(table.join(sent_if_small(ends), "node", "left_semi").groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketches").withColumn("at", _coordinates(F.col("fp")))
-    side = lambda x: info.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("at").alias(f"at_{x}"))
-    near = (_coordinate_gap("at_u", "at_v") <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
-    pairs = met.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v")
-    # sketches are long: only the pairs that are left take them along
-    sketch = lambda x: info.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = pairs.join(sketch("u"), "u").join(sketch("v"), "v")
-    return classes(table.select(key, "node"), key, components(_alike(pairs, similarity)))
+    nodes = table.groupBy("node").agg(F.first("keys").alias("keys"))
+    rows = written(nodes.select("node", F.posexplode("keys").alias("way", "key")), "keys")
+    order = F.struct(F.xxhash64("node", "way"), F.col("node"))
+    heads = rows.groupBy("way", "key").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("way", "key", "n", F.col("head.node").alias("v"))
+    met = written(rows.join(heads, ["way", "key"]), "buckets")
+    few, crowded = met.where(F.col("n") <= CROWD), met.where(F.col("n") > CROWD)
+    pairs = few.select("way", "key", F.col("node").alias("u")).join(few.select("way", "key", F.col("node").alias("v")), ["way", "key"]).where("u > v").select("u", "v")
+    first = _decided(table, pairs.unionByName(crowded.where("node <> v").select(F.col("node").alias("u"), "v")), similarity)
+    more = crowded.isEmpty() and [] or _rest(rows, crowded, components(first))
+    links = first
+    for found in more:
+        links = links.unionByName(_decided(table, found, similarity))
+    return classes(table.select(key, "node"), key, components(links))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

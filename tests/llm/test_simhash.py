@@ -109,3 +109,28 @@ def test_one_of_each_group_stays(spark):
 def test_repeated_rows_stay_once(spark):
     docs = documents(spark, [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", "x"), (3, "other words are here", "x")])
     assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).select(F.col("doc_id")).collect()) == [1, 3]
+
+
+def alike_classes(texts):
+    """Classes of similarity 0.8 by brute force over all pairs."""
+    sets = {i: set(map(bytes, simhash.shingles(t, 5))) for i, t in texts.items()}
+    return classes([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+
+
+def test_copies_in_crowded_buckets(spark):
+    """Pairs of near copies among many texts that share a long passage, which heads most of their buckets."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(150)]
+    texts = {}
+    for pair in range(150):
+        own = [word() for _ in range(14)]
+        for copy in range(2):
+            words = passage + own
+            for at in rng.sample(range(150), 1):
+                words[at] = word()
+            texts[2 * pair + copy] = " ".join(words)
+    want = alike_classes(texts)
+    got = simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert len(set(want.values())) > 40
