@@ -39,6 +39,8 @@ MANY = 1 << 28
 #: Sampled fingerprints for similarity on shingle sets.
 BINS, SAMPLE = 64, 3
 SKETCH = 256
+#: How far the share told by sketches may be below the similarity: six standard errors at 0.8. The whole sets decide.
+SLACK = 0.15
 WIDE_RADIUS = 26
 #: Pairs for each member that a crowded bucket may cost; beyond, it is split by one more key, until ``MOST_KEYS`` are equal.
 MOST_CROSS, MOST_KEYS = 16, 4
@@ -219,14 +221,29 @@ def _told_alike(pairs: DataFrame, similarity: float) -> DataFrame:
                 if len(a) == SKETCH or len(b) == SKETCH:
                     union = union[:SKETCH]
                 both = np.intersect1d(a, b, assume_unique=True)
-                keep.append(len(both) and np.count_nonzero(both <= union[-1]) >= similarity * len(union))
+                keep.append(len(both) and np.count_nonzero(both <= union[-1]) >= (similarity - SLACK) * len(union))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array([bool(k) for k in keep], pa.bool_()))
 
     return pairs.select("u", "v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
 
 
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v, hashes_u, hashes_v) whose whole sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both > 0 and both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("u", "v", "hashes_u", "hashes_v").mapInArrow(released(run), "u long, v long")
+
+
 def _decided(table: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes that are similar: fingerprints discard, the sketches decide."""
+    """The pairs (u, v) of nodes that are similar: fingerprints and sketches discard, the whole sets decide."""
     met = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "met")
 
     def beside(pairs: DataFrame, name: str) -> DataFrame:
@@ -240,7 +257,8 @@ def _decided(table: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     side = lambda x: placed.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("at").alias(f"at_{x}"))
     near = (_coordinate_gap("at_u", "at_v") <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
     near_pairs = written(met.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "near")
-    return written(_told_alike(beside(near_pairs, "sketch"), similarity), "alike")
+    told = written(_told_alike(beside(near_pairs, "sketch"), similarity), "told")
+    return written(_alike(beside(told, "hashes"), similarity), "alike")
 
 
 def _paired(members: DataFrame, at: list[str]) -> DataFrame:
@@ -282,7 +300,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     one is first compared with a representative, chosen anew for every key; members
     that are then still in different classes are compared with each other, in
     buckets split by further keys. The pivot table of the fingerprints discards
-    first, then the Hamming distance, then the sketches decide. A null
+    first, then the Hamming distance, then sketches; the whole sets decide. A null
     or blank text is alike only to the others.
     """
     table = written(_set_table(docs, key, text, width), "sets")

@@ -134,3 +134,20 @@ def test_copies_in_crowded_buckets(spark):
     got = simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert len(set(want.values())) > 40
+
+
+def test_long_texts_are_decided_exactly(spark):
+    """Pairs of 1,200 words just above and just below the similarity."""
+    rng = random.Random(22)
+    texts = {}
+    for pair in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1200)]
+        other = list(words)
+        # a block of changed words: c + 4 of 1,196 shingles differ, the limit is at 132
+        changed = 122 if pair % 2 else 134
+        other[300 : 300 + changed] = [f"v{rng.randrange(10**6)}" for _ in range(changed)]
+        texts |= {2 * pair: " ".join(words), 2 * pair + 1: " ".join(other)}
+    want = alike_classes(texts)
+    assert sum(i != c for i, c in want.items()) == 15
+    got = simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
