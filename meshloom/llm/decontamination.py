@@ -2,9 +2,9 @@
 
 Test items are cut into overlapping word n-grams. A first pass over the corpus
 counts the documents that have each; n-grams that are rare are seeds. A second
-pass joins passages to items by seeds, keeps those with as many n-grams in common
-as an edited copy must have, and aligns what is left word by word. Texts are never
-shuffled. Items are sent in blocks of bounded size.
+pass joins passages to items by seeds, and aligns word by word every passage that
+has a seed and enough of the item's words. Texts are never shuffled. Items are sent
+in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -131,16 +131,17 @@ class Block:
         new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[item[1:]])]
         heads = np.flatnonzero(new)
         tails = np.r_[heads[1:], len(pos)]
-        # an item of m words of which (1 - s) m are changed keeps s m - (n - 1) ((1 - s) m + 1) of its n-grams at least
-        m = size[item[heads]]
-        least = np.maximum(1, np.ceil(similarity * m - (GRAM - 1) * ((1 - similarity) * m + 1) - 1e-9))
-        keep = (tails - heads >= least) & np.add.reduceat(rare.astype(np.int64), heads).astype(bool)
+        keep = np.add.reduceat(rare.astype(np.int64), heads).astype(bool)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for a, b in zip(heads[keep].tolist(), tails[keep].tolist(), strict=True):
             t, i = int(text[a]), int(item[a])
             mine = self.items[i]
             low, high = max(int(words.first[t]), int(pos[a]) - len(mine)), min(int(words.first[t + 1]), int(pos[b - 1]) + GRAM + len(mine))
-            matched, start, end = align(mine, words.names[low:high])
+            passage = words.names[low:high]
+            # no alignment matches more words than occur in the passage at all
+            if np.count_nonzero(np.isin(mine, passage)) < similarity * len(mine):
+                continue
+            matched, start, end = align(mine, passage)
             found = (matched / len(mine), low + start - int(words.first[t]), end - start)
             if found[0] >= similarity and found[0] > best.get((t, i), (0.0,))[0]:
                 best[t, i] = found

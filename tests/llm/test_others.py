@@ -40,6 +40,24 @@ def test_edited_passages(spark):
     assert clean == {r[0] for r in rows} - {i for i, _ in want}
 
 
+def test_passages_with_insertions(spark):
+    """Words inserted into a copy break its n-grams, but not the alignment."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    bench, rows = [], []
+    for i, (n, changed, inserted) in enumerate([(30, 3, 6), (100, 10, 18), (50, 0, 16)]):
+        words = [word() for _ in range(n)]
+        bench.append(" ".join(words))
+        edits = [(at, k < changed) for k, at in enumerate(rng.sample(range(changed + inserted), changed + inserted))]
+        step = n / (changed + inserted)
+        for at, change in sorted(edits, reverse=True):
+            where = int((at + 0.5) * step)
+            words[where : where + change] = [word()]
+        rows.append((i, " ".join([word() for _ in range(150)] + words + [word() for _ in range(150)]), "a"))
+    found = decontamination.contaminated(documents(spark, rows), items(spark, bench)).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 2) for r in found} == {(0, 0): 0.9, (1, 1): 0.9, (2, 2): 1.0}
+
+
 def test_blocks_change_nothing(spark, sf, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()))
