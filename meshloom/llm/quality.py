@@ -20,8 +20,6 @@ MAX_REPEAT_PERCENT = 30
 #: A line is boilerplate of its host if at least this many different texts of the host, and this share of them, have it.
 MIN_LINE_DOCS = 10
 MIN_LINE_SHARE = 0.02
-#: A longer line is a paragraph: repeats of it are copied text, which is for the operators on duplicates to judge.
-MAX_LINE_WORDS = 40
 #: A document is depleted if less than this share of its words is left.
 MIN_KEPT_SHARE = 0.4
 
@@ -93,7 +91,7 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", text
     lines = (
         who.select("_key", "_host", "_text", "_n", F.posexplode(F.transform(split, lambda x: F.struct(F.xxhash64(F.regexp_replace(x, SPACE_CLASS + "+", " ")).alias("h"), F.when(x == "", F.lit(0)).otherwise(F.size(F.split(x, SPACE_CLASS + "+"))).alias("w")))).alias("_pos", "_line"))
         .select("_key", "_host", "_text", "_n", "_pos", F.col("_line.h").alias("_hash"), F.col("_line.w").alias("_w"))
-        .where((F.col("_w") > 0) & (F.col("_w") <= MAX_LINE_WORDS))
+        .where(F.col("_w") > 0)
     )
     sizes = who.groupBy("_host", "_text").count().groupBy("_host").agg(F.count("*").alias("_texts"))
     counted = lines.groupBy("_host", "_hash", "_text").count().groupBy("_host", "_hash").agg(F.count("*").alias("_docs"))

@@ -29,3 +29,12 @@ def test_boilerplate_depletes(spark):
     assert all(kept[i] for i in range(30))
     assert all(kept[200 + i] for i in range(30))
     assert {r["doc_id"] for r in quality.kept_documents(documents(spark, rows)).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_long_lines_are_counted(spark):
+    """A paragraph of 60 words in different texts of a host is boilerplate like any line."""
+    rng = random.Random(4)
+    licence = prose(rng, 60)
+    rows = [(i, f"{licence}\n{prose(rng, 25)} {i}", "h") for i in range(12)] + [(100 + i, prose(rng, 80), "h") for i in range(12)]
+    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in quality.quality_rules(documents(spark, rows)).collect()}
+    assert got == {i: (60, False) if i < 100 else (0, True) for i in got}
