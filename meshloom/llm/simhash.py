@@ -188,7 +188,7 @@ def _sketch(h: np.ndarray) -> tuple[list[int], bytes]:
 def _set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(key, node, fp, keys, sketch, hashes) of every row with a word; node is XXH64 of the lower-cased words.
 
-    Hashes are those of all distinct shingles in order.
+    The fingerprint is that of the distinct shingles, as the similarity is; hashes are all of them in order.
     """
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
 
@@ -200,7 +200,7 @@ def _set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 sets = [np.unique(shingles(x, width).view(">u8")[:, 0].astype(np.uint64)) for x in texts]
                 made = [_sketch(s) if len(s) else ([], b"") for s in sets]
                 node = [_signed(xxhash.xxh64_intdigest(b" ".join(x.encode().lower().split()), SEED)) for x in texts]
-                fps = fingerprints([shingles(x, width) for x in texts])
+                fps = fingerprints([s.astype(">u8").view(np.uint8).reshape(-1, 8) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(node, pa.int64()), pa.array(fps.view(np.int64)), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["k", "node", "fp", "keys", "sketch", "hashes"],

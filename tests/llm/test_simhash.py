@@ -151,3 +151,15 @@ def test_long_texts_are_decided_exactly(spark):
     assert sum(i != c for i, c in want.items()) == 15
     got = simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_repeated_lines_do_not_hide_copies(spark):
+    """A text that repeats a line has the same shingle set, nearly, as one that does not."""
+    rng = random.Random(23)
+    texts = {}
+    for pair in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(700)]
+        line = [f"l{rng.randrange(10**6)}" for _ in range(15)]
+        texts |= {2 * pair: " ".join(words + line), 2 * pair + 1: " ".join(words + line * 20)}
+    got = simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in texts}
