@@ -22,6 +22,8 @@ from .common import written
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: A place with more different literal segments than this, or whose commonest has less than this share, is variable.
 MOST_SIBLINGS, LEAST_TOP_SHARE = 24, 0.02
+#: A branch of a variable place is small with less than ``LEAST_TOP_SHARE`` of its rows and fewer labels than this.
+LEAST_LABELS = 4
 #: Branches are alike if their smoothed shares of blocked labels differ by less than this many standard errors.
 ALIKE = 1.5
 #: Prior labels added to each template: their number and blocked share; the share at which a template is rejected.
@@ -67,8 +69,9 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Level by level, each (host, template so far) is a place and the next segments
     its branches. Looks decide first; then a place with too many branches, or none
-    common, takes one wildcard for all; then branches whose blocked shares are
-    alike to that of their siblings together are merged into it too. Each level
+    common, takes one wildcard for all that are small; then branches whose blocked
+    shares are alike to that of their siblings together are merged into it too. A
+    branch with rows or labels enough and another share stays apart. Each level
     joins aggregated counts only. Levels end when no path has more segments; segments deeper than ``LEVELS``
     count as one.
     """
@@ -87,7 +90,8 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("l") + PRIOR_LABELS) + 1 / (others_l + PRIOR_LABELS)))
         alike = F.abs(_share(F.col("b"), F.col("l")) - _share(others_b, others_l)) < ALIKE * error
         variable = (F.col("k") > MOST_SIBLINGS) | (F.col("top") < LEAST_TOP_SHARE * F.col("all_n"))
-        merged = seen.where((F.col("k") > 1) & (variable | alike)).select("host", "at", "step", F.lit(True).alias("merged"))
+        small = (F.col("n") < LEAST_TOP_SHARE * F.col("all_n")) & (F.col("l") < LEAST_LABELS)
+        merged = seen.where((F.col("k") > 1) & (variable & small | alike)).select("host", "at", "step", F.lit(True).alias("merged"))
         paths = paths.join(merged, ["host", "at", "step"], "left")
         wild = F.when(F.coalesce("merged", F.lit(False)), F.lit("*")).otherwise(F.col("step"))
         paths = written(paths.withColumn("at", F.when(F.col("step").isNull(), F.col("at")).otherwise(F.concat("at", F.lit("/"), wild))).drop("looks", "step", "merged"), f"level{level}")

@@ -152,6 +152,17 @@ def test_templates_are_judged_by_their_labels(spark):
     assert named.count() == len(rows)
 
 
+@pytest.mark.parametrize("siblings", [24, 25, 60])
+def test_labels_stay_apart_among_many_siblings(spark, siblings):
+    """Blocked pages of one section say nothing about another, however many sections there are."""
+    rows = [("h.com", f"/de/{i}", 1, 1, 1) for i in range(14)] + [("h.com", f"/en/{i}", 1, 0, 0) for i in range(30)]
+    rows += [("h.com", f"/{chr(97 + k // 20)}{chr(97 + k % 20)}/{i}", 1, 0, 0) for k in range(siblings - 2) for i in range(3)]
+    named, judged = urls.templates(spark.createDataFrame(rows, "host string, path string, n long, labelled long, blocked long"))
+    verdicts = {r["path"]: r["verdict"] for r in named.join(judged, ["host", "template"]).collect()}
+    assert {p for p, v in verdicts.items() if v == "block"} == {f"/de/{i}" for i in range(14)}
+    assert len(verdicts) == len(rows)
+
+
 # WARC.
 
 
