@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..schema import BOX, TRIANGLE
+from .clusters import clustered, clustered_points, near_clusters
 from .mesh import objects
 
 
@@ -35,11 +36,39 @@ def cluster_simplify(triangles: DataFrame, cell: float) -> DataFrame:
     return kept.select("object_id", "tri_id", *TRIANGLE)
 
 
+def _nearest_facet(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(object_id, point columns, near_tri, d): the triangle of its object that is nearest to each point (px, py, pz), ties by number.
+
+    Only triangles of clusters that can hold the nearest one are looked at.
+    """
+    faces, groups = clustered(triangles.select("object_id", "tri_id", *TRIANGLE), objects(triangles))
+    keys = points.columns
+    near = near_clusters(points, groups, ("px", "py", "pz")).join(faces.withColumnRenamed("tri_id", "near_tri"), ["object_id", "cluster"])
+    d = g.point_tri_distance(g.vec("p"), g.vec("a"), g.vec("b"), g.vec("c"))
+    return near.withColumn("d", d).groupBy(*keys).agg(F.min("d").alias("d"), F.min_by("near_tri", F.struct("d", "near_tri")).alias("near_tri"))
+
+
 def hausdorff(samples: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Per facet of the samples: the largest distance of its samples to the object's other surface."""
-    points = samples.select("object_id", F.col("tri_id").alias("facet"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    nearest = points.join(triangles, "object_id").groupBy("object_id", "facet", "px", "py", "pz").agg(F.min(g.point_tri_distance(g.vec("p"), g.vec("a"), g.vec("b"), g.vec("c"))).alias("d"))
-    return nearest.groupBy("object_id", "facet").agg(F.max("d").alias("hausdorff"))
+    """Per facet of the samples (object_id, tri_id, x, y, z): the largest distance of its samples to the object's other surface."""
+    points = samples.select("object_id", F.col("tri_id").alias("facet"), *[F.col(c).alias(f"p{c}") for c in "xyz"]).distinct()
+    return _nearest_facet(points, triangles).groupBy("object_id", "facet").agg(F.max("d").alias("hausdorff"))
+
+
+def facet_hausdorff(coarse: DataFrame, original: DataFrame, steps: int = 4, rate: float = 30.0) -> DataFrame:
+    """(object_id, facet, hausdorff, proxy) of every facet of a coarse level against the original.
+
+    ``hausdorff``: the largest distance of the facet's samples to the original.
+    ``proxy``: the largest distance of those samples of the original that are nearest
+    to this facet; 0, if there are none. Both with the half diagonal of a sample's
+    area, sqrt(gap / 2), on top, which no place between samples exceeds.
+    """
+    term = F.sqrt(F.col("gap") / 2)
+    gaps = sampling_gap(coarse, rate)
+    one = hausdorff(sample_points(coarse, steps), original)
+    back = sample_points(original, steps).select("object_id", *[F.col(c).alias(f"p{c}") for c in "xyz"]).distinct()
+    two = _nearest_facet(back, coarse).groupBy("object_id", F.col("near_tri").alias("facet")).agg(F.max("d").alias("proxy"))
+    rows = one.join(two, ["object_id", "facet"], "left").join(gaps, "object_id")
+    return rows.select("object_id", "facet", (F.col("hausdorff") + term).alias("hausdorff"), F.when(F.col("proxy").isNotNull(), F.col("proxy") + term).otherwise(F.lit(0.0)).alias("proxy"))
 
 
 def hausdorff_global(facets: DataFrame) -> DataFrame:
@@ -53,8 +82,11 @@ def hausdorff_quantize(facets: DataFrame) -> DataFrame:
 
 
 def _nearest(points: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
+    """The seed (object_id, seed, sx, sy, sz) nearest to each point, ties by number; only seeds of clusters that can hold it are looked at."""
+    held, groups = clustered_points(seeds.select("object_id", "seed", *[F.col(f"s{c}").alias(c) for c in "xyz"]))
+    held = held.select("object_id", "cluster", "seed", *[F.col(c).alias(f"s{c}") for c in "xyz"])
     d = sum(((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return points.join(seeds, "object_id").groupBy(*keys, "x", "y", "z").agg(F.min_by("seed", F.struct(d, F.col("seed"))).alias("seed"))
+    return near_clusters(points, groups, ("x", "y", "z")).join(held, ["object_id", "cluster"]).groupBy(*keys, "x", "y", "z").agg(F.min_by("seed", F.struct(d, F.col("seed"))).alias("seed"))
 
 
 def skeleton_points(vertices: DataFrame, gap: int, rounds: int = 2) -> DataFrame:
@@ -66,13 +98,17 @@ def skeleton_points(vertices: DataFrame, gap: int, rounds: int = 2) -> DataFrame
     return seeds
 
 
+def facet_voxels(triangles: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(object_id, tri_id, voxel_id): the skeleton point nearest to each facet's barycentre."""
+    mid = g.tri_barycenter(*[g.vec(v) for v in "abc"])
+    points = triangles.select("object_id", "tri_id", *[x.alias(n) for x, n in zip(mid, "xyz", strict=True)])
+    return _nearest(points, seeds, ["object_id", "tri_id"]).select("object_id", "tri_id", F.col("seed").alias("voxel_id"))
+
+
 def voxels_by_seed(triangles: DataFrame, seeds: DataFrame) -> DataFrame:
     """Facets go to the nearest skeleton point; a voxel is the box around a point's facets. Points without facets have none."""
-    a, b, c = g.vec("a"), g.vec("b"), g.vec("c")
-    box = g.tri_box(a, b, c)
-    facets = triangles.select("object_id", "tri_id", *[x.alias(n) for x, n in zip(g.tri_barycenter(a, b, c), "xyz", strict=True)], *[x.alias(n) for x, n in zip(box, BOX, strict=True)])
-    near = _nearest(facets.select("object_id", "tri_id", "x", "y", "z"), seeds, ["object_id", "tri_id"]).select("object_id", "tri_id", "seed")
-    return facets.join(near, ["object_id", "tri_id"]).groupBy("object_id", F.col("seed").alias("voxel_id")).agg(*[(F.min if n[0] == "l" else F.max)(n).alias(n) for n in BOX], F.count("*").alias("n_tri"))
+    box = g.tri_box(*[g.vec(v) for v in "abc"])
+    return triangles.join(facet_voxels(triangles, seeds), ["object_id", "tri_id"]).groupBy("object_id", "voxel_id").agg(*[(F.min if n[0] == "l" else F.max)(x).alias(n) for x, n in zip(box, BOX, strict=True)], F.count("*").alias("n_tri"))
 
 
 def voxelize(samples: DataFrame, boxes: DataFrame, steps: int) -> DataFrame:
@@ -99,5 +135,59 @@ def progressive_decide(bounds: DataFrame, d: float) -> DataFrame:
     return bounds.withColumn("within", decided).where(F.col("within").isNotNull()).groupBy("a_object_id", "b_object_id").agg(F.min("lod").alias("lod"), F.min_by("within", "lod").alias("within"))
 
 
+def levels_of(triangles: DataFrame, cells: dict[int, float]) -> dict[int, DataFrame]:
+    """Levels of detail by number, 100 the original: vertices are clustered with each level's cell; a level of an object without facets left is that of the next finer one."""
+    out = {100: triangles}
+    for lod in sorted(cells, reverse=True):
+        finer = out[min(x for x in out if x > lod)]
+        coarse = cluster_simplify(triangles, cells[lod])
+        out[lod] = coarse.unionByName(finer.select("object_id", "tri_id", *TRIANGLE).join(coarse.select("object_id").distinct(), "object_id", "left_anti"))
+    return dict(sorted(out.items()))
+
+
+def removal_error(rings: DataFrame) -> DataFrame:
+    """(object_id, vertex_id, error) of taking out a vertex, given the polygon of its neighbours: (object_id, vertex_id, ring: array of x, y, z in order).
+
+    The cube root of the volume between the polygon and the pyramid over its
+    barycentre, times the number of corners, over the perimeter; 0 where the volume
+    is not positive. The polygon's normal is that of its corners in order.
+    """
+    n = F.size("ring")
+    nxt = lambda k: F.get("ring", (k + 1) % n)
+    total = lambda f: F.aggregate(F.transform("ring", f), F.lit(0.0), lambda s, x: s + x)
+    along = lambda c: lambda p: p[c]
+    turn = lambda u, v: lambda p, k: (p[u] - nxt(k)[u]) * (p[v] + nxt(k)[v])
+    rows = rings.where(n >= 3).select("*", *[(total(along(c)) / n).alias(f"_b{c}") for c in "xyz"])
+    b = g.vec("_b")
+    point = lambda p: tuple(p[c] for c in "xyz")
+    # Newell's normal
+    normal = [total(turn(u, v)) for u, v in (("y", "z"), ("z", "x"), ("x", "y"))]
+    rows = rows.select("*", *[x.alias(f"_n{c}") for x, c in zip(normal, "xyz", strict=True)], total(lambda p, k: g.norm(g.sub(point(nxt(k)), point(p)))).alias("_perimeter"), total(lambda p, k: g.tri_area(point(p), point(nxt(k)), b)).alias("_area"))
+    size = F.nullif(g.norm(g.vec("_n")), F.lit(0.0))
+    base = F.col("_area") * g.dot(b, g.scale(g.vec("_n"), F.lit(-1.0))) / size / 3
+    # area times unit normal is half the cross product
+    cone = total(lambda p, k: g.dot(point(p), g.tri_normal(point(p), point(nxt(k)), b)) / 6)
+    volume = F.coalesce(base, F.lit(0.0)) + cone
+    return rows.select("object_id", "vertex_id", F.when(volume > 0, F.cbrt(volume) * n / F.nullif(F.col("_perimeter"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("error"))
+
+
+def violates_manifold(faces: DataFrame) -> DataFrame:
+    """(object_id, vertex_id, violates): whether taking out a vertex would join two of its neighbours twice.
+
+    ``faces`` is (object_id, face_id, ring: array of vertex numbers), a closed mesh.
+    That is so where two neighbours of the vertex that follow each other around it are
+    joined by an edge although the face between has more than three corners. (Two
+    that do not follow each other may be joined: the patch has no edge there.)
+    """
+    ring, n = F.col("ring"), F.size("ring")
+    corner = F.transform("ring", lambda v, k: F.struct(v.alias("v"), F.get(ring, (k + n - 1) % n).alias("before"), F.get(ring, (k + 1) % n).alias("after"), n.alias("degree")))
+    corners = faces.where(n >= 3).select("object_id", F.explode(corner).alias("c")).select("object_id", F.col("c.v").alias("vertex_id"), "c.before", "c.after", "c.degree")
+    lows = lambda x, y: (F.least(x, y).alias("_lo"), F.greatest(x, y).alias("_hi"))
+    joined = corners.select("object_id", *lows(F.col("vertex_id"), F.col("after"))).distinct().withColumn("_edge", F.lit(True))
+    open_ = corners.where("degree > 3").select("object_id", "vertex_id", *lows(F.col("before"), F.col("after")))
+    bad = open_.join(joined, ["object_id", "_lo", "_hi"], "left_semi").select("object_id", "vertex_id").distinct().withColumn("violates", F.lit(True))
+    return corners.select("object_id", "vertex_id").distinct().join(bad, ["object_id", "vertex_id"], "left").select("object_id", "vertex_id", F.coalesce("violates", F.lit(False)).alias("violates"))
+
+
 def object_boxes(triangles: DataFrame) -> DataFrame:
     return objects(triangles).select("object_id", *BOX)

@@ -8,54 +8,121 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.kernels import tri_tri_distance, tri_tri_intersects
 from ..schema import BOX, TRIANGLE
-from .joins import box_pairs, default_cell
+from ..storage import written
+from .clusters import clustered
+from .detail import facet_hausdorff
+from .grid import censuses, grid_for, grid_join, is_box, number
+from .joins import box_pairs, cluster_pairs, names_of, sent_if_small, side_box
 from .mesh import Mesh
 
 
-def _buffered(boxes: DataFrame, d: float) -> DataFrame:
-    return boxes.select("object_id", *[x.alias(c) for x, c in zip(g.box_buffer(g.box(), F.lit(float(d))), BOX, strict=True)])
-
-
-def _sides(pairs: DataFrame) -> tuple:
-    return tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX)
+#: Steps a side at which facets are sampled for Hausdorff values: samples are then no further apart than the term that is added for what lies between.
+HAUSDORFF_STEPS = 7
 
 
 def box_pairs_within(a: DataFrame, b: DataFrame, d: float, cell: float | None = None) -> DataFrame:
     """Pairs of (object_id, box) rows at most ``d`` apart, with their gap and the largest distance of their points."""
-    cell = cell or max(default_cell(a, b), float(d))
-    near = box_pairs(_buffered(a, d), b, cell)
-    true = tuple(F.col(f"a_{c}") + (d if c[0] == "l" else -d) for c in BOX)
-    box_b = tuple(F.col(f"b_{c}") for c in BOX)
-    rows = near.select("a_object_id", "b_object_id", *[x.alias(f"a_{c}") for x, c in zip(true, BOX, strict=True)], *[f"b_{c}" for c in BOX])
-    own = a.select(F.col("object_id").alias("a_object_id"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    rows = rows.select("a_object_id", "b_object_id", *[f"b_{c}" for c in BOX]).join(own, "a_object_id")  # unrounded boxes
-    box_a = tuple(F.col(f"a_{c}") for c in BOX)
-    return rows.withColumn("gap", g.box_gap(box_a, box_b)).withColumn("reach", g.box_reach(box_a, box_b)).where(F.col("gap") <= d)
-
-
-def triangle_pairs(a: Mesh, b: Mesh, pairs: DataFrame, bound: Column) -> DataFrame:
-    """Triangle pairs of candidate objects whose boxes are at most ``bound`` apart: eighteen coordinates a pair."""
-    mine = lambda m, s: m.triangles.select(F.col("object_id").alias(f"{s}_object_id"), F.col("tri_id").alias(f"{s}_tri_id"), *[F.col(c).alias(f"{s}{c}") for c in TRIANGLE])
-    corner = lambda s: [g.vec(f"{s}{v}") for v in "abc"]
-    box_b = tuple(F.col(f"b_{c}") for c in BOX)
-    left = pairs.join(mine(a, "a"), "a_object_id").where(g.box_gap(g.tri_box(*corner("a")), box_b) <= bound)
-    both = left.join(mine(b, "b"), "b_object_id")
-    return both.where(g.box_gap(g.tri_box(*corner("a")), g.tri_box(*corner("b"))) <= bound)
+    side = lambda t, s: t.selectExpr(f"object_id AS {s}_object_id", *[f"{c} AS {s}_{c}" for c in BOX])
+    x, y = side_box("a"), side_box("b")
+    # a little more, so that boxes exactly d apart are not lost to rounding
+    wider = [f"(a_{c} {'-' if c[0] == 'l' else '+'} {number(d * (1 + 1e-12))})" for c in BOX]
+    near = grid_join(side(a, "a"), side(b, "b"), wider, names_of("b"), cell=cell)
+    return near.withColumn("gap", g.box_gap(x, y)).withColumn("reach", g.box_reach(x, y)).where(F.col("gap") <= d)
+
+
+def _corners(s: str) -> list[g.Vec]:
+    return [g.vec(f"{s}{v}") for v in "abc"]
 
 
 def _coordinates() -> list[Column]:
     return [F.col(f"{s}{c}") for s in "ab" for c in TRIANGLE]
 
 
+def _measured(a: Mesh, b: Mesh, pairs: DataFrame, bound: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Distances ``d`` of those triangle pairs that can be the nearest of their objects, for distances up to ``bound``.
+
+    In two steps: clusters of triangles first, of which a pair is kept if its gap is
+    no more than the least upper bound that any pair of clusters gives; then the
+    triangles of these clusters, by object and cluster. With n triangles each, that
+    is n pairs of clusters, not n * n pairs of triangles. ``extra``: columns of the
+    triangles that are kept.
+    """
+    (ta, ca), (tb, cb) = clustered(a.triangles, a.objects), clustered(b.triangles, b.objects)
+    part = lambda c, s: c.select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), *[F.col(x).alias(f"{s}k_{x}") for x in BOX])
+    x, y = tuple(F.col(f"ak_{c}") for c in BOX), tuple(F.col(f"bk_{c}") for c in BOX)
+    both = pairs.select("a_object_id", "b_object_id", bound.cast("double").alias("_bound")).join(part(ca, "a"), "a_object_id").join(part(cb, "b"), "b_object_id")
+    # a little more, so that rounding loses nothing
+    both = both.withColumn("_gap", g.box_gap(x, y)).withColumn("_least", F.least("_bound", F.min(g.box_reach(x, y)).over(Window.partitionBy("a_object_id", "b_object_id"))) * F.lit(1 + 1e-12) + F.lit(1e-300))
+    kept = both.where(F.col("_gap") <= F.col("_least")).select("a_object_id", "b_object_id", "a_cluster", "b_cluster", "_least", *[f"bk_{c}" for c in BOX])
+    mine = lambda t, s: t.select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), F.col("tri_id").alias(f"{s}_tri_id"), *[F.col(c).alias(f"{s}{c}") for c in TRIANGLE], *[F.col(c).alias(f"{s}_{c}") for c in extra])
+    left = kept.join(mine(ta, "a"), ["a_object_id", "a_cluster"]).where(g.box_gap(g.tri_box(*_corners("a")), y) <= F.col("_least")).drop(*[f"bk_{c}" for c in BOX])
+    rows = left.join(mine(tb, "b"), ["b_object_id", "b_cluster"]).where(g.box_gap(g.tri_box(*_corners("a")), g.tri_box(*_corners("b"))) <= F.col("_least"))
+    return rows.withColumn("d", tri_tri_distance(*_coordinates()))
+
+
 def mesh_distances(a: Mesh, b: Mesh, pairs: DataFrame, bound: Column) -> DataFrame:
     """(a, b, distance, nearest triangles) of candidate pairs, for distances up to ``bound``."""
-    rows = triangle_pairs(a, b, pairs, bound).withColumn("d", tri_tri_distance(*_coordinates()))
+    rows = _measured(a, b, pairs, bound)
     return rows.groupBy("a_object_id", "b_object_id").agg(F.min("d").alias("distance"), F.min_by(F.struct("a_tri_id", "b_tri_id"), F.struct("d", "a_tri_id", "b_tri_id")).alias("nearest")).select("a_object_id", "b_object_id", "distance", "nearest.*")
 
 
-def within(a: Mesh, b: Mesh, d: float, cell: float | None = None) -> DataFrame:
-    """Pairs whose surfaces are at most ``d`` apart, with their distance. A mesh inside another is as far as its surface."""
-    pairs = box_pairs_within(a.objects, b.objects, d, cell)
+def mesh_distance_ranges(a: Mesh, b: Mesh, pairs: DataFrame) -> DataFrame:
+    """(a, b, distance, min_dist, max_dist) of pairs of coarse meshes, whose triangles have ``hausdorff`` and ``proxy`` (see ``detail``).
+
+    The distance of the original meshes is no less than ``min_dist``, the least of
+    d - proxy - proxy over triangle pairs (0, if that is less), and no more than
+    ``max_dist``, the least of d + hausdorff + hausdorff. Triangle pairs further
+    apart than the least upper bound and the largest values together decide nothing.
+    """
+    most = [m.triangles.agg(F.max("hausdorff"), F.max("proxy")).first() for m in (a, b)]
+    slack = max((most[0][i] or 0.0) + (most[1][i] or 0.0) for i in range(2))
+    (ta, ca), (tb, cb) = [(t.withColumn("_h", F.col("hausdorff")).withColumn("_p", F.col("proxy")), c) for t, c in (clustered(m.triangles, m.objects) for m in (a, b))]
+    part = lambda c, s: c.select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), *[F.col(x).alias(f"{s}k_{x}") for x in BOX])
+    x, y = tuple(F.col(f"ak_{c}") for c in BOX), tuple(F.col(f"bk_{c}") for c in BOX)
+    both = pairs.select("a_object_id", "b_object_id").join(part(ca, "a"), "a_object_id").join(part(cb, "b"), "b_object_id")
+    least = F.min(g.box_reach(x, y)).over(Window.partitionBy("a_object_id", "b_object_id")) + F.lit(float(slack) * (1 + 1e-9) + 1e-300)
+    kept = both.withColumn("_gap", g.box_gap(x, y)).withColumn("_least", least).where(F.col("_gap") <= F.col("_least")).select("a_object_id", "b_object_id", "a_cluster", "b_cluster", "_least")
+    mine = lambda t, s: t.select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), F.col("_h").alias(f"{s}_h"), F.col("_p").alias(f"{s}_p"), *[F.col(c).alias(f"{s}{c}") for c in TRIANGLE])
+    rows = kept.join(mine(ta, "a"), ["a_object_id", "a_cluster"]).join(mine(tb, "b"), ["b_object_id", "b_cluster"])
+    rows = rows.where(g.box_gap(g.tri_box(*_corners("a")), g.tri_box(*_corners("b"))) <= F.col("_least")).withColumn("d", tri_tri_distance(*_coordinates()))
+    low, high = F.greatest(F.lit(0.0), F.col("d") - F.col("a_p") - F.col("b_p")), F.col("d") + F.col("a_h") + F.col("b_h")
+    return rows.groupBy("a_object_id", "b_object_id").agg(F.min("d").alias("distance"), F.min(low).alias("min_dist"), F.min(high).alias("max_dist"))
+
+
+def progressive_within(a: dict[int, DataFrame], b: dict[int, DataFrame], pairs: DataFrame, d: float) -> DataFrame:
+    """(a, b, within, lod): whether the surfaces of candidate pairs are at most ``d`` apart, and at which level that was decided.
+
+    ``a`` and ``b`` have the triangles of the same levels, the last of which is the
+    original. A level tells a range of distances from Hausdorff values; pairs whose
+    range is on one side of ``d`` leave, and only the others come to the next level.
+    The last level measures what is left.
+    """
+    *coarse, last = sorted(a)
+    open_, told = written(pairs.select("a_object_id", "b_object_id").distinct(), "open"), None
+    key = ["a_object_id", "b_object_id"]
+    for lod in coarse:
+        sides = []
+        for levels, side in ((a, "a_object_id"), (b, "b_object_id")):
+            wanted = open_.select(F.col(side).alias("object_id")).distinct()
+            here, full = (levels[x].join(wanted, "object_id", "left_semi") for x in (lod, last))
+            values = facet_hausdorff(here, full, HAUSDORFF_STEPS).withColumnRenamed("facet", "tri_id")
+            sides.append(Mesh(written(here.join(values, ["object_id", "tri_id"]), f"level{lod}")))
+        ranges = mesh_distance_ranges(*sides, open_)
+        decided = F.when(F.col("max_dist") <= d, True).when(F.col("min_dist") > d, False)
+        done = written(ranges.select(*key, decided.alias("within"), F.lit(lod).alias("lod")).where("within is not null"), "decided")
+        told = done if told is None else told.unionByName(done)
+        open_ = written(open_.join(done, key, "left_anti"), "open")
+    exact = within(Mesh(a[last]), Mesh(b[last]), d, pairs=open_).select(*key, F.lit(True).alias("met"))
+    rest = open_.join(exact, key, "left").select(*key, F.coalesce("met", F.lit(False)).alias("within"), F.lit(last).alias("lod"))
+    return rest if told is None else told.unionByName(rest)
+
+
+def within(a: Mesh, b: Mesh, d: float, cell: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs whose surfaces are at most ``d`` apart, with their distance. A mesh inside another is as far as its surface.
+
+    ``pairs``: the candidates (a_object_id, b_object_id), if they are known.
+    """
+    pairs = box_pairs_within(a.objects, b.objects, d, cell) if pairs is None else pairs
     return mesh_distances(a, b, pairs, F.lit(float(d))).where(F.col("distance") <= d).select("a_object_id", "b_object_id", "distance")
 
 
@@ -64,27 +131,34 @@ def knn_candidates(a: DataFrame, b: DataFrame, k: int, cell: float | None = None
 
     The search radius starts at a cell and doubles for the objects that do not yet
     have k candidates with an upper bound within it; decided objects leave. Every
-    round is an equi-join on cells, never on all pairs.
+    round is an equi-join on cells, never on all pairs, and is written, so that
+    plans do not grow with the rounds. Rows whose box is null, NaN or infinite are
+    near nothing.
     """
-    cell = cell or default_cell(a, b)
-    total = b.count()
-    most = min(k, total - (1 if exclude_self else 0))
-    schema_rows = None
-    if most <= 0:
-        return box_pairs_within(a.limit(0), b, cell, cell)
-    open_, d = a.select("object_id", *BOX), float(cell)
+    a, b = a.where(is_box(BOX)).select("object_id", *BOX), b.where(is_box(BOX)).select("object_id", *BOX)
+    found = censuses({"a": (a, BOX), "b": (b, BOX)})
+    most = min(k, found["b"].n - (1 if exclude_self else 0))
+    grid = grid_for(found["a"], found["b"], cell)
+    radius = float(cell or (grid.cell if grid else max(found["a"].mean, found["b"].mean, 1.0)))
+    if most <= 0 or not found["a"].n:
+        return box_pairs_within(a.limit(0), b.limit(0), radius, cell).withColumn("kth", F.lit(0.0))
+    # no two points of both sides are further apart
+    reach = sum((max(found["a"].high[i], found["b"].high[i]) - min(found["a"].low[i], found["b"].low[i])) ** 2 for i in range(3)) ** 0.5
+    open_, d, told = a, radius, None
     while True:
-        near = box_pairs_within(open_, b, d, max(cell, d))
+        last = d >= reach
+        near = box_pairs_within(open_, b, d, max(radius, d))
         if exclude_self:
             near = near.where("a_object_id <> b_object_id")
         w = Window.partitionBy("a_object_id").orderBy("reach", "b_object_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = near.withColumn("kth", F.nth_value("reach", most).over(w))
-        done = rows.where((F.col("kth") <= d) & (F.col("gap") <= F.col("kth")))
-        schema_rows = done if schema_rows is None else schema_rows.unionByName(done)
-        settled = rows.where(F.col("kth") <= d).select(F.col("a_object_id").alias("object_id")).distinct()
-        open_ = open_.join(settled, "object_id", "left_anti")
+        done = written(rows.where((F.col("kth") <= F.lit(float("inf") if last else d)) & (F.col("gap") <= F.col("kth"))), "near")
+        told = done if told is None else told.unionByName(done)
+        if last:
+            return told
+        open_ = written(open_.join(done.select(F.col("a_object_id").alias("object_id")).distinct(), "object_id", "left_anti"), "open")
         if open_.isEmpty():
-            return schema_rows
+            return told
         d *= 2
 
 
@@ -103,13 +177,18 @@ def self_join(mesh: Mesh, join, **options) -> DataFrame:
 
 def face_join(a: Mesh, b: Mesh, cell: float | None = None) -> DataFrame:
     """Pairs of objects of which some triangles meet, borders and coplanar faces included."""
-    pairs = box_pairs(a.objects, b.objects, cell or default_cell(a.objects, b.objects))
-    rows = triangle_pairs(a, b, pairs, F.lit(0.0))
-    return rows.where(tri_tri_intersects(*_coordinates())).select("a_object_id", "b_object_id").distinct()
+    box = lambda s: [f"{f}({', '.join(f'{s}{v}{c}' for v in 'abc')})" for f in ("least", "greatest") for c in "xyz"]
+    meet = lambda x, y: " AND ".join(f"{x[i]} <= {y[i + 3]} AND {y[i]} <= {x[i + 3]}" for i in range(3))
+    size = lambda m: m.census["cluster"].weight
+    side = lambda m, s: sent_if_small(m.faces.selectExpr(f"object_id AS {s}_object_id", f"cluster AS {s}_cluster", *[f"{c} AS {s}{c}" for c in TRIANGLE]), size(m))
+    pairs = cluster_pairs(a, b, cell)
+    near = pairs.join(side(a, "a"), ["a_object_id", "a_cluster"]).where(meet(box("a"), names_of("b"))).drop(*names_of("a"), *names_of("b"), "a_cluster")
+    met = near.join(side(b, "b"), ["b_object_id", "b_cluster"]).where(meet(box("a"), box("b")))
+    return met.where(tri_tri_intersects(*_coordinates())).select("a_object_id", "b_object_id").distinct()
 
 
 def touch_candidates(a: Mesh, b: Mesh, cell: float | None = None) -> DataFrame:
-    return box_pairs(a.objects, b.objects, cell or default_cell(a.objects, b.objects)).select("a_object_id", "b_object_id")
+    return box_pairs(a.objects, b.objects, cell).select("a_object_id", "b_object_id")
 
 
 def touch_join(a: Mesh, b: Mesh, cell: float | None = None) -> DataFrame:
@@ -141,18 +220,90 @@ def voxel_pair_candidates(pairs: DataFrame, va: DataFrame, vb: DataFrame) -> Dat
 
 
 def sort_partition(boxes: DataFrame, cuts: int) -> DataFrame:
-    """Slices of boxes along x, then y, then z, by their low corners: ``cuts`` in each direction.
+    """Slices of boxes along x, then y, then z, by their low corners: ``cuts`` in each direction, of equal counts (but for one).
+
+    Rows are numbered along x by running sums over ranges, within a slice along y and
+    within that along z in the same way, so no task ever sorts more than a range.
+    Ties go by object_id.
+    """
+    rows, keys = boxes, []
+    for axis in "xyz":
+        rows = _ntiles(rows, keys, f"l{axis}", cuts).withColumnRenamed("_tile", f"p{axis}")
+        keys.append(f"p{axis}")
+    return rows
+
+
+def _ntiles(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """``_tile`` 1..n of each row within its group ``keys`` (of which there are few): as ``ntile``, with larger tiles first."""
+    from .joins import prefix_sums
+
+    first, *more = [*keys, order, "object_id"]
+    numbered = prefix_sums(rows.withColumn("_one", F.lit(1)), first, more, "_one").drop("_one")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = sizes.select(*keys, "_n", F.coalesce(F.sum("_n").over(Window.orderBy(*keys or [F.lit(0)]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    joined = numbered.join(F.broadcast(before), keys) if keys else numbered.crossJoin(F.broadcast(before))  # a row for each slice
+    at, big, whole = F.col("offset") - F.col("_start"), F.pmod(F.col("_n"), F.lit(n)), F.floor(F.col("_n") / n)
+    tile = F.when(at < big * (whole + 1), F.floor(at / (whole + 1))).otherwise(big + F.floor((at - big * (whole + 1)) / F.greatest(whole, F.lit(1))))
+    return joined.withColumn("_tile", (tile + 1).cast("int")).drop("offset", "_n", "_start")
+
+
+def str_tree(boxes: DataFrame, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
+    """A tree over boxes, packed by their centres: leaves (object_id, leaf) and nodes (level, node, parent, box).
+
+    Objects are sliced along x, y and z so that a leaf has up to ``fanout`` of them
+    (about: slices are of equal counts); every level above merges as many
+    neighbouring nodes in the order of the slices. Level 0 holds the leaves, the
+    highest one node, whose parent is null.
+    """
+    total = boxes.count()
+    leaves = max(1, -(-total // fanout))
+    sx = max(1, round(leaves ** (1 / 3) + 0.4999))
+    sy = max(1, round((leaves / sx) ** 0.5 + 0.4999))
+    sz = max(1, -(-leaves // (sx * sy)))
+    center = [((F.col(BOX[i]) + F.col(BOX[i + 3])) / 2).alias(f"c{c}") for i, c in enumerate("xyz")]
+    rows, keys = boxes.select("object_id", *BOX, *center), []
+    for axis, n in zip("xyz", (sx, sy, sz), strict=True):
+        rows = _ntiles(rows, keys, f"c{axis}", n).withColumnRenamed("_tile", f"p{axis}")
+        keys.append(f"p{axis}")
+    leaf = ((F.col("px") - 1) * sy + F.col("py") - 1) * sz + F.col("pz") - 1
+    rows = written(rows.select("object_id", *BOX, leaf.cast("long").alias("node")), "leaves")
+    around = [(F.min if c[0] == "l" else F.max)(c).alias(c) for c in BOX]
+    nodes, level, tree = rows.groupBy("node").agg(*around), 0, None
+    while True:
+        nodes = written(nodes, "nodes")  # a level has half as many as the one below
+        top = nodes.agg(F.max("node")).first()[0]
+        last = not top
+        told = nodes.select(F.lit(level).alias("level"), "node", (F.lit(None).cast("long") if last else F.floor(F.col("node") / fanout)).alias("parent"), *BOX)
+        tree = told if tree is None else tree.unionByName(told)
+        if last:
+            return rows.select("object_id", F.col("node").alias("leaf")), tree
+        nodes = nodes.withColumn("node", F.floor(F.col("node") / fanout)).groupBy("node").agg(*around)
+        level += 1
+
+
+def touch_assign(tree: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(object_id, level, node): each box goes down the tree while it meets exactly one child, and stays where it meets several, or in a leaf; a box that meets no child (or not the root) is assigned nowhere.
 
-    The first cut is at quantiles, found without sorting all boxes in one task; the
-    others run within their slice.
+    A join of all open boxes with one level of nodes at a time, by their parent.
     """
-    marks = boxes.stat.approxQuantile("lx", [i / cuts for i in range(1, cuts)], 0.0) if cuts > 1 else []
-    px = F.lit(1)
-    for m in marks:
-        px = px + F.when(F.col("lx") >= m, 1).otherwise(0)
-    rows = boxes.withColumn("px", px.cast("int"))
-    rows = rows.withColumn("py", F.ntile(cuts).over(Window.partitionBy("px").orderBy("ly", "object_id")))
-    return rows.withColumn("pz", F.ntile(cuts).over(Window.partitionBy("px", "py").orderBy("lz", "object_id")))
+    levels = tree.agg(F.max("level")).first()[0]
+    if levels is None:
+        return boxes.select("object_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("node")).limit(0)
+    named = lambda level: tree.where(F.col("level") == level).select(F.col("node").alias("_child"), F.col("parent").alias("_parent"), *[F.col(c).alias(f"n_{c}") for c in BOX])
+    meets = g.box_overlaps_inclusive(g.box(), tuple(F.col(f"n_{c}") for c in BOX))
+    # the root is one row
+    open_ = boxes.where(is_box(BOX)).select("object_id", *BOX).crossJoin(F.broadcast(named(levels))).where(meets).select("object_id", *BOX, F.col("_child").alias("node"))
+    done = None
+    for level in range(levels, -1, -1):
+        if not level:
+            stay = open_.select("object_id", F.lit(level).alias("level"), "node")
+        else:
+            met = open_.join(named(level - 1), F.col("node") == F.col("_parent")).where(meets)
+            counted = written(met.groupBy("object_id", "node", *BOX).agg(F.count("*").alias("n"), F.min("_child").alias("_child")), "assigned")
+            stay = counted.where("n > 1").select("object_id", F.lit(level).alias("level"), "node")
+            open_ = counted.where("n = 1").select("object_id", *BOX, F.col("_child").alias("node"))
+        done = stay if done is None else done.unionByName(stay)
+    return done
 
 
 def region_filter(boxes: DataFrame, region: tuple[float, ...]) -> DataFrame:
@@ -162,7 +313,7 @@ def region_filter(boxes: DataFrame, region: tuple[float, ...]) -> DataFrame:
 
 def box_range_search(boxes: DataFrame, queries: DataFrame, cell: float | None = None) -> DataFrame:
     """What an R-tree is searched for: boxes that meet each query box."""
-    return box_pairs(queries, boxes, cell or default_cell(boxes, queries)).select(F.col("a_object_id").alias("query_id"), F.col("b_object_id").alias("object_id"))
+    return box_pairs(queries, boxes, cell).select(F.col("a_object_id").alias("query_id"), F.col("b_object_id").alias("object_id"))
 
 
 def budget_limit(rows: DataFrame, order: str, size: str, budget: int, most: int) -> DataFrame:

@@ -5,11 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..schema import BOX, EDGE, TRIANGLE
+from ..storage import written
+from .components import components, solved
+from .grid import Census, censuses, counted, named_box
 
 #: Edges whose ends agree to this many units are one edge.
 EDGE_GRID = 1e5
@@ -30,24 +35,80 @@ class Mesh:
 
     triangles: DataFrame
 
+    @cached_property
+    def faces(self) -> DataFrame:
+        """The triangles with their cluster."""
+        return with_cluster(self.triangles)
+
     @cached_property
     def edges(self) -> DataFrame:
         return unique_edges(self.triangles)
 
+    @cached_property
+    def edge_set(self) -> DataFrame:
+        """The edges without numbers, with the cluster of their first triangle: nothing has to meet by object to tell them."""
+        return edge_set(self.faces).select("object_id", "cluster", *EDGE)
+
     @cached_property
     def objects(self) -> DataFrame:
         return objects(self.triangles)
 
+    @cached_property
+    def clusters(self) -> DataFrame:
+        """(object_id, cluster, box, n_tri): some hundred neighbouring triangles of about the same size each, whatever the object's size."""
+        around = [F.expr(f"{'min' if c[0] == 'l' else 'max'}({x}) AS {c}") for c, x in zip(BOX, TRI_BOX, strict=True)]
+        return written(self.faces.groupBy("object_id", "cluster").agg(*around, F.expr("count(*) AS n_tri")), "clusters")
 
-def template_mesh(centers: DataFrame, corners=BOX_CORNERS, faces=BOX_FACES) -> DataFrame:
-    """Triangles of a template around every (object_id, x, y, z, s): corners at half of s in each direction. No shuffle."""
-    half = F.col("s") / 2
+    @cached_property
+    def boxes(self) -> DataFrame:
+        """(object_id, box, first vertex), written once for all joins."""
+        return written(self.objects.select("object_id", *BOX, "fx", "fy", "fz"), "boxes")
+
+    @cached_property
+    def box_census(self) -> Census:
+        return censuses({"box": (self.boxes, BOX)})["box"]
+
+    @cached_property
+    def census(self) -> dict[str, Census]:
+        """Censuses of the boxes of clusters, also as seen from above (``flat``); their weight is the number of triangles."""
+        kinds = ["struct(" + ", ".join(named_box(name, box, "n_tri")) + ")" for name, box in (("cluster", BOX), ("flat", FLAT))]
+        return counted(self.clusters.selectExpr(f"explode(array({', '.join(kinds)})) AS e").selectExpr("e.*"), {"cluster": 3, "flat": 2})
+
+
+#: Cells of clusters are two to this power times as large as the triangles in them.
+CLUSTER_SPAN = 3
+#: A box as seen from above.
+FLAT = ("lx", "ly", "hx", "hy")
+#: The box of a triangle and of an edge, as expressions.
+TRI_BOX = tuple(f"{f}(a{c}, b{c}, c{c})" for f in ("least", "greatest") for c in "xyz")
+EDGE_BOX = tuple(f"{f}(p{c}, q{c})" for f in ("least", "greatest") for c in "xyz")
+
+
+def with_cluster(triangles: DataFrame) -> DataFrame:
+    """Triangles with ``cluster``, a number of the cell that they lie in, of a grid for triangles of their size.
+
+    That depends on the triangle alone. Cells with the same number by chance are one cluster, which is right too.
+    """
+    size = f"greatest(1e-300D, {', '.join(f'{TRI_BOX[i + 3]} - {TRI_BOX[i]}' for i in range(3))})"
+    rows = triangles.selectExpr("*", f"pow(2D, ceil(log2({size})) + {CLUSTER_SPAN}) AS _span")
+    middle = ", ".join(f"floor(({TRI_BOX[i]} + {TRI_BOX[i + 3]}) / 2 / _span)" for i in range(3))
+    return rows.selectExpr(*[f"`{c}`" for c in triangles.columns], f"xxhash64(_span, {middle}) AS cluster")
 
-    def corner(i: int) -> list[Column]:
-        return [F.col(c) + F.lit(float(k)) * half if k else F.col(c).cast("double") for c, k in zip("xyz", corners[i], strict=True)]
 
-    rows = [F.struct(F.lit(n).cast("long").alias("tri_id"), *[x.alias(name) for x, name in zip([x for i in face for x in corner(i)], TRIANGLE, strict=True)]) for n, face in enumerate(faces)]
-    return centers.select("object_id", F.explode(F.array(*rows)).alias("t")).select("object_id", "t.*")
+def _placed_corner(signs) -> list[str]:
+    """A corner of a template, as expressions over x, y, z and s."""
+    return [f"{c} + {float(k)}D * s / 2" if k else f"cast({c} AS double)" for c, k in zip("xyz", signs, strict=True)]
+
+
+def _listed(key: str, name: str, rows: list[list[str]], columns) -> str:
+    """An explode of structs (key, columns)."""
+    return f"explode(array({', '.join('struct(' + f'{n}L AS {key}, ' + ', '.join(f'{x} AS `{c}`' for x, c in zip(row, columns, strict=True)) + ')' for n, row in enumerate(rows))})) AS {name}"
+
+
+def template_mesh(centers: DataFrame, corners=BOX_CORNERS, faces=BOX_FACES) -> DataFrame:
+    """Triangles of a template around every (object_id, x, y, z, s): corners at half of s in each direction. No shuffle."""
+    rows = [[x for i in face for x in _placed_corner(corners[i])] for face in faces]
+    return centers.selectExpr("object_id", _listed("tri_id", "t", rows, TRIANGLE)).selectExpr("object_id", "t.*")
 
 
 def cube_mesh(centers: DataFrame) -> DataFrame:
@@ -56,16 +117,13 @@ def cube_mesh(centers: DataFrame) -> DataFrame:
 
 def template_vertices(centers: DataFrame, corners=BOX_CORNERS) -> DataFrame:
     """(object_id, vertex_id, x, y, z) of a template's corners."""
-    half = F.col("s") / 2
-    rows = [F.struct(F.lit(n).cast("long").alias("vertex_id"), *[(F.col(c) + F.lit(float(k)) * half if k else F.col(c).cast("double")).alias(c) for c, k in zip("xyz", corner, strict=True)]) for n, corner in enumerate(corners)]
-    return centers.select("object_id", F.explode(F.array(*rows)).alias("v")).select("object_id", "v.*")
+    return centers.selectExpr("object_id", _listed("vertex_id", "v", [_placed_corner(c) for c in corners], "xyz")).selectExpr("object_id", "v.*")
 
 
 def box_mesh(boxes: DataFrame) -> DataFrame:
     """The twelve triangles of every (object_id, box)."""
-    corners = [[F.col(BOX[i if k < 0 else i + 3]) for i, k in enumerate(c)] for c in BOX_CORNERS]
-    rows = [F.struct(F.lit(n).cast("long").alias("tri_id"), *[x.alias(name) for x, name in zip([x for i in face for x in corners[i]], TRIANGLE, strict=True)]) for n, face in enumerate(BOX_FACES)]
-    return boxes.select("object_id", F.explode(F.array(*rows)).alias("t")).select("object_id", "t.*")
+    corners = [[BOX[i if k < 0 else i + 3] for i, k in enumerate(c)] for c in BOX_CORNERS]
+    return boxes.selectExpr("object_id", _listed("tri_id", "t", [[x for i in face for x in corners[i]] for face in BOX_FACES], TRIANGLE)).selectExpr("object_id", "t.*")
 
 
 def faces_to_triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -77,24 +135,47 @@ def faces_to_triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return joined.select("object_id", "tri_id", *TRIANGLE)
 
 
-def _quantised(p: g.Vec) -> Column:
-    return F.struct(*[F.round(x * EDGE_GRID).cast("long").alias(c) for x, c in zip(p, "xyz", strict=True)])
+def _whole(x: str) -> str:
+    """A coordinate in whole units of the edge grid, halves away from zero."""
+    return f"CASE WHEN {x} < 0 THEN ceil({x} * {EDGE_GRID}D - 0.5D) ELSE floor({x} * {EDGE_GRID}D + 0.5D) END"
 
 
-def unique_edges(triangles: DataFrame) -> DataFrame:
+def _corner(v: str) -> str:
+    """A corner in whole units."""
+    return "struct(" + ", ".join(f"{_whole(v + c)} AS {c}" for c in "xyz") + ")"
+
+
+#: Columns that name an edge within its object: both ends in whole units, the smaller first.
+ENDS = tuple(f"{e}{c}" for e in ("lo_", "hi_") for c in "xyz")
+
+
+def _half_edges(triangles: DataFrame) -> DataFrame:
+    """The three sides of every triangle that have a length, with the columns ``ENDS`` and their place in the object."""
+    side = lambda k, u, w: f"struct({k} AS k, " + ", ".join(f"{v}{c} AS {e}{c}" for v, e in ((u, "p"), (w, "q")) for c in "xyz") + ")"
+    more = [c for c in ("cluster",) if c in triangles.columns]
+    rows = triangles.selectExpr("object_id", "tri_id", *more, f"explode(array({side(0, 'a', 'b')}, {side(1, 'b', 'c')}, {side(2, 'c', 'a')})) AS e")
+    rows = rows.selectExpr("object_id", *more, "tri_id * 3 + e.k AS place", *[f"e.{x} AS {x}" for x in EDGE])
+    rows = rows.selectExpr("*", *[f"{_whole(e + c)} AS u{e}{c}" for e in "pq" for c in "xyz"])
+    swap = "(uqx < upx OR (uqx = upx AND (uqy < upy OR (uqy = upy AND uqz < upz))))"
+    rows = rows.where("upx <> uqx OR upy <> uqy OR upz <> uqz").selectExpr("*", f"{swap} AS turned")
+    ends = [f"CASE WHEN turned THEN u{w}{c} ELSE u{v}{c} END AS {n}{c}" for n, v, w in (("lo_", "p", "q"), ("hi_", "q", "p")) for c in "xyz"]
+    return rows.selectExpr("object_id", *more, "place", *EDGE, *ends)
+
+
+def edge_set(triangles: DataFrame) -> DataFrame:
     """The edges of every object once: ends agree if they round to the same 1e-5; the first occurrence's direction stays.
 
-    An aggregate with partial sums, no window: edges of one object need not meet
-    in one task unsorted. Edges are numbered by their keys within the object.
+    One hash aggregate with partial sums: the edges of a large object are dealt to many tasks.
     """
-    sides = (("a", "b"), ("b", "c"), ("c", "a"))
-    each = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{v}{c}").alias(f"{e}{c}") for v, e in ((u, "p"), (w, "q")) for c in "xyz"]) for k, (u, w) in enumerate(sides)])
-    rows = triangles.select("object_id", "tri_id", F.explode(each).alias("e")).select("object_id", "tri_id", "e.*")
-    p, q = _quantised(g.vec("p")), _quantised(g.vec("q"))
-    keyed = rows.withColumn("lo", F.least(p, q)).withColumn("hi", F.greatest(p, q)).where(F.col("lo") != F.col("hi"))
-    first = keyed.groupBy("object_id", "lo", "hi").agg(F.min_by(F.struct(*EDGE), F.struct("tri_id", "k")).alias("e"))
-    number = F.row_number().over(Window.partitionBy("object_id").orderBy("lo", "hi")) - 1
-    return first.select("object_id", number.cast("long").alias("edge_id"), "e.*")
+    kept = [*EDGE, *[c for c in ("cluster",) if c in triangles.columns]]
+    return _half_edges(triangles).groupBy("object_id", *ENDS).agg(*[F.expr(f"min_by({c}, place) AS {c}") for c in kept])
+
+
+def unique_edges(triangles: DataFrame) -> DataFrame:
+    """``edge_set`` with edges numbered by their ends within the object."""
+    number = F.row_number().over(Window.partitionBy("object_id").orderBy(*ENDS)) - 1
+    found = edge_set(triangles)
+    return found.select("object_id", number.cast("long").alias("edge_id"), *EDGE, *[c for c in ("cluster",) if c in found.columns])
 
 
 def objects(triangles: DataFrame) -> DataFrame:
@@ -104,26 +185,24 @@ def objects(triangles: DataFrame) -> DataFrame:
     vertex after the box is known: sums of determinants are moved analytically, so
     no second pass over the triangles is needed.
     """
-    a, b, c = g.vec("a"), g.vec("b"), g.vec("c")
-    n = g.tri_normal(a, b, c)
-    low = [F.min(F.least(a[i], b[i], c[i])).alias(BOX[i]) for i in range(3)]
-    high = [F.max(F.greatest(a[i], b[i], c[i])).alias(BOX[i + 3]) for i in range(3)]
-    # signed volume about a point o is a sum of (t - o).n: linear in o
-    sums = [F.sum(g.dot(a, n)).alias("_v"), *[F.sum(n[i]).alias(f"_n{i}") for i in range(3)]]
-    first = F.min_by(F.struct(*[F.col(f"a{x}").alias(f"f{x}") for x in "xyz"]), "tri_id").alias("_f")
-    grouped = triangles.groupBy("object_id").agg(*low, *high, *sums, first, F.count("*").alias("n_tri"), F.sum(g.tri_area(a, b, c)).alias("area"))
-    center = g.box_center(g.box())
-    volume = F.abs(F.col("_v") - center[0] * F.col("_n0") - center[1] * F.col("_n1") - center[2] * F.col("_n2")) / 6
-    d = g.box_dims(g.box())
-    return grouped.select(
-        "object_id", *BOX, volume.alias("volume"), F.least(volume / F.greatest(g.box_volume(g.box()), F.lit(1e-9)), F.lit(1.0)).alias("vol_ratio"),
-        ((d[0] + d[1] + d[2]) / 3).alias("avg_size"), "_f.*", "n_tri", "area",
+    side = lambda u, w: {c: f"({w}{c} - {u}{c})" for c in "xyz"}
+    e, f = side("a", "b"), side("a", "c")
+    normal = {c: f"({e[x]} * {f[y]} - {e[y]} * {f[x]})" for c, x, y in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))}
+    rows = triangles.selectExpr("*", *[f"{normal[c]} AS _n{c}" for c in "xyz"])
+    grouped = rows.groupBy("object_id").agg(
+        *[F.expr(f"min(least(a{c}, b{c}, c{c})) AS l{c}") for c in "xyz"], *[F.expr(f"max(greatest(a{c}, b{c}, c{c})) AS h{c}") for c in "xyz"],
+        # signed volume about a point o is a sum of (t - o).n: linear in o
+        F.expr("sum(ax * _nx + ay * _ny + az * _nz) AS _v"), *[F.expr(f"sum(_n{c}) AS _n{c}") for c in "xyz"],
+        *[F.expr(f"min_by(a{c}, tri_id) AS f{c}") for c in "xyz"], F.expr("count(*) AS n_tri"), F.expr("sum(0.5D * sqrt(_nx * _nx + _ny * _ny + _nz * _nz)) AS area"),
     )
+    volume = "abs(_v - (lx + hx) / 2 * _nx - (ly + hy) / 2 * _ny - (lz + hz) / 2 * _nz) / 6"
+    rows = grouped.selectExpr("*", f"{volume} AS volume")
+    return rows.selectExpr("object_id", *BOX, "volume", "least(volume / greatest((hx - lx) * (hy - ly) * (hz - lz), 1e-9D), 1D) AS vol_ratio", "((hx - lx) + (hy - ly) + (hz - lz)) / 3 AS avg_size", "fx", "fy", "fz", "n_tri", "area")
 
 
 def first_vertices(triangles: DataFrame) -> DataFrame:
     """The representative point of every object: the first corner of its first triangle."""
-    return triangles.groupBy("object_id").agg(F.min_by(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z")), "tri_id").alias("v"), F.min("tri_id").alias("tri_id")).select("object_id", "tri_id", "v.*")
+    return triangles.groupBy("object_id").agg(F.min("tri_id").alias("tri_id"), *[F.min_by(f"a{x}", "tri_id").alias(x) for x in "xyz"])
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -164,22 +243,57 @@ def mesh_volume(triangles: DataFrame) -> DataFrame:
 
 def mesh_counts(triangles: DataFrame) -> DataFrame:
     """Vertices, edges and triangles of every object."""
-    corner = F.explode(F.array(*[_quantised(g.vec(v)) for v in "abc"])).alias("p")
-    vertices = triangles.select("object_id", corner).distinct().groupBy("object_id").agg(F.count("*").alias("n_vertices"))
-    edges = unique_edges(triangles).groupBy("object_id").agg(F.count("*").alias("n_edges"))
+    vertices = triangles.selectExpr("object_id", f"explode(array({', '.join(map(_corner, 'abc'))})) AS p").distinct().groupBy("object_id").agg(F.count("*").alias("n_vertices"))
+    edges = edge_faces(triangles).groupBy("object_id").agg(F.count("*").alias("n_edges"))
     return triangles.groupBy("object_id").agg(F.count("*").alias("n_triangles")).join(vertices, "object_id").join(edges, "object_id")
 
 
 def edge_faces(triangles: DataFrame) -> DataFrame:
-    """How many triangles each edge of each object borders."""
-    sides = [F.struct(_quantised(g.vec(u)).alias("p"), _quantised(g.vec(w)).alias("q")) for u, w in ("ab", "bc", "ca")]
-    rows = triangles.select("object_id", F.explode(F.array(*sides)).alias("e"))
-    return rows.select("object_id", F.least("e.p", "e.q").alias("lo"), F.greatest("e.p", "e.q").alias("hi")).groupBy("object_id", "lo", "hi").agg(F.count("*").alias("faces"))
+    """How many triangles each edge of each object borders, with the least and the greatest of them."""
+    tri = F.floor(F.col("place") / 3).cast("long")
+    return _half_edges(triangles).groupBy("object_id", *ENDS).agg(F.count("*").alias("faces"), F.min(tri).alias("first_tri"), F.max(tri).alias("last_tri"))
+
+
+#: Triangles up to which an object's shells are told by one task, together with others; larger objects are solved in rounds over the cluster.
+LOCAL_TRIANGLES = 2_000_000
+#: Triangle numbers of such large objects, in bits.
+TRIANGLE_BITS = 40
+
+
+def _closed_here(batches):
+    """Of the objects of a task, given (object_id, faces, first_tri, last_tri) of their edges: whether each is one closed shell."""
+    parts = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
+    if not parts:
+        return
+    of, faces, u, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+    names, at = np.unique(of, return_inverse=True)
+    # triangles of all objects as one sequence of numbers
+    ends = np.stack([np.r_[at, at], np.r_[u, v]], axis=1)
+    pairs, number = np.unique(ends, axis=0, return_inverse=True)
+    number = number.reshape(-1)
+    nodes, roots = solved(number[: len(at)], number[len(at) :])
+    shells = np.bincount(pairs[:, 0], minlength=len(names)) - np.bincount(pairs[nodes[roots != nodes], 0], minlength=len(names))
+    bad = np.bincount(at, weights=faces != 2, minlength=len(names))
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array((bad == 0) & (shells == 1))], names=["object_id", "closed"])
 
 
 def mesh_is_closed(triangles: DataFrame) -> DataFrame:
-    """Whether every edge of an object borders exactly two of its triangles."""
-    return edge_faces(triangles).groupBy("object_id").agg(F.bool_and(F.col("faces") == 2).alias("closed"))
+    """Whether an object is one closed shell: every edge borders exactly two triangles, and shared edges connect all of them."""
+    edges = edge_faces(triangles).select(F.col("object_id").cast("long").alias("object_id"), "faces", "first_tri", "last_tri")
+    large = triangles.groupBy(F.col("object_id").cast("long").alias("object_id")).agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_TRIANGLES)
+    names = sorted(r["object_id"] for r in large.select("object_id").collect())  # at most all triangles / LOCAL_TRIANGLES
+    rest = edges.where(~F.col("object_id").isin(names)) if names else edges
+    done = rest.repartition("object_id").mapInArrow(_closed_here, "object_id long, closed boolean")
+    if not names:
+        return done
+    few = F.broadcast(triangles.sparkSession.createDataFrame([(k, i) for i, k in enumerate(names)], "object_id long, _number long"))
+    mine = edges.join(few, "object_id")
+    node = lambda c: F.shiftleft("_number", TRIANGLE_BITS) + F.col(c)
+    roots = components(mine.select(node("first_tri").alias("u"), node("last_tri").alias("v")))
+    joined = roots.groupBy(F.shiftright("u", TRIANGLE_BITS).alias("_number")).agg(F.count("*").alias("joined"))
+    held = large.join(few, "object_id").join(joined, "_number", "left")  # a shell of n triangles has n - 1 that are not its root
+    even = mine.groupBy("object_id").agg(F.bool_and(F.col("faces") == 2).alias("even"))
+    return done.unionByName(held.join(even, "object_id").select("object_id", (F.col("even") & (F.coalesce("joined", F.lit(0)) == F.col("n") - 1)).alias("closed")))
 
 
 def mesh_shift(triangles: DataFrame, dx, dy, dz) -> DataFrame:

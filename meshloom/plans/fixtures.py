@@ -25,14 +25,19 @@ def _hashed(key: str, factor: int, shift: float = 0.0):
     return c + F.lit(shift) if shift else c
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are dealt to all cores before they become meshes: the driver's files are one row group each."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+
+
 def centers_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "p_partkey"
-    return table(spark, sf_dir, "part").select(F.col(k).cast("long").alias("object_id"), _hashed(k, 7919).alias("x"), _hashed(k, 104729).alias("y"), _hashed(k, 1299709).alias("z"), (F.lit(2) + F.col("p_size") % 10).cast("double").alias("s"))
+    return dealt(spark, sf_dir, "part").select(F.col(k).cast("long").alias("object_id"), _hashed(k, 7919).alias("x"), _hashed(k, 104729).alias("y"), _hashed(k, 1299709).alias("z"), (F.lit(2) + F.col("p_size") % 10).cast("double").alias("s"))
 
 
 def centers_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "c_custkey"
-    return table(spark, sf_dir, "customer").select(F.col(k).cast("long").alias("object_id"), _hashed(k, 6151, 0.0313).alias("x"), _hashed(k, 24593, 0.0471).alias("y"), _hashed(k, 49157, 0.0597).alias("z"), (F.lit(1) + F.col(k) % 7).cast("double").alias("s"))
+    return dealt(spark, sf_dir, "customer").select(F.col(k).cast("long").alias("object_id"), _hashed(k, 6151, 0.0313).alias("x"), _hashed(k, 24593, 0.0471).alias("y"), _hashed(k, 49157, 0.0597).alias("z"), (F.lit(1) + F.col(k) % 7).cast("double").alias("s"))
 
 
 def cubes_a(spark: SparkSession, sf_dir: str) -> Mesh:

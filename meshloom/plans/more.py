@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +18,11 @@ from ..operators import joins as jo
 from ..operators import mesh as me
 from ..operators import repair as re_
 from ..schema import BOX, TRIANGLE
+from ..storage import new_folder
 from ..streaming import stream_candidates
 from . import fixtures as fx
 from .fixtures import A_HOLDS_B, BOXES, CELL, GAP, MEET, PAIR, REACH, centers_a, centers_b, cubes_a, cubes_b
-from .registry import OVERLAP, both, query, rounded, triangles_sql
+from .registry import ORACLES, OVERLAP, both, query, rounded, triangles_sql
 
 BA = lambda: tuple(F.col(f"a_{c}") for c in BOX)
 BB = lambda: tuple(F.col(f"b_{c}") for c in BOX)
@@ -154,20 +153,47 @@ query("sampling_gap", f"WITH {BOXES} SELECT id AS object_id, round(6*s*s/(12*30)
 
 
 def _shrunken(spark, sf_dir):
-    """Facet distances of A's samples to A shrunk by half about its centres."""
+    """Facets of A against A shrunk by half about its centres: corners are the furthest."""
     t = A(spark, sf_dir)
-    return de.hausdorff(de.sample_points(t, 2), me.mesh_shrink(t, 2.0))
+    return de.facet_hausdorff(t, me.mesh_shrink(t, 2.0), 2)
 
 
-query("hausdorff", f"WITH {BOXES} SELECT id AS object_id, CAST(t AS BIGINT) AS facet, round(sqrt(3*power(s/4, 2)), 4) AS hausdorff FROM BA, (SELECT unnest(range(12)) AS t)")(lambda s, d: rounded(_shrunken(s, d), 4))
-query("hausdorff_global", f"WITH {BOXES} SELECT id AS object_id, round(sqrt(3*power(s/4, 2)), 4) AS min_hausdorff, round(sqrt(3*power(s/4, 2)), 4) AS avg_hausdorff, round(sqrt(3*power(s/4, 2)), 4) AS max_hausdorff FROM BA")(lambda s, d: rounded(de.hausdorff_global(_shrunken(s, d)), 4))
-query("hausdorff_quantize", None)(lambda s, d: de.hausdorff_quantize(_shrunken(s, d)).groupBy("code").agg(F.count("*").alias("facets")))
-query("skeleton_points", "SELECT CAST(p_partkey AS BIGINT) AS object_id, CAST(4 AS BIGINT) AS points FROM part")(lambda s, d: de.skeleton_points(me.template_vertices(centers_a(s, d)), 2).groupBy("object_id").agg(F.count("*").alias("points")))
-query("voxels_skeleton", "SELECT CAST(p_partkey AS BIGINT) AS object_id, CAST(12 AS BIGINT) AS triangles FROM part")(lambda s, d: de.voxels_by_seed(A(s, d), de.skeleton_points(me.template_vertices(centers_a(s, d)), 2)).groupBy("object_id").agg(F.sum("n_tri").alias("triangles")))
+_TERM = "sqrt(s*s/60/2)"  # half the diagonal of a sample's area: 6 s^2 / (12 x 30), halved
+_FAR = f"round(sqrt(3*power(s/4, 2)) + {_TERM}, 4)"
+query("hausdorff", f"WITH {BOXES} SELECT id AS object_id, CAST(t AS BIGINT) AS facet, {_FAR} AS hausdorff, round(s/4 + {_TERM}, 4) AS most_proxy FROM BA, (SELECT unnest(range(12)) AS t)")(
+    lambda s, d: rounded((f := _shrunken(s, d)).join(f.groupBy("object_id").agg(F.max("proxy").alias("most_proxy")), "object_id").select("object_id", "facet", "hausdorff", "most_proxy"), 4)
+)
+query("hausdorff_global", f"WITH {BOXES} SELECT id AS object_id, {_FAR} AS min_hausdorff, {_FAR} AS avg_hausdorff, {_FAR} AS max_hausdorff FROM BA")(lambda s, d: rounded(de.hausdorff_global(_shrunken(s, d)), 4))
+query("hausdorff_quantize", f"WITH {BOXES} SELECT id AS object_id, CAST(t AS BIGINT) AS facet, CAST(ceil((t + 1)*s/(12*s)*127) AS INT) AS code FROM BA, (SELECT unnest(range(12)) AS t)")(
+    lambda s, d: de.hausdorff_quantize(A(s, d).join(centers_a(s, d).select("object_id", "s"), "object_id").select("object_id", F.col("tri_id").alias("facet"), ((F.col("tri_id") + 1) * F.col("s")).alias("hausdorff")))
+)
+
+
+def _rod(spark, sf_dir):
+    """Ten vertices in a row for each part, s apart."""
+    return centers_a(spark, sf_dir).select("object_id", "s", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("object_id", F.col("k").cast("long").alias("vertex_id"), (F.col("x") + F.col("k") * F.col("s")).alias("x"), "y", "z")
+
+
+def _poles(spark, sf_dir):
+    """Two seeds for each cube: the middles of its bottom and of its top."""
+    ends = F.array(*[F.struct(F.lit(i).cast("long").alias("seed"), (F.col("z") + F.lit(k) * F.col("s") / 2).alias("sz")) for i, k in enumerate((-1.0, 1.0))])
+    return centers_a(spark, sf_dir).select("object_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(ends).alias("e")).select("object_id", "sx", "sy", "e.*")
+
+
+# of the two seeds 0 and 5, the first round gives 0..2 and 3..9, the second 0..3 and 4..9
+query("skeleton_points", f"WITH {BOXES} SELECT id AS object_id, CAST(k AS BIGINT) AS seed, round(x + CASE WHEN k = 0 THEN 1.5 ELSE 6.5 END*s, 5) AS sx, round(y, 5) AS sy, round(z, 5) AS sz FROM BA, (SELECT unnest([0, 5]) AS k)")(lambda s, d: rounded(de.skeleton_points(_rod(s, d), 5), 5))
+query("voxels_skeleton", f"WITH {BOXES} SELECT id AS object_id, CAST(k AS BIGINT) AS voxel_id, {', '.join(f'round({c}, 5) AS {c}' for c in BOX)}, CAST(6 AS BIGINT) AS n_tri FROM BA, (SELECT unnest([0, 1]) AS k)")(lambda s, d: rounded(de.voxels_by_seed(A(s, d), _poles(s, d)), 5))
 query("voxelize", "SELECT CAST(p_partkey AS BIGINT) AS object_id, CAST(56 AS BIGINT) AS cells FROM part")(lambda s, d: de.voxelize(de.sample_points(A(s, d), 5), cubes_a(s, d).objects, 4).groupBy("object_id").agg(F.count("*").alias("cells")))
-query("fill_voxels", "SELECT CAST(p_partkey AS BIGINT) AS object_id, CAST(12 AS BIGINT) AS triangles FROM part")(lambda s, d: de.fill_voxels(A(s, d), me.template_vertices(centers_a(s, d)).select("object_id", F.col("vertex_id").alias("seed"), *[F.col(c).alias(f"s{c}") for c in "xyz"])).groupBy("object_id").agg(F.count("*").alias("triangles")))
+query("fill_voxels", "SELECT CAST(p_partkey AS BIGINT) AS object_id, CAST(t AS BIGINT) AS tri_id, CAST(v AS BIGINT) AS voxel_id FROM part, (VALUES " + ", ".join(f"({n}, {f[0]})" for n, f in enumerate(me.BOX_FACES)) + ") AS f(t, v)")(
+    lambda s, d: de.fill_voxels(A(s, d), me.template_vertices(centers_a(s, d)).select("object_id", F.col("vertex_id").alias("seed"), *[F.col(c).alias(f"s{c}") for c in "xyz"]))
+)
 query("profile_distance", "SELECT CAST(lod AS INT) AS lod, round(avg(p_size*(100 - lod)/100.0::DOUBLE), 6) AS mean_distance FROM part, (SELECT unnest(range(10, 101, 10)) AS lod) GROUP BY lod")(lambda s, d: rounded(de.profile_distance(fx.table(s, d, "part").select("p_size", F.explode(F.sequence(F.lit(10), F.lit(100), F.lit(10))).alias("lod")).select("lod", (F.col("p_size") * (100 - F.col("lod")) / F.lit(100.0)).alias("distance")))))
-query("lod_cluster", None)(lambda s, d: de.cluster_simplify(ge.place_template(centers_a(s, d), ge.octasphere(2)), 2.0).groupBy("object_id").agg(F.count("*").alias("triangles")))
+_BALL = ge.octasphere(2)
+_CELL_OF = lambda v: ", ".join(f"floor(({c} + s*t{v}{c})/2.0::DOUBLE) AS k{v}{c}" for c in "xyz")
+_APART = lambda u, w: "(" + " OR ".join(f"k{u}{c} <> k{w}{c}" for c in "xyz") + ")"
+query("lod_cluster", f"WITH {BOXES}, T AS (SELECT id, {', '.join(map(_CELL_OF, 'abc'))} FROM A, (VALUES " + ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" for p in f for x in p) + ")" for f in _BALL) + f") AS t({', '.join('t' + c for c in TRIANGLE)})) SELECT id AS object_id, count(*) AS triangles FROM T WHERE {_APART('a', 'b')} AND {_APART('b', 'c')} AND {_APART('c', 'a')} GROUP BY id")(
+    lambda s, d: de.cluster_simplify(ge.place_template(centers_a(s, d), _BALL), 2.0).groupBy("object_id").agg(F.count("*").alias("triangles"))
+)
 
 # Generators.
 
@@ -203,7 +229,16 @@ def _rolled(spark, sf_dir):
 
 
 _ROLL = f"{_EV}, RO AS (SELECT run, lower(name) AS phase, sum(us)/1000.0::DOUBLE AS ms FROM EV GROUP BY 1, 2)"
-query("sink_timing_json", f"WITH {_EV} SELECT run, lower(name) || '_' || row_number() OVER (PARTITION BY run, lower(name) ORDER BY seq) AS phase, us AS duration_us, round(us/1000.0::DOUBLE, 6) AS duration_ms FROM EV")(lambda s, d: rounded(an.timing_phases(_events(s, d))))
+@query("sink_timing_json", f"WITH {_EV} SELECT run, lower(name) || '_' || row_number() OVER (PARTITION BY run, lower(name) ORDER BY seq) AS phase, us AS duration_us, round(us/1000.0::DOUBLE, 6) AS duration_ms, sum(us) OVER (PARTITION BY run) AS total_us FROM EV")
+def sink_timing_json(spark, sf_dir):
+    """A report for each run, written as JSON lines and read back."""
+    path = _folder(spark, "timing")
+    sinks.timing_reports(an.timing_phases(_events(spark, sf_dir))).write.text(path)
+    kind = "run long, phases map<string,struct<duration_us:long,duration_ms:double>>, counters map<string,long>, total struct<duration_us:long,duration_ms:double>"
+    read = spark.read.schema(kind).json(path)
+    return rounded(read.select("run", F.col("total.duration_us").alias("total_us"), F.explode("phases").alias("phase", "d")).select("run", "phase", "d.*", "total_us"))
+
+
 query("phase_rollup", f"WITH {_ROLL} SELECT run, phase, round(ms, 4) AS ms FROM RO")(lambda s, d: rounded(_rolled(s, d), 4))
 query("phase_query_time", f"WITH {_ROLL} SELECT run, round(sum(CASE WHEN phase <> 'upload' THEN ms ELSE 0 END), 4) AS query_ms FROM RO GROUP BY run")(lambda s, d: rounded(an.query_time(_rolled(s, d)), 4))
 query("run_stats", f"WITH {_ROLL} SELECT phase, round(avg(ms), 4) AS mean, round(min(ms), 4) AS min, round(max(ms), 4) AS max, round(stddev_pop(ms), 4) AS std, CAST(count(*) AS BIGINT) AS runs FROM RO GROUP BY phase")(lambda s, d: rounded(an.run_stats(_rolled(s, d), ["phase"], "ms"), 4))
@@ -223,11 +258,7 @@ query("store_metrics", "SELECT CAST(p_partkey AS BIGINT) AS run, round(p_size*10
 
 
 def _folder(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshloom-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/meshloom-{what}-{uuid.uuid4().hex[:12]}"
+    return new_folder(spark, what)
 
 
 def _faces(spark: SparkSession, sf_dir: str, side=centers_a) -> tuple[DataFrame, DataFrame]:
@@ -245,11 +276,11 @@ def scan_obj(spark, sf_dir):
     return rounded(sources.read_obj(spark, path), 5)
 
 
-@query("scan_dispatch", "SELECT CAST(12*count(*) AS BIGINT) AS triangles FROM part")
+@query("scan_dispatch", TRI_OF("id"))
 def scan_dispatch(spark, sf_dir):
     path = _folder(spark, "dataset") + ".OBJ"
     sinks.write_obj(*_faces(spark, sf_dir), path)
-    return sources.load(spark, path).agg(F.count("*").alias("triangles"))
+    return rounded(sources.load(spark, path), 5)
 
 
 @query("scan_off_lines", TRI_OF("id"))
@@ -282,7 +313,10 @@ query("scan_require_edges", "SELECT CAST(18*count(*) AS BIGINT) AS edges FROM pa
 query("scan_pre_grid", "SELECT CAST(count(*) AS BIGINT) AS centers FROM part")(lambda s, d: sources.read_pre(s, _write_pre(s, d)).grid.agg(F.sum("center_count").alias("centers")))
 
 
-@query("scan_npz", "SELECT CAST(count(*) AS BIGINT) AS objects, CAST(12*count(*) AS BIGINT) AS triangles FROM region")
+_NPZ = "(VALUES " + ", ".join("({}, {})".format(n, ", ".join(str(x) for i in f for x in me.BOX_CORNERS[i])) for n, f in enumerate(me.BOX_FACES)) + f") AS t(n, {', '.join('t' + c for c in TRIANGLE)})"
+
+
+@query("scan_npz", "SELECT row_number() OVER (PARTITION BY n ORDER BY r_regionkey) - 1 AS object_id, CAST(n AS BIGINT) AS tri_id, " + ", ".join(f'(t{c} + r_regionkey)::DOUBLE AS "{c}"' for c in TRIANGLE) + f" FROM region, {_NPZ}")
 def scan_npz(spark, sf_dir):
     """An archive for each region, and one that cannot be read."""
     import pyarrow.fs as pafs
@@ -298,7 +332,7 @@ def scan_npz(spark, sf_dir):
             out.write(buffer.getvalue())
     with store.open_output_stream(f"{root}/x.npz") as out:
         out.write(b"not an archive")
-    return sources.read_npz(spark, path).agg(F.count_distinct("object_id").alias("objects"), F.count("*").alias("triangles"))
+    return sources.read_npz(spark, path)
 
 
 def _text(rows: DataFrame, path: str) -> str:
@@ -323,11 +357,11 @@ def _csv(spark, rows: DataFrame, writer, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
-query("sink_pairs_csv", f"SELECT a_object_id AS object_id_mesh1, b_object_id AS object_id_mesh2 FROM ({OVERLAP})")(lambda s, d: _csv(s, jo.overlap(*both(s, d), cell=CELL), sinks.write_pairs_csv, "object_id_mesh1 long, object_id_mesh2 long"))
+query("sink_pairs_csv", f"SELECT a_object_id AS object_id_mesh1, b_object_id AS object_id_mesh2 FROM ({OVERLAP})")(lambda s, d: _csv(s, jo.overlap(*both(s, d)), sinks.write_pairs_csv, "object_id_mesh1 long, object_id_mesh2 long"))
 query("sink_intersection_csv", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET}")(lambda s, d: _csv(s, jo.intersection(*both(s, d), cell=CELL), sinks.write_csv, "a_object_id long, b_object_id long"))
 query("sink_containment_csv", f"WITH {BOXES} SELECT {PAIR}, 'containment' AS pair_type FROM BA a JOIN BB b ON {A_HOLDS_B} UNION ALL SELECT *, 'overlap' FROM ({OVERLAP})")(lambda s, d: _csv(s, jo.containment(*both(s, d), CELL, include_overlap=True), sinks.write_csv, "a_object_id long, b_object_id long, pair_type string"))
-query("sink_pair_hits_csv", None)(lambda s, d: _csv(s, jo.pair_hits(*both(s, d), CELL), sinks.write_csv, "direction string, source_object_id long, target_object_id long, target_ray_hits long, final_pair boolean"))
-query("sink_containment_tracking_csv", None)(lambda s, d: _csv(s, jo.containment_tracking(jo.pair_hits(*both(s, d), CELL)), sinks.write_csv, "direction string, source_object_id long, iterations long, candidate_count long, candidate_overflow_events long"))
+query("sink_pair_hits_csv", ORACLES["pair_hit_tracking"])(lambda s, d: _csv(s, jo.pair_hits(*both(s, d), CELL), sinks.write_csv, "direction string, source_object_id long, target_object_id long, target_ray_hits long, final_pair boolean"))
+query("sink_containment_tracking_csv", ORACLES["containment_tracking"])(lambda s, d: _csv(s, jo.containment_tracking(jo.pair_hits(*both(s, d), CELL)), sinks.write_csv, "direction string, source_object_id long, iterations long, candidate_count long, candidate_overflow_events long"))
 _V = ", ".join(f"printf('v %.6f %.6f %.6f', x + {i}*s/2, y + {j}*s/2, z + {k}*s/2)" for i, j, k in me.BOX_CORNERS)
 query("sink_obj", f"WITH {BOXES}, O AS (SELECT *, 8*(row_number() OVER (ORDER BY id) - 1) AS base FROM A) SELECT id AS object_id, concat_ws(chr(10), 'o object_' || id, {_V}, " + ", ".join("printf('f %d %d %d', " + ", ".join(f"CAST(base + {i + 1} AS BIGINT)" for i in f) + ")" for f in me.BOX_FACES) + ") AS text FROM O")(lambda s, d: sinks.obj_blocks(*_faces(s, d)))
 _P = ", ".join(f"printf('%.6f %.6f %.6f', x + {i}*s/2, y + {j}*s/2, z + {k}*s/2)" for i, j, k in me.BOX_CORNERS)
@@ -344,11 +378,11 @@ query("sink_wkt", f"WITH {BOXES} SELECT id AS object_id, {WKT} AS wkt FROM A")(l
 query("sink_sql", f"WITH {BOXES} SELECT 'INSERT INTO meshes(id, hausdorff, phausdorff, geom) VALUES (' || id || printf(',%.6f,0.000000,ST_GeomFromEWKT(''', s/4) || {WKT} || '''));' AS statement FROM A")(lambda s, d: sinks.sql_inserts(sinks.wkt(A(s, d)).join(centers_a(s, d).select("object_id", (F.col("s") / 4).alias("hausdorff"), F.lit(0.0).alias("phausdorff")), "object_id"), "meshes"))
 
 
-@query("sink_levels", "SELECT CAST(lod AS INT) AS lod, CAST(12*count(*) AS BIGINT) AS triangles FROM part, (SELECT unnest([20, 60, 100]) AS lod) GROUP BY lod")
+@query("sink_levels", f"WITH {BOXES}, {triangles_sql('A')} SELECT CAST(lod AS INT) AS lod, object_id, tri_id, " + ", ".join(f'round(t{c}, 5) AS "{c}"' for c in TRIANGLE) + " FROM TA, (SELECT unnest([20, 60, 100]) AS lod)")
 def sink_levels(spark, sf_dir):
     path = _folder(spark, "levels")
     sinks.write_levels(A(spark, sf_dir).withColumn("lod", F.explode(F.array(*[F.lit(x) for x in (20, 60, 100)]))), path)
-    return spark.read.parquet(path).groupBy("lod").agg(F.count("*").alias("triangles"))
+    return rounded(spark.read.parquet(path), 5)
 
 
 @query("stream_static_join", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET}")

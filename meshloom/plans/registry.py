@@ -42,44 +42,44 @@ def both(spark: SparkSession, sf_dir: str):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: overlap of the two cube datasets."""
-    return jo.overlap(*both(spark, sf_dir), cell=CELL)
+    return jo.overlap(*both(spark, sf_dir))
 
 
 # Overlap.
 
 OVERLAP = f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET} WHERE NOT ({A_HOLDS_B}) AND NOT ({B_HOLDS_A})"
 query("overlap_join", OVERLAP)(entry)
-query("overlap_two_pass", OVERLAP)(lambda s, d: jo.directed_hits(*(m := both(s, d)), jo.candidates(*m, CELL), "a_to_b").select("a_object_id", "b_object_id").unionByName(jo.directed_hits(*m, jo.candidates(*m, CELL), "b_to_a").select("a_object_id", "b_object_id")).dropDuplicates())
-query("edge_check", OVERLAP)(lambda s, d: jo.overlap(*both(s, d), cell=CELL, max_hits_per_edge=256))
-query("tile_join_intersect", OVERLAP)(lambda s, d: jo.overlap(*both(s, d), cell=2 * CELL))
+query("overlap_two_pass", OVERLAP)(lambda s, d: jo.overlap_two_pass(*both(s, d))[1].select("a_object_id", "b_object_id").distinct())
+query("edge_check", OVERLAP)(lambda s, d: jo.overlap(*both(s, d), max_hits_per_edge=256))
+query("tile_join_intersect", OVERLAP)(lambda s, d: jo.overlap(*both(s, d), cell=4.0))
 A_TO_B = f"{BOXES}, {edges_sql('A')}, {slab_sql('A', 'B')}"
 B_TO_A = f"{BOXES}, {edges_sql('B')}, {slab_sql('B', 'A')}"
-query("overlap_join_a_to_b", f"WITH {A_TO_B} SELECT DISTINCT sid AS a_object_id, tid AS b_object_id FROM ({hits_sql()})")(lambda s, d: jo.overlap(*both(s, d), "a_to_b", CELL))
-query("overlap_join_b_to_a", f"WITH {B_TO_A} SELECT DISTINCT tid AS a_object_id, sid AS b_object_id FROM ({hits_sql()})")(lambda s, d: jo.overlap(*both(s, d), "b_to_a", CELL))
-query("mesh_intersects_tree", f"WITH {A_TO_B} SELECT DISTINCT sid AS a_object_id, tid AS b_object_id FROM ({hits_sql()})")(lambda s, d: jo.overlap(*both(s, d), "a_to_b", 1.5 * CELL))
+query("overlap_join_a_to_b", f"WITH {A_TO_B} SELECT DISTINCT sid AS a_object_id, tid AS b_object_id FROM ({hits_sql()})")(lambda s, d: jo.overlap(*both(s, d), "a_to_b"))
+query("overlap_join_b_to_a", f"WITH {B_TO_A} SELECT DISTINCT tid AS a_object_id, sid AS b_object_id FROM ({hits_sql()})")(lambda s, d: jo.overlap(*both(s, d), "b_to_a"))
+query("mesh_intersects_tree", f"WITH {A_TO_B} SELECT DISTINCT sid AS a_object_id, tid AS b_object_id FROM ({hits_sql()})")(lambda s, d: jo.overlap(*both(s, d), "a_to_b", 1.5))
 EDGE_COUNTS = f"SELECT e.id AS object_id, e.edge_id, CAST(count(h.tid) AS BIGINT) AS hits FROM EA e LEFT JOIN ({hits_sql()}) h ON h.sid = e.id AND h.edge_id = e.edge_id GROUP BY e.id, e.edge_id"
-query("edge_hit_count", f"WITH {A_TO_B} {EDGE_COUNTS}")(lambda s, d: jo.edge_hit_counts(*both(s, d), CELL))
+query("edge_hit_count", f"WITH {A_TO_B} {EDGE_COUNTS}")(lambda s, d: jo.edge_hit_counts(*both(s, d)))
 query("edge_hit_offsets", f"WITH {A_TO_B} SELECT object_id, edge_id, hits, CAST(coalesce(sum(hits) OVER (ORDER BY object_id, edge_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM ({EDGE_COUNTS})")(
-    lambda s, d: jo.prefix_sums(jo.edge_hit_counts(*both(s, d), CELL), "object_id", ["edge_id"], "hits")
+    lambda s, d: jo.prefix_sums(jo.edge_hit_counts(*both(s, d)), "object_id", ["edge_id"], "hits")
 )
 query("edge_multi_hit", f"WITH {A_TO_B} SELECT DISTINCT sid AS a_object_id, tid AS b_object_id FROM (SELECT *, dense_rank() OVER (PARTITION BY sid, edge_id ORDER BY pos) AS k FROM ({hits_sql()})) WHERE k <= 1")(
-    lambda s, d: jo.overlap(*both(s, d), "a_to_b", CELL, max_hits_per_edge=1)
+    lambda s, d: jo.overlap(*both(s, d), "a_to_b", max_hits_per_edge=1)
 )
-query("pair_dedup_hash", OVERLAP)(lambda s, d: jo.overlap(*both(s, d), cell=CELL).dropDuplicates(["a_object_id", "b_object_id"]))
-query("pair_dedup_sort", OVERLAP)(lambda s, d: jo.overlap(*both(s, d), "a_to_b", CELL).unionByName(jo.overlap(*both(s, d), "b_to_a", CELL)).distinct())
-query("pair_compact", f"SELECT CAST(count(*) AS BIGINT) AS pairs FROM ({OVERLAP})")(lambda s, d: jo.overlap(*both(s, d), cell=CELL).agg(F.count("*").alias("pairs")))
-query("pair_pack", f"SELECT a_object_id * 4294967296 + b_object_id AS pair_key FROM ({OVERLAP})")(lambda s, d: jo.pack_pairs(jo.overlap(*both(s, d), cell=CELL)))
-query("pair_unpack", OVERLAP)(lambda s, d: jo.unpack_pairs(jo.pack_pairs(jo.overlap(*both(s, d), cell=CELL))))
+query("pair_dedup_hash", OVERLAP)(lambda s, d: jo.overlap(*both(s, d)).dropDuplicates(["a_object_id", "b_object_id"]))
+query("pair_dedup_sort", OVERLAP)(lambda s, d: jo.overlap(*both(s, d), "a_to_b").unionByName(jo.overlap(*both(s, d), "b_to_a")).distinct())
+query("pair_compact", f"SELECT CAST(count(*) AS BIGINT) AS pairs FROM ({OVERLAP})")(lambda s, d: jo.overlap(*both(s, d)).agg(F.count("*").alias("pairs")))
+query("pair_pack", f"SELECT a_object_id * 4294967296 + b_object_id AS pair_key FROM ({OVERLAP})")(lambda s, d: jo.pack_pairs(jo.overlap(*both(s, d))))
+query("pair_unpack", OVERLAP)(lambda s, d: jo.unpack_pairs(jo.pack_pairs(jo.overlap(*both(s, d)))))
 query("hash_contention_stats", f"WITH {BOXES}, {edges_sql('A')}, {edges_sql('B')}, {slab_sql('A', 'B', 'X')}, {slab_sql('B', 'A', 'Y')}, H AS (SELECT sid AS a, tid AS b FROM ({hits_sql('X')}) UNION ALL SELECT tid, sid FROM ({hits_sql('Y')})) SELECT CAST(count(*) AS BIGINT) AS raw_hits, CAST(count(DISTINCT (a, b)) AS BIGINT) AS distinct_pairs FROM H")(
-    lambda s, d: jo.duplication(*both(s, d), CELL)
+    lambda s, d: jo.duplication(*both(s, d))
 )
 query("overlap_summary", f"SELECT (SELECT 12*count(*) FROM part) AS triangles_a, (SELECT count(*) FROM part) AS objects_a, (SELECT 12*count(*) FROM customer) AS triangles_b, (SELECT count(*) FROM customer) AS objects_b, (SELECT count(*) FROM ({OVERLAP})) AS pairs")(
-    lambda s, d: jo.overlap_summary(*(m := both(s, d)), jo.overlap(*m, cell=CELL))
+    lambda s, d: jo.overlap_summary(*(m := both(s, d)), jo.overlap(*m))
 )
 query("ray_hit_count", f"WITH {A_TO_B} SELECT CAST(count(*) AS BIGINT) AS edges_with_hits FROM (SELECT DISTINCT sid, edge_id FROM ({hits_sql()}))")(
-    lambda s, d: jo.edge_hit_counts(*both(s, d), CELL).agg(F.count(F.when(F.col("hits") > 0, 1)).alias("edges_with_hits"))
+    lambda s, d: jo.edge_hit_counts(*both(s, d)).agg(F.count(F.when(F.col("hits") > 0, 1)).alias("edges_with_hits"))
 )
-query("ray_hit_compact", f"WITH {A_TO_B} SELECT DISTINCT sid AS object_id, edge_id FROM ({hits_sql()})")(lambda s, d: jo.edge_hit_counts(*both(s, d), CELL).where("hits > 0").select("object_id", "edge_id"))
+query("ray_hit_compact", f"WITH {A_TO_B} SELECT DISTINCT sid AS object_id, edge_id FROM ({hits_sql()})")(lambda s, d: jo.edge_hit_counts(*both(s, d)).where("hits > 0").select("object_id", "edge_id"))
 
 
 @query("seg_tri_hit", "SELECT id, (x >= 0 AND y >= 0 AND x + y <= 10 AND z >= 0) AS hit FROM (SELECT CAST(p_partkey AS BIGINT) AS id, (p_partkey*7919)%157/10.0::DOUBLE - 3.03::DOUBLE AS x, (p_partkey*104729)%151/10.0::DOUBLE - 3.05::DOUBLE AS y, (p_partkey*31)%20/10.0::DOUBLE - 0.95::DOUBLE AS z FROM part)")
@@ -98,10 +98,10 @@ query("containment_with_overlap", f"SELECT *, 'containment' AS pair_type FROM ({
 CORNER_B_IN_A = " AND ".join(f"b.l{c} BETWEEN a.l{c} AND a.h{c}" for c in "xyz")
 CORNER_A_IN_B = " AND ".join(f"a.l{c} BETWEEN b.l{c} AND b.h{c}" for c in "xyz")
 query("point_in_mesh", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {CORNER_B_IN_A}")(lambda s, d: jo.point_in_mesh(*both(s, d), cell=CELL))
-query("containment_parity_candidates", f"WITH {BOXES} SELECT {PAIR}, CAST(1 AS BIGINT) AS hits FROM BA a JOIN BB b ON {CORNER_B_IN_A}")(lambda s, d: jo.point_hits(*(m := both(s, d)), jo.candidates(*m, CELL)))
+query("containment_parity_candidates", f"WITH {BOXES} SELECT {PAIR}, CAST(1 AS BIGINT) AS hits FROM BA a JOIN BB b ON {CORNER_B_IN_A}")(lambda s, d: jo.point_hits(*both(s, d), CELL))
 query("first_vertex", f"WITH {BOXES} SELECT id AS object_id, CAST(0 AS BIGINT) AS tri_id, round(lx, 6) AS x, round(ly, 6) AS y, round(lz, 6) AS z FROM BA")(lambda s, d: rounded(me.first_vertices(cubes_a(s, d).triangles)))
 query("first_triangle", "SELECT CAST(p_partkey AS BIGINT) AS object_id, CAST(0 AS BIGINT) AS tri_id FROM part")(lambda s, d: me.first_vertices(cubes_a(s, d).triangles).select("object_id", "tri_id"))
-query("anti_lookup", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET} WHERE ({A_HOLDS_B}) OR ({B_HOLDS_A})")(lambda s, d: jo.candidates(*(m := both(s, d)), CELL).select("a_object_id", "b_object_id").join(jo.overlap(*m, cell=CELL), ["a_object_id", "b_object_id"], "left_anti"))
+query("anti_lookup", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET} WHERE ({A_HOLDS_B}) OR ({B_HOLDS_A})")(lambda s, d: jo.candidates(*(m := both(s, d)), CELL).select("a_object_id", "b_object_id").join(jo.overlap(*m), ["a_object_id", "b_object_id"], "left_anti"))
 query("intersection_join", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET}")(lambda s, d: jo.intersection(*both(s, d), cell=CELL))
 query("intersection_join_a_to_b", f"WITH {A_TO_B} SELECT sid AS a_object_id, tid AS b_object_id FROM ({hits_sql()}) UNION SELECT {PAIR} FROM BA a JOIN BB b ON {CORNER_A_IN_B}")(lambda s, d: jo.intersection(*both(s, d), "a_to_b", CELL))
 query("intersection_join_b_to_a", f"WITH {B_TO_A} SELECT tid AS a_object_id, sid AS b_object_id FROM ({hits_sql()}) UNION SELECT {PAIR} FROM BA a JOIN BB b ON {CORNER_B_IN_A}")(lambda s, d: jo.intersection(*both(s, d), "b_to_a", CELL))
@@ -112,7 +112,7 @@ query("sink_tracking_summary_csv", f"WITH {BOXES}, {TRACKED} SELECT direction, s
     lambda s, d: jo.tracking_summary(jo.pair_hits(*both(s, d), CELL))
 )
 query("profiling_stats", f"WITH {A_TO_B}, C AS ({EDGE_COUNTS}), R AS (SELECT count(*) AS n FROM BA a JOIN BB b ON {CORNER_B_IN_A}) SELECT (SELECT count(*) FROM C) AS edges, (SELECT CAST(sum(hits) AS BIGINT) FROM C) AS hits, (SELECT max(hits) FROM C) AS most_hits, (SELECT count(*) FROM B) AS rays, (SELECT n FROM R) AS ray_hits, (SELECT n FROM R) AS candidates, (SELECT n FROM R) AS containers, (SELECT CAST(floor(sum(hits)*1000/count(*)) AS BIGINT) FROM C) AS hits_per_edge_milli")(
-    lambda s, d: jo.profile(*both(s, d), CELL)
+    lambda s, d: jo.profile(*both(s, d))
 )
 
 # Statistics and the estimator.
@@ -189,25 +189,24 @@ SURFACE = f"CASE WHEN {A_HOLDS_B} THEN least(" + ", ".join(f"b.l{c} - a.l{c}, a.
 query("tile_join_within", f"WITH {BOXES} SELECT {PAIR}, round({SURFACE}, 5) AS distance FROM BA a JOIN BB b ON {GAP} <= 2.0 WHERE {SURFACE} <= 2.0")(lambda s, d: rounded(di.within(*both(s, d), D), 5))
 query("octree_query_intersect", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON " + " AND ".join(f"a.l{c} < b.h{c} AND b.l{c} < a.h{c}" for c in "xyz"))(lambda s, d: jo.box_pairs(*(m.objects for m in both(s, d)), CELL, g.box_intersects).select("a_object_id", "b_object_id"))
 query("octree_query_within", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {GAP} <= 2.0")(lambda s, d: di.box_pairs_within(*(m.objects for m in both(s, d)), D, CELL).select("a_object_id", "b_object_id"))
-KTH = f"SELECT a.id AS aid, b.id AS bid, {GAP} AS gap, {REACH} AS reach, row_number() OVER (PARTITION BY a.id ORDER BY {REACH}, b.id) AS k FROM BA a, BB b"
-query("octree_query_knn", f"WITH {BOXES}, N AS ({KTH}), T AS (SELECT aid, reach AS kth FROM N WHERE k = 3) SELECT N.aid AS a_object_id, N.bid AS b_object_id FROM N JOIN T ON N.aid = T.aid WHERE gap <= kth")(lambda s, d: di.knn_candidates(*(m.objects for m in both(s, d)), 3, CELL).select("a_object_id", "b_object_id"))
+KTH = f"SELECT a.id AS aid, min({REACH}, 3)[3] AS kth FROM BA a, BB b GROUP BY a.id"
+query("octree_query_knn", f"WITH {BOXES}, T AS ({KTH}) SELECT {PAIR} FROM T JOIN BA a ON a.id = T.aid JOIN BB b ON {GAP} <= T.kth")(lambda s, d: di.knn_candidates(*(m.objects for m in both(s, d)), 3, CELL).select("a_object_id", "b_object_id"))
 query("tile_join_knn", f"WITH {BOXES}, N AS (SELECT a.id AS aid, b.id AS bid, {SURFACE} AS d FROM BA a, BB b) SELECT aid AS a_object_id, CAST(k AS BIGINT) AS rank, round(d, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY d, bid) AS k FROM N) WHERE k <= 2")(
     lambda s, d: rounded(di.knn(*both(s, d), 2, CELL).select("a_object_id", "rank", "distance"), 5)
 )
-SELF = f"WITH {BOXES} SELECT {PAIR} FROM BB a JOIN BB b ON a.id <> b.id AND " + " AND ".join(f"a.l{c} < b.h{c} AND b.l{c} < a.h{c}" for c in "xyz")
-query("tile_self_join", SELF)(lambda s, d: jo.box_pairs((m := cubes_b(s, d)).objects, m.objects, CELL, g.box_intersects).where("a_object_id <> b_object_id").select("a_object_id", "b_object_id"))
-query("join_limit_objects", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET} WHERE a.id < 100 AND b.id < 100 AND NOT ({A_HOLDS_B}) AND NOT ({B_HOLDS_A})")(lambda s, d: jo.overlap(*(me.Mesh(m.triangles.where("object_id < 100")) for m in both(s, d)), cell=CELL))
+#: Closed cubes whose surfaces meet: neither lies strictly inside the other.
+STRICT = lambda x, y: " AND ".join(f"{x}.l{c} < {y}.l{c} AND {y}.h{c} < {x}.h{c}" for c in "xyz")
+SELF = f"WITH {BOXES} SELECT {PAIR} FROM BB a JOIN BB b ON a.id <> b.id AND {MEET} WHERE NOT ({STRICT('a', 'b')}) AND NOT ({STRICT('b', 'a')})"
+query("tile_self_join", SELF)(lambda s, d: di.self_join(cubes_b(s, d), di.face_join))
+query("join_limit_objects", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET} WHERE a.id < 100 AND b.id < 100 AND NOT ({A_HOLDS_B}) AND NOT ({B_HOLDS_A})")(lambda s, d: jo.overlap(*(me.Mesh(m.triangles.where("object_id < 100")) for m in both(s, d))))
 query("rtree", f"WITH {BOXES} SELECT a.id AS query_id, b.id AS object_id FROM BB a JOIN BA b ON {MEET}")(lambda s, d: di.box_range_search(*(m.objects for m in both(s, d)), CELL))
-query("octree_build", f"WITH {BOXES} SELECT a.id AS query_id, b.id AS object_id FROM BB a JOIN BA b ON {MEET}")(lambda s, d: jo.box_pairs((m := both(s, d))[1].objects, m[0].objects, CELL / 4, levels=6).select(F.col("a_object_id").alias("query_id"), F.col("b_object_id").alias("object_id")))
+query("octree_build", f"WITH {BOXES} SELECT a.id AS query_id, b.id AS object_id FROM BB a JOIN BA b ON {MEET}")(lambda s, d: jo.box_pairs((m := both(s, d))[1].objects, m[0].objects, CELL / 4).select(F.col("a_object_id").alias("query_id"), F.col("b_object_id").alias("object_id")))
 query("touch_candidates", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET}")(lambda s, d: di.touch_candidates(*both(s, d), CELL))
-query("touch_assign", f"WITH {BOXES} SELECT {PAIR} FROM BA a JOIN BB b ON {MEET}")(lambda s, d: di.touch_candidates(*both(s, d), CELL / 2))
-query("face_join", OVERLAP)(lambda s, d: di.face_join(*both(s, d), CELL))
-query("mesh_intersects", OVERLAP)(lambda s, d: di.face_join(*both(s, d), 2 * CELL))
-query("touch_join", f"SELECT CAST(count(*) AS BIGINT) AS pairs FROM ({OVERLAP})")(lambda s, d: di.touch_join(*both(s, d), CELL))
+query("face_join", OVERLAP)(lambda s, d: di.face_join(*both(s, d)))
+query("mesh_intersects", OVERLAP)(lambda s, d: di.face_join(*both(s, d), 4.0))
+query("touch_join", f"SELECT CAST(count(*) AS BIGINT) AS pairs FROM ({OVERLAP})")(lambda s, d: di.touch_join(*both(s, d)))
 query("batch_pairs", f"WITH {BOXES} SELECT {PAIR}, round({SURFACE}, 5) AS distance FROM BA a JOIN BB b ON {MEET}")(lambda s, d: rounded(di.mesh_distances(*(m := both(s, d)), jo.candidates(*m, CELL), F.lit(20.0)).select("a_object_id", "b_object_id", "distance"), 5))
 query("mesh_distance", f"WITH {BOXES} SELECT {PAIR}, round({SURFACE}, 5) AS distance FROM BA a JOIN BB b ON {GAP} <= 1.0 WHERE {SURFACE} <= 1.0")(lambda s, d: rounded(di.within(*both(s, d), 1.0), 5))
-query("sort_partition", None)(lambda s, d: di.sort_partition(cubes_a(s, d).objects.select("object_id", *BOX), 4).groupBy("px", "py", "pz").agg(F.count("*").alias("boxes")))
-query("touch_str_tree", None)(lambda s, d: di.sort_partition(cubes_b(s, d).objects.select("object_id", *BOX), 2))
 query("region_filter", f"WITH {BOXES} SELECT id AS object_id FROM BA WHERE lx <= 60 AND hx >= 20 AND ly <= 60 AND hy >= 20 AND lz <= 60 AND hz >= 20")(lambda s, d: di.region_filter(cubes_a(s, d).objects, (20, 20, 20, 60, 60, 60)).select("object_id"))
 query("budget_limit", f"WITH {BOXES}, R AS (SELECT id, CAST(s AS BIGINT) * 432 AS bytes, coalesce(sum(CAST(s AS BIGINT) * 432) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM BA) SELECT id AS object_id, bytes FROM (SELECT * FROM R WHERE spent < 400000 ORDER BY id LIMIT 120)")(
     lambda s, d: di.budget_limit(centers_a(s, d).select("object_id", (F.col("s").cast("long") * 432).alias("bytes")), "object_id", "bytes", 400_000, 120)
@@ -222,25 +221,4 @@ def pairs_evaluate(spark, sf_dir):
     return rounded(di.pairs_evaluate(predicted, truth))
 
 
-@query("voxel_pair_candidates", None)
-def voxel_pair_candidates(spark, sf_dir):
-    from ..operators import detail as de
-
-    a, b = both(spark, sf_dir)
-    voxels = lambda m, t: de.voxels_by_seed(m.triangles, de.skeleton_points(t, 2))
-    va, vb = voxels(a, me.template_vertices(centers_a(spark, sf_dir))), voxels(b, me.template_vertices(centers_b(spark, sf_dir)))
-    return rounded(di.voxel_pair_candidates(jo.candidates(a, b, CELL), va, vb))
-
-
-@query("join_lods", f"WITH {BOXES} SELECT {PAIR}, ({GAP} <= 2.0) AS within FROM BA a JOIN BB b ON {GAP} <= 4.0")
-def join_lods(spark, sf_dir):
-    """Bounds of levels 20 to 100 that narrow to the gap; a pair is decided at the first level that can."""
-    from ..operators import detail as de
-
-    near = di.box_pairs_within(*(m.objects for m in both(spark, sf_dir)), 4.0, CELL)
-    levels = near.withColumn("lod", F.explode(F.array(*[F.lit(x) for x in (20, 40, 60, 80, 100)])))
-    slack = (F.lit(100) - F.col("lod")) / F.lit(50.0)
-    return de.progressive_decide(levels.select("a_object_id", "b_object_id", "lod", (F.col("gap") - slack).alias("low"), (F.col("gap") + slack).alias("high")), D).select("a_object_id", "b_object_id", "within")
-
-
 from . import more  # noqa: E402,F401  (registers the other families)

@@ -104,3 +104,16 @@ def timing_json(phases: DataFrame, counters: dict[str, int] | None = None) -> st
     rows = phases.orderBy("phase").collect()
     total = sum(r["duration_us"] for r in rows)
     return json.dumps({"phases": {r["phase"]: {"duration_us": r["duration_us"], "duration_ms": r["duration_ms"]} for r in rows}, "counters": counters or {}, "total": {"duration_us": total, "duration_ms": total / 1000}}, indent=2)
+
+
+def timing_reports(phases: DataFrame) -> DataFrame:
+    """One JSON text for each run of (run, phase, duration_us, duration_ms): phases by name, counters (none), and the total."""
+    entry = F.struct("phase", F.struct("duration_us", "duration_ms").alias("d"))
+    rows = phases.groupBy("run").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("phases"), F.sum("duration_us").alias("us"))
+    total = F.struct(F.col("us").alias("duration_us"), (F.col("us") / F.lit(1000.0)).alias("duration_ms"))
+    return rows.select(F.to_json(F.struct("run", "phases", F.create_map().cast("map<string,long>").alias("counters"), total.alias("total"))).alias("value"))
+
+
+def write_raw_tiles(levels: DataFrame, path: str) -> None:
+    """Levels of detail decoded: triangles by voxel with their Hausdorff values (lod, object_id, voxel_id, tri_id, corners, hausdorff, proxy), partitioned by ``lod``."""
+    levels.select("lod", "object_id", "voxel_id", "tri_id", *TRIANGLE, "hausdorff", "proxy").write.partitionBy("lod").parquet(path)

@@ -2,7 +2,7 @@
 
 from . import text
 from .binary import read_npz, read_pre, require_edges, write_pre
-from .lists import read_ids, read_manifest, read_nuclei, read_pairs
+from .lists import read_bucket_ids, read_ids, read_manifest, read_nuclei, read_pairs
 from .text import read_obj, read_off, read_off_lines, read_wkt_polygons
 
 #: Loaders by extension.
@@ -17,4 +17,4 @@ def load(spark, path: str):
     return LOADERS[kind](spark, path)
 
 
-__all__ = ["LOADERS", "load", "read_ids", "read_manifest", "read_npz", "read_nuclei", "read_obj", "read_off", "read_off_lines", "read_pairs", "read_pre", "read_wkt_polygons", "require_edges", "text", "write_pre"]
+__all__ = ["LOADERS", "load", "read_bucket_ids", "read_ids", "read_manifest", "read_npz", "read_nuclei", "read_obj", "read_off", "read_off_lines", "read_pairs", "read_pre", "read_wkt_polygons", "require_edges", "text", "write_pre"]

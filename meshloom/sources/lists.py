@@ -29,3 +29,10 @@ def read_nuclei(spark: SparkSession, path: str, voxel_nm: tuple[float, float, fl
     number = lambda i, kind: F.trim(F.col("f")[i]).try_cast(kind)
     table = rows.select(number(0, "long").alias("nucleus_id"), number(3, "long").alias("root_id"), *[(number(4 + i, "double") * F.lit(v)).alias(c) for i, (c, v) in enumerate(zip("xyz", voxel_nm, strict=True))], number(7, "double").alias("volume"))
     return table.na.drop()
+
+
+def read_bucket_ids(spark: SparkSession, path: str, ending: str = "swc", most: int | None = None) -> DataFrame:
+    """The ids that name files of a store, ``<id>.<ending>``, in order (the first ``most``, if given); other names are passed over. Files are listed, not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ending}").load(path).select(F.regexp_extract("path", rf"(?:^|/)(\d+)\.{ending}$", 1).alias("id"))
+    found = files.where("id <> ''").select(F.col("id").cast("long").alias("id")).distinct()
+    return found.orderBy("id").limit(most) if most else found

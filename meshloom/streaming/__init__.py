@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g
-from ..operators.joins import _placed
+from ..operators.grid import censuses, joined_on, open_grid
+from ..operators.joins import names_of
 from ..schema import BOX
 
 
-def stream_candidates(stream: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+def stream_candidates(stream: DataFrame, boxes: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs of streamed (object_id, box) rows and static boxes that meet: a stream-static equi-join on cells, without state.
 
     A pair is told in its reference cell alone, so nothing has to be remembered to
-    remove copies.
+    remove copies. Streamed boxes may have any size: the static ones are placed at
+    every level above their own.
     """
-    left = _placed(stream.select(F.col("object_id").alias("a_object_id"), *BOX), cell, 1).select("a_object_id", "cx", "cy", "cz", *[F.col(c).alias(f"a_{c}") for c in BOX])
-    right = _placed(boxes.select(F.col("object_id").alias("b_object_id"), *BOX), cell, 1).select("b_object_id", "cx", "cy", "cz", *[F.col(c).alias(f"b_{c}") for c in BOX])
-    a, b = tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX)
-    reference = reduce(lambda x, y: x & y, [F.col(f"c{c}") == F.floor(F.greatest(a[i], b[i]) / cell).cast("long") for i, c in enumerate("xyz")])
-    return left.join(right, ["cx", "cy", "cz"]).where(reference & g.box_overlaps_inclusive(a, b)).select("a_object_id", "b_object_id")
+    side = lambda df, s: df.selectExpr(f"object_id AS {s}_object_id", *[f"{c} AS {s}_{c}" for c in BOX])
+    grid = open_grid(censuses({"b": (boxes, BOX)})["b"], cell)
+    if grid is None:  # no static box: nothing ever meets
+        return stream.where(F.lit(False)).select(F.col("object_id").alias("a_object_id"), F.col("object_id").alias("b_object_id"))
+    return joined_on(grid, side(stream, "a"), side(boxes, "b"), names_of("a"), names_of("b")).select("a_object_id", "b_object_id")
