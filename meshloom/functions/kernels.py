@@ -104,3 +104,10 @@ def tri_tri_distance(*columns: pd.Series) -> pd.Series:
 def tri_tri_intersects(*columns: pd.Series) -> pd.Series:
     """Whether two triangles meet, given their eighteen coordinates."""
     return pd.Series(triangles_meet(*_stack(columns)))
+
+
+@F.pandas_udf(T.DoubleType())
+def point_tri_distance(*columns: pd.Series) -> pd.Series:
+    """Distance of a point to a triangle, given their twelve coordinates."""
+    flat = np.stack([c.to_numpy(dtype=float) for c in columns], axis=1).reshape(-1, 4, 3)
+    return pd.Series(np.sqrt(_point_triangle2(flat[:, 0], flat[:, 1], flat[:, 2], flat[:, 3])))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.kernels import point_tri_distance
 from ..schema import BOX, TRIANGLE
 from .clusters import clustered, clustered_points, near_clusters
 from .mesh import objects
@@ -44,8 +45,8 @@ def _nearest_facet(points: DataFrame, triangles: DataFrame) -> DataFrame:
     faces, groups = clustered(triangles.select("object_id", "tri_id", *TRIANGLE), objects(triangles))
     keys = points.columns
     near = near_clusters(points, groups, ("px", "py", "pz")).join(faces.withColumnRenamed("tri_id", "near_tri"), ["object_id", "cluster"])
-    d = g.point_tri_distance(g.vec("p"), g.vec("a"), g.vec("b"), g.vec("c"))
-    return near.withColumn("d", d).groupBy(*keys).agg(F.min("d").alias("d"), F.min_by("near_tri", F.struct("d", "near_tri")).alias("near_tri"))
+    rows = near.withColumn("d", point_tri_distance("px", "py", "pz", *TRIANGLE))
+    return rows.groupBy(*keys).agg(F.min("d").alias("d"), F.min_by("near_tri", F.struct("d", "near_tri")).alias("near_tri"))
 
 
 def hausdorff(samples: DataFrame, triangles: DataFrame) -> DataFrame:
