@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, sent_if_small, words, written
+from .common import SPACE_CLASS, SPACES, renamed, sent_if_small, words, written
 
 #: Fixed thresholds of the rules on one text.
 MIN_WORDS = 20
@@ -55,14 +55,14 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
-    def windows(found: Column) -> Column:
-        n = F.size(found)
+    def windows(hashes: Column) -> Column:
+        n = F.size(hashes)
         return F.when(n < REPEAT_WINDOW, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(REPEAT_WINDOW)) - (REPEAT_WINDOW - 1)), lambda i: F.xxhash64(F.slice(found, i, REPEAT_WINDOW)))
+            F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(REPEAT_WINDOW)) - (REPEAT_WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, REPEAT_WINDOW)))
         )
 
     def counts(found: Column) -> Column:
-        return F.struct(F.size(found).cast("long").alias("n_words"), F.length(F.concat_ws("", found)).cast("long").alias("word_chars"), _let(windows(found), _repeat_words).alias("n_repeat_words"))
+        return F.struct(F.size(found).cast("long").alias("n_words"), F.length(F.concat_ws("", found)).cast("long").alias("word_chars"), _let(F.transform(found, lambda w: F.xxhash64(w)), lambda hashes: _let(windows(hashes), _repeat_words)).alias("n_repeat_words"))
 
     # one expression, in which nothing is evaluated twice wherever the optimizer moves it
     counted = F.struct(
@@ -79,24 +79,38 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_q", _let(counted, told))
 
 
-def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The boilerplate lines (host, line hash, documents) and, for each document that has some, its words and those they take.
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
+
+
+def line_table(docs: DataFrame, key: str, host: str, text: str) -> DataFrame:
+    """Every line with a word, written once: (_key, _host, _text, _n, _pos, _line, _w), names and numbers only; a document without such lines has one row with a null line.
 
-    Equal texts count as one document, so copies do not turn their own lines into
-    boilerplate. A null host is a host of its own.
+    A line's name are two 64-bit hashes of the normalised line; _n is the document's
+    number of words and _w the line's.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    who = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), F.xxhash64(body).alias("_text"), body.alias("_body"), F.size(words(F.col(text))).alias("_n"))
-    split = F.transform(F.split("_body", "\n"), lambda x: F.lower(F.btrim(x, F.lit(SPACES))))
-    lines = (
-        who.select("_key", "_host", "_text", "_n", F.posexplode(F.transform(split, lambda x: F.struct(F.xxhash64(F.regexp_replace(x, SPACE_CLASS + "+", " ")).alias("h"), F.when(x == "", F.lit(0)).otherwise(F.size(F.split(x, SPACE_CLASS + "+"))).alias("w")))).alias("_pos", "_line"))
-        .select("_key", "_host", "_text", "_n", "_pos", F.col("_line.h").alias("_hash"), F.col("_line.w").alias("_w"))
-        .where(F.col("_w") > 0)
-    )
-    sizes = who.groupBy("_host", "_text").count().groupBy("_host").agg(F.count("*").alias("_texts"))
-    counted = lines.groupBy("_host", "_hash", "_text").count().groupBy("_host", "_hash").agg(F.count("*").alias("_docs"))
-    common = counted.where(F.col("_docs") >= MIN_LINE_DOCS).join(sizes, "_host").where(F.col("_docs") >= F.lit(MIN_LINE_SHARE) * F.col("_texts")).select("_host", "_hash", "_docs")
-    taken = lines.join(common.select("_host", "_hash"), ["_host", "_hash"]).groupBy("_key", "_host", "_text", "_pos").agg(F.max("_w").alias("_w"), F.max("_n").alias("_n")).groupBy("_key", "_host", "_text").agg(F.sum("_w").alias("_taken"), F.max("_n").alias("_n"))
+    who = docs.select(F.col(key).alias("_key"), _host(host).alias("_host"), F.xxhash64(body).alias("_text"), body.alias("_body"))
+    plain = F.transform(F.split("_body", "\n"), lambda x: F.regexp_replace(F.lower(F.btrim(x, F.lit(SPACES))), SPACE_CLASS + "+", " "))
+    named = F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.when(x == "", F.lit(0)).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")))
+    split = who.select("_key", "_host", "_text", _let(named, lambda lines: F.struct(F.filter(lines, lambda x: x["w"] > 0).alias("lines"), F.aggregate(lines, F.lit(0), lambda s, x: s + x["w"]).alias("n"))).alias("_l"))
+    rows = split.select("_key", "_host", "_text", F.col("_l.n").alias("_n"), F.posexplode_outer("_l.lines").alias("_pos", "_x"))
+    return written(rows.select("_key", "_host", "_text", "_n", "_pos", F.when(F.col("_x").isNotNull(), F.struct("_x.a", "_x.b")).alias("_line"), F.col("_x.w").alias("_w")), "lines")
+
+
+def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The boilerplate lines (host, line, documents) and, for each document that has some, its words and those they take.
+
+    Documents with equal texts are one document, told once: a page that a host has
+    under ten addresses does not turn its own lines into boilerplate. A null host is
+    a host of its own. Lines of any length count.
+    """
+    lines = line_table(docs, key, host, text)
+    sizes = lines.groupBy("_host", "_text").count().groupBy("_host").agg(F.count("*").alias("_texts"))
+    there = lines.where(F.col("_line").isNotNull())
+    counted = there.groupBy("_host", "_line", "_text").count().groupBy("_host", "_line").agg(F.count("*").alias("_docs"))
+    common = counted.where(F.col("_docs") >= MIN_LINE_DOCS).join(sizes, "_host").where(F.col("_docs") >= F.lit(MIN_LINE_SHARE) * F.col("_texts")).select("_host", "_line", "_docs")
+    taken = there.join(common.select("_host", "_line"), ["_host", "_line"]).groupBy("_key", "_host", "_text", "_pos").agg(F.max("_w").alias("_w"), F.max("_n").alias("_n")).groupBy("_key", "_host", "_text").agg(F.sum("_w").alias("_taken"), F.max("_n").alias("_n"))
     return common, taken
 
 
@@ -113,7 +127,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", te
     which decide everything here. Other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), F.xxhash64(body).alias("_text"), F.col(text).alias("text"))
+    slim = docs.select(F.col(key).alias("_key"), _host(host).alias("_host"), F.xxhash64(body).alias("_text"), F.col(text).alias("text"))
     base = base_rules(slim).drop("text")
     _, taken = boilerplate(docs, key, host, text)
     taken = taken.select(F.col("_key").alias("_k"), F.col("_host").alias("_h"), F.col("_text").alias("_t"), "_taken")
@@ -125,12 +139,15 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", te
 
 
 def kept_documents(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns as they were."""
-    columns = docs.columns
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns, of whatever names, as they were.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table gives an empty one.
+    """
+    mine, names = renamed(docs)
+    key, host, text = (names[docs.columns.index(c)] for c in (key, host, text))
     body = F.coalesce(F.col(text), F.lit(""))
-    base = base_rules(docs, text).where(~F.col("_q.base_failed"))
-    _, taken = boilerplate(docs, key, host, text)
+    base = base_rules(mine, text).where(~F.col("_q.base_failed"))
+    _, taken = boilerplate(mine, key, host, text)
     gone = written(taken.where(_depleted(F.col("_n"), F.col("_taken"))).select(F.col("_key").alias("_k"), F.col("_host").alias("_h"), F.col("_text").alias("_t")), "depleted")
-    here = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (here == F.col("_h")) & (F.xxhash64(body) == F.col("_t"))
-    return base.join(sent_if_small(gone), same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    same = F.col(key).eqNullSafe(F.col("_k")) & (_host(host) == F.col("_h")) & (F.xxhash64(body) == F.col("_t"))
+    return base.join(sent_if_small(gone), same, "left_anti").select(*names).toDF(*docs.columns)

@@ -62,7 +62,7 @@ ln AS (SELECT doc_id, host, body, pos, raw, regexp_replace(lower(trim(raw, ' ' |
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM ln WHERE line <> '' GROUP BY doc_id),
 lw AS (SELECT *, len(string_split(line, ' ')) AS nw FROM ln WHERE line <> ''),
 sizes AS (SELECT host, count(DISTINCT body) AS texts FROM d GROUP BY host),
-common AS (SELECT l.host, l.line FROM lw l JOIN sizes s USING (host) WHERE nw <= 40 GROUP BY l.host, l.line, s.texts
+common AS (SELECT l.host, l.line FROM lw l JOIN sizes s USING (host) GROUP BY l.host, l.line, s.texts
            HAVING count(DISTINCT body) >= 10 AND count(DISTINCT body) >= 0.02 * s.texts),
 taken AS (SELECT doc_id, sum(nw) AS removed FROM lw JOIN common USING (host, line) GROUP BY doc_id),
 base AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
