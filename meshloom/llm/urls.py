@@ -24,12 +24,14 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 MOST_SIBLINGS, LEAST_TOP_SHARE = 24, 0.02
 #: A branch of a variable place is small with less than ``LEAST_TOP_SHARE`` of its rows and fewer labels than this.
 LEAST_LABELS = 4
-#: Branches are alike if their smoothed shares of blocked labels differ by less than this many standard errors.
-ALIKE = 1.5
-#: Prior labels added to each template: their number and blocked share; the share at which a template is rejected.
+#: Branches are alike if no share of theirs differs by more than this many standard errors, and can be told alike from so many rows on.
+ALIKE, LEAST_ROWS = 2.0, 4
+#: Prior labels added to each template (with its host's share), and to each host (with the share below); the share at which a template is rejected.
 PRIOR_LABELS, PRIOR_SHARE, REJECT = 4.0, 0.2, 0.8
-#: Levels of a tree: what is deeper counts as one segment.
+#: Levels at which branches are compared with their siblings; what is deeper is generalised by its looks alone, each segment for itself.
 LEVELS = 16
+#: What may follow a segment, by looks: the end, a wildcard, or a word.
+NEXT = ("end", "{n}", "{d}", "{x}", "{c}", "word")
 
 
 def host_of(url: Column) -> Column:
@@ -60,8 +62,21 @@ def _kind(segment: Column) -> Column:
     return F.when(mark.isNotNull(), F.concat(mark, ending))
 
 
-def _share(blocked: Column, labelled: Column) -> Column:
-    return (blocked + PRIOR_LABELS * PRIOR_SHARE) / (labelled + PRIOR_LABELS)
+def _share(blocked: Column, labelled: Column, prior: Column | float = PRIOR_SHARE) -> Column:
+    return (blocked + PRIOR_LABELS * prior) / (labelled + PRIOR_LABELS)
+
+
+def _differs(x: Column, n: Column, y: Column, m: Column, prior: float) -> Column:
+    """Whether two shares, x of n and y of m, differ by more than chance, each with prior counts."""
+    pooled = _share(x + y, n + m, prior)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / (n + PRIOR_LABELS) + 1 / (m + PRIOR_LABELS)))
+    return F.abs(_share(x, n, prior) - _share(y, m, prior)) > ALIKE * error
+
+
+def _follows(segments: Column, level: int) -> Column:
+    """What follows the segment of a level, one of ``NEXT``."""
+    following = F.get(segments, F.lit(level + 1))
+    return F.when(following.isNull(), F.lit("end")).otherwise(F.coalesce(F.regexp_extract(_kind(following), r"^(\{.\})", 1), F.lit("word")))
 
 
 def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,35 +84,48 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Level by level, each (host, template so far) is a place and the next segments
     its branches. Looks decide first; then a place with too many branches, or none
-    common, takes one wildcard for all that are small; then branches whose blocked
-    shares are alike to that of their siblings together are merged into it too. A
-    branch with rows or labels enough and another share stays apart. Each level
-    joins aggregated counts only. Levels end when no path has more segments; segments deeper than ``LEVELS``
-    count as one.
+    common, takes one wildcard for all that are small; then branches that are
+    statistically alike to their siblings together are merged into it too: what
+    follows them must have the same shares, and their blocked shares must agree
+    where both sides have labels. So labels reach unlabelled branches that are
+    built in the same way, and a branch that is labelled differently stays apart.
+    Each level joins aggregated counts only; a path leaves when it has no more
+    segments.
     """
     paths = pages.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    paths = written(paths.withColumn("segments", F.split(F.regexp_replace("path", "^/", ""), "/", LEVELS)).withColumn("at", F.lit("")), "paths")
-    depth = paths.agg(F.max(F.size("segments"))).first()[0] or 0
+    open_ = written(paths.withColumn("segments", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("at", F.lit("")), "paths")
+    depth = min(LEVELS, open_.agg(F.max(F.size("segments"))).first()[0] or 0)
+    done = None
     for level in range(depth):
         segment = F.get("segments", F.lit(level))
-        paths = paths.withColumn("looks", _kind(segment)).withColumn("step", F.coalesce("looks", segment))
+        rows = open_.withColumn("looks", _kind(segment)).withColumn("step", F.coalesce("looks", segment)).withColumn("after", _follows(F.col("segments"), level))
         # branches that looks have not settled
-        branches = paths.where(F.col("step").isNotNull() & F.col("looks").isNull()).groupBy("host", "at", "step").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        places = branches.groupBy("host", "at").agg(F.count("*").alias("k"), F.sum("n").alias("all_n"), F.max("n").alias("top"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+        kinds = [F.sum(F.when(F.col("after") == k, F.col("n")).otherwise(0)).alias(f"f{i}") for i, k in enumerate(NEXT)]
+        branches = rows.where(F.col("looks").isNull()).groupBy("host", "at", "step").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), *kinds)
+        every = [F.sum(c).alias(f"all_{c}") for c in ("n", "l", "b", *[f"f{i}" for i in range(len(NEXT))])]
+        places = branches.groupBy("host", "at").agg(F.count("*").alias("k"), F.max("n").alias("top"), *every)
         seen = branches.join(places, ["host", "at"])
-        others_l, others_b = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b")
-        pooled = _share(F.col("all_b"), F.col("all_l"))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("l") + PRIOR_LABELS) + 1 / (others_l + PRIOR_LABELS)))
-        alike = F.abs(_share(F.col("b"), F.col("l")) - _share(others_b, others_l)) < ALIKE * error
+        other = lambda c: F.col(f"all_{c}") - F.col(c)
+        apart = F.lit(False)
+        for i in range(len(NEXT)):
+            apart = apart | _differs(F.col(f"f{i}"), F.col("n"), other(f"f{i}"), other("n"), 1 / len(NEXT))
+        labelled = (F.col("l") > 0) & (other("l") > 0) & _differs(F.col("b"), F.col("l"), other("b"), other("l"), PRIOR_SHARE)
+        alike = (F.col("n") >= LEAST_ROWS) & (other("n") >= LEAST_ROWS) & ~apart & ~labelled
         variable = (F.col("k") > MOST_SIBLINGS) | (F.col("top") < LEAST_TOP_SHARE * F.col("all_n"))
         small = (F.col("n") < LEAST_TOP_SHARE * F.col("all_n")) & (F.col("l") < LEAST_LABELS)
         merged = seen.where((F.col("k") > 1) & (variable & small | alike)).select("host", "at", "step", F.lit(True).alias("merged"))
-        paths = paths.join(merged, ["host", "at", "step"], "left")
+        rows = rows.join(merged, ["host", "at", "step"], "left")
         wild = F.when(F.coalesce("merged", F.lit(False)), F.lit("*")).otherwise(F.col("step"))
-        paths = written(paths.withColumn("at", F.when(F.col("step").isNull(), F.col("at")).otherwise(F.concat("at", F.lit("/"), wild))).drop("looks", "step", "merged"), f"level{level}")
-    paths = paths.withColumnRenamed("at", "template")
+        moved = written(rows.withColumn("at", F.concat("at", F.lit("/"), wild)).drop("looks", "step", "merged", "after"), f"level{level}")
+        ended = moved.where(F.size("segments") <= level + 1)
+        done = ended if done is None else done.unionByName(ended)
+        open_ = moved.where(F.size("segments") > level + 1)
+    rest = F.transform(F.slice("segments", LEVELS + 1, F.greatest(F.size("segments") - LEVELS, F.lit(1))), lambda s: F.coalesce(_kind(s), s))
+    deep = open_.withColumn("at", F.concat("at", F.lit("/"), F.array_join(rest, "/")))
+    paths = (deep if done is None else done.unionByName(deep)).withColumnRenamed("at", "template")
     counts = paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    judged = counts.withColumn("purity", _share(F.col("blocked"), F.col("labelled"))).withColumn("verdict", F.when((F.col("labelled") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow"))
+    hosts = counts.groupBy("host").agg(_share(F.sum("blocked"), F.sum("labelled")).alias("prior"))
+    judged = counts.join(hosts, "host").withColumn("purity", _share(F.col("blocked"), F.col("labelled"), F.col("prior"))).withColumn("verdict", F.when((F.col("labelled") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow"))
     return paths.select("host", "path", "template"), judged
 
 
@@ -105,7 +133,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Seque
     """One row for each row: key, host, path, rule, verdict (and template).
 
     A URL that a rule fits has the rule's verdict, and labels its template with
-    it; any other has the verdict of its template. A null URL, or one without
+    it; any other has the verdict of its template: block, if the smoothed share of
+    blocked ones among its labels is at least ``REJECT``. A null URL, or one without
     ``://``, has an empty host and path, which no rule fits and no label reaches:
     allow. Repeated rows and null keys are judged alike; an empty table gives an
     empty result; other columns are ignored.
