@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import released, renamed
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "novel")
@@ -34,7 +34,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: What makes a place sensitive, and how far before a string it may stand.
 SENSITIVE = re.compile(r"(?ai)pass(?:wd|word|phrase|code)|pwd|secret|token|key|auth|credential|bearer|private|signature|session|cookie|akia|gh[pousr]_|xox[abprs]-|sk[-_]live|eyj[a-z0-9]")
 REACH = 96
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: A candidate: shorter strings add about as many compressed bytes as they have, words and keys alike, and are left to the patterns.
+LEAST_CANDIDATE = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST_CANDIDATE},}}")
+_MORE, _ONE = re.compile(r"[A-Za-z0-9+/_=.~-]*"), re.compile(r"[A-Za-z0-9+/_=.~-]")
 #: Surroundings taken on each side of a candidate, in characters.
 AROUND = 200
 #: A string is novel if it adds at least this many compressed bytes for each of its own.
@@ -77,26 +80,24 @@ class Novelty:
         return added / max(1, len(own))
 
 
-def _mixed(string: str) -> bool:
-    """Whether a string has digits among letters, or changes case oftener than joined words do; plain words have neither."""
-    digit, letter = any(c.isdigit() for c in string), any(c.isalpha() for c in string)
-    return digit and letter or 4 * sum(a.islower() and b.isupper() for a, b in zip(string, string[1:], strict=False)) >= len(string)
-
-
 def novel_spans(text: str, novelty: Novelty, threshold: float = NOVEL_SHARE) -> list[Span]:
-    """Incompressible strings that follow a sensitive word within ``REACH`` characters (or hold it)."""
+    """Incompressible strings that follow a sensitive word within ``REACH`` characters (or hold it): every candidate is measured, whatever it is made of.
+
+    Each sensitive word is looked past ``REACH`` once, so the time is in proportion to the text.
+    """
     found: list[Span] = []
     done = 0
     for near in SENSITIVE.finditer(text):
         at, stop = max(done, near.start()), near.end() + REACH
         # a candidate may begin before the word that marks it
-        while at > done and re.match(r"[A-Za-z0-9+/_=.~-]", text[at - 1]):
+        while at > done and _ONE.match(text[at - 1]):
             at -= 1
-        while (m := CANDIDATE.search(text, at)) and m.start() < stop:
-            at = done = m.end()
-            string = m[0]
-            if _mixed(string) and novelty.share(text[max(0, m.start() - AROUND) : m.start()], string, text[m.end() : m.end() + AROUND]) >= threshold:
-                found.append(("novel", *m.span()))
+        # what begins before ``stop`` has its least length before that end
+        while m := CANDIDATE.search(text, at, stop + LEAST_CANDIDATE - 1):
+            start, end = m.start(), _MORE.match(text, m.end()).end()
+            at = done = end
+            if novelty.share(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= threshold:
+                found.append(("novel", start, end))
     return found
 
 
@@ -151,14 +152,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["k", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
-    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", threshold: float = NOVEL_SHARE) -> DataFrame:
     """All rows and columns of ``docs`` with the secrets of ``text`` replaced; ``length``, if there is such a column, is counted anew where a text changed.
 
-    Null texts stay null.
+    Null texts stay null, empty ones empty; repeated rows are each redacted; an empty
+    table gives an empty one; columns of any name, also twice, stay as they are.
     """
+    mine, names = renamed(docs)
     at, count = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,4 +182,4 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return mine.mapInArrow(released(run), mine.schema).toDF(*docs.columns)
