@@ -16,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import released, small_batches
+from .common import released, renamed
 from .substrings import Words
 
 GRAM = 3
 SIMILARITY = 0.8
-#: Shorter items say too little to be looked for.
+#: Shorter items are too short to be aligned: they are looked for whole and unchanged.
 LEAST_ITEM_WORDS = 8
+#: Items under so many words are told, but are no reason for a document to go: anyone may have written them.
+LEAST_EVIDENCE_WORDS = 4
 #: An n-gram is rare if at most so many documents have it, or this share of all, or so many times what half of its item's n-grams have.
 RARE_DOCS, RARE_SHARE, RARE_TIMES = 8, 0.0005, 4
 #: Words of test items that one pass looks for.
@@ -41,28 +44,35 @@ def plain(text: str | None) -> bytes:
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """The best local alignment of two sequences of names: words matched, and the passage's part (from, to)."""
-    m, n = len(item), len(passage)
-    table = np.zeros((m + 1, n + 1))
-    slope = GAP * np.arange(n + 1)
-    same = item[:, None] == passage[None, :]
-    for i in range(1, m + 1):
-        row = np.maximum(np.maximum(table[i - 1] - GAP, 0), 0)
-        row[1:] = np.maximum(row[1:], table[i - 1, :-1] + np.where(same[i - 1], 1.0, -MISMATCH))
-        table[i] = np.maximum.accumulate(row + slope) - slope
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    i, j = int(i), int(j)
-    end, matched = j, 0
-    while i and j and table[i, j] > 0:
-        here = table[i, j]
-        if abs(here - (table[i - 1, j - 1] + (1.0 if same[i - 1, j - 1] else -MISMATCH))) < 1e-9:
-            matched += bool(same[i - 1, j - 1])
-            i, j = i - 1, j - 1
-        elif abs(here - (table[i - 1, j] - GAP)) < 1e-9:
-            i -= 1
-        else:
-            j -= 1
-    return matched, j, end
+    """The best local alignment of two sequences of names: words matched, and the passage's part (from, to).
+
+    One row of the table at a time: with its score, every cell carries the words
+    matched on its best path and where that began, so that memory grows with the
+    passage alone, not with item times passage.
+    """
+    n = len(passage)
+    slope, place = GAP * np.arange(n + 1), np.arange(n + 1)
+    score, matched, start = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int64), place.copy()
+    best, found = 0.0, (0, 0, 0)
+    for word in item:
+        same = passage == word
+        slanted = score[:-1] + np.where(same, 1.0, -MISMATCH)
+        new, hits, begun = np.maximum(score - GAP, 0), matched.copy(), start.copy()
+        empty = new <= 0
+        hits[empty], begun[empty] = 0, place[empty]
+        # of equal scores, words that stand opposite each other go first
+        take = np.r_[False, (slanted >= new[1:]) & (slanted > 0)]
+        new[take], hits[take], begun[take] = slanted[take[1:]], matched[:-1][take[1:]] + same[take[1:]], start[:-1][take[1:]]
+        # words left out of the passage: the best cell before, at a price for each step
+        run = np.maximum.accumulate(new + slope)
+        source = np.maximum.accumulate(np.where(new + slope >= run, place, 0))
+        far = (run - slope > new + 1e-12) & (run - slope > 0)
+        source = np.where(far, source, place)
+        score, matched, start = np.where(far, run - slope, new), hits[source], begun[source]
+        at = int(score.argmax())
+        if score[at] > best + 1e-9:
+            best, found = float(score[at]), (int(matched[at]), int(start[at]), at)
+    return found
 
 
 class Block:
@@ -70,6 +80,12 @@ class Block:
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         words = Words([plain(text) for _, text in rows])
+        # by length, the whole items of fewer words: names, and which items
+        self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for n in sorted({int(x) for x in words.n if 0 < x < LEAST_ITEM_WORDS}):
+            mine = np.flatnonzero(words.n == n)
+            names, which = np.unique(words.ranges(words.first[mine], words.first[mine] + n), return_inverse=True)
+            self.short[n] = names, [[rows[mine[k]][0] for k in np.flatnonzero(which.reshape(-1) == i)] for i in range(len(names))]
         long = np.flatnonzero(words.n >= LEAST_ITEM_WORDS)
         self.ids = [rows[i][0] for i in long]
         self.items = [words.names[words.first[i] : words.first[i + 1]] for i in long]
@@ -116,6 +132,32 @@ class Block:
             self._marks[(self.grams >> np.uint64(64 - self._sieve_bits())).astype(np.int64)] = True
         return self._marks
 
+    def whole(self, words: Words, least: int = 1) -> Iterator[tuple[int, int, int, int]]:
+        """(text, place in the list of that length's items, from, words) of every short item of ``least`` words or more that a text holds unchanged: its first place."""
+        for n, (names, _) in self.short.items():
+            if n < least:
+                continue
+            counts = np.maximum(words.n - n + 1, 0)
+            at = np.repeat(words.first[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            here = words.ranges(at, at + n)
+            where = np.minimum(np.searchsorted(names, here), len(names) - 1)
+            hit = np.flatnonzero(names[where] == here)
+            text = words.owner(at[hit])
+            _, first = np.unique(np.stack([text, where[hit]]), axis=1, return_index=True) if len(hit) else (None, np.zeros(0, dtype=np.int64))
+            for k in first:
+                yield int(text[k]), int(where[hit[k]]), int(at[hit[k]] - words.first[text[k]]), n
+
+    def told(self, words: Words, similarity: float) -> list[tuple]:
+        """(text, item id, similarity, from, words) of all items in all texts."""
+        found = [(t, self.ids[i], share, start, n) for t, i, share, start, n in self.matches(words, similarity)]
+        for t, i, start, n in self.whole(words):
+            found += [(t, of, 1.0, start, n) for of in self.short[n][1][i]]
+        return sorted(found, key=lambda r: (r[0], r[1] is None, str(type(r[1])), r[1] if r[1] is not None else 0))
+
+    def touched(self, words: Words, similarity: float) -> set[int]:
+        """Texts that hold an item of ``LEAST_EVIDENCE_WORDS`` or more."""
+        return {t for t, *_ in self.matches(words, similarity)} | {t for t, *_ in self.whole(words, LEAST_EVIDENCE_WORDS)}
+
     def matches(self, words: Words, similarity: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, similarity, from, words) of every item in every text: its best passage, if similar enough."""
         at, gram = self.hits(words)
@@ -179,14 +221,11 @@ def _counted(docs: DataFrame, text: str, block: Block) -> tuple[np.ndarray, int]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen], pa.int64()), pa.array(np.r_[n, total[seen]], pa.int64())], names=["gram", "n"])
 
-    sums = small_batches(docs).select(F.col(text).cast("string").alias("t")).mapInArrow(released(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    counts, documents = np.zeros(len(block.grams), dtype=np.int64), 0
-    for row in sums:
-        if row["gram"] < 0:
-            documents = row["n"]
-        else:
-            counts[row["gram"]] = row["n"]
-    return counts, documents
+    sums = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(released(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    gram, n = sums.column("gram").to_numpy(), sums.column("n").to_numpy()  # a row for each n-gram of a block
+    counts = np.zeros(len(block.grams), dtype=np.int64)
+    counts[gram[gram >= 0]] = n[gram >= 0]
+    return counts, int(n[gram < 0].sum())
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str | None]]]:
@@ -195,7 +234,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
     n = max(1, -(-total // BLOCK_WORDS))
     for i in range(n):
         mine = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == i)
-        yield sorted(((r["i"], r["t"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        yield sorted(((r["i"], r["t"]) for r in mine.collect()), key=lambda r: (r[0] is None, str(r[0]), r[1] or ""))
 
 
 def _told(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str) -> Iterator[Block]:
@@ -203,6 +242,7 @@ def _told(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text
         block = Block(rows)
         if block.items:
             block.tell(*_counted(docs, text, block))
+        if block.items or block.short:
             yield block
 
 
@@ -211,13 +251,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     ``similarity`` is the share of the item's words that the best local alignment
     matches; start and words place the passage among the words that are left when
-    marks are dropped. Null texts hold nothing and null items are not looked for;
-    items under ``LEAST_ITEM_WORDS`` words neither. Equal items are each told,
-    repeated rows too. Empty tables give an empty result.
+    marks are dropped. Items under ``LEAST_ITEM_WORDS`` words are told where they
+    stand whole (similarity 1, their first place). Null texts hold nothing; null
+    items and those without words are not looked for. Equal items are each told,
+    repeated rows too, null keys like others. Keys and item ids may be of any type.
+    Empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("item", benchmark.schema[item].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("words", T.LongType())])
-    kind = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32()}.get(benchmark.schema[item].dataType.simpleString(), pa.string())
+    kind = to_arrow_type(benchmark.schema[item].dataType)
     slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     result = spark.createDataFrame([], schema)
     for block in _told(docs, benchmark, text, item, item_text):
@@ -226,28 +268,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for low, part in _parts(batch.column(1)):
-                    found = sorted(sent.value.matches(Words(part), similarity))
+                    found = sent.value.told(Words(part), similarity)
                     if found:
                         t, i, s, a, n = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([low + x for x in t], pa.int64())), pa.array([sent.value.ids[x] for x in i], kind), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], names=["k", "item", "similarity", "start", "words"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([low + x for x in t], pa.int64())), pa.array(i, kind), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], names=["k", "item", "similarity", "start", "words"])
 
         result = result.unionByName(slim.mapInArrow(released(run), schema))
     return result.withColumnRenamed("k", key).withColumnRenamed("item", item)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns as they were."""
-    at = docs.columns.index(text)
-    for block in _told(docs, benchmark, text, item, item_text):
+    """The rows of ``docs`` that hold no test item of ``LEAST_EVIDENCE_WORDS`` words or more, with their columns, of whatever names, as they were.
+
+    Rows with null or empty texts stay; repeated rows stay or go together, also where
+    texts tie; an empty table gives an empty one.
+    """
+    columns, (docs, names) = docs.columns, renamed(docs)
+    at = columns.index(text)
+    for block in _told(docs, benchmark, names[at], item, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for low, part in _parts(batch.column(at)):
-                    for t, *_ in sent.value.matches(Words(part), similarity):
+                    for t in sent.value.touched(Words(part), similarity):
                         keep[low + t] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(released(run), docs.schema)
-    return docs
+    return docs.toDF(*columns)
