@@ -209,7 +209,7 @@ _CAPTURE = T.StructType(
     [
         T.StructField("urlkey", T.StringType()), T.StructField("time", T.StringType()), T.StructField("page", T.LongType()), T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
-        T.StructField("archive", T.StringType()), T.StructField("place", T.LongType()), T.StructField("length", T.LongType()),
+        T.StructField("archive", T.StringType()), T.StructField("place", T.LongType()), T.StructField("length", T.LongType()), T.StructField("nth", T.LongType()),
     ]
 )
 _ARROW = pa.schema([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for f in _CAPTURE])
@@ -240,6 +240,7 @@ def read_archives(listed: DataFrame, folder: str) -> DataFrame:
                             size = int(http["Content-Length"])
                         rows.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], _page_id(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], _page_id(fields.get("WARC-Refers-To")), path, at, length))
                 rows.sort(key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[8]))
+                rows = [(*r, n) for n, r in enumerate(rows)]  # the place in the run
                 for low in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[low : low + 10_000], strict=True), _ARROW, strict=True)], schema=_ARROW)
 
@@ -276,13 +277,13 @@ def merged_index(captures: DataFrame) -> DataFrame:
         keyed = keyed.withColumn("range", _rank_in(sorted(set(cuts)))("_k"))
     else:
         keyed = keyed.withColumn("range", F.lit(0))
-    schema = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("rank", T.LongType()), *_CAPTURE.fields])
-    names = _CAPTURE.fieldNames()
+    schema = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("rank", T.LongType()), *_CAPTURE.fields[:-1]])
+    names = _CAPTURE.fieldNames()[:-1]
 
     def merge(table: pa.Table) -> pa.Table:
         of = table.column("range")[0].as_py() if table.num_rows else 0
-        # a segment is what one run has in this range, in the run's order
-        table = table.sort_by([("archive", "ascending"), ("urlkey", "ascending"), ("time", "ascending"), ("page", "ascending"), ("place", "ascending")])
+        # a segment is what one run has in this range: its rows come in any order and are put back by their places in the run
+        table = table.sort_by([("archive", "ascending"), ("nth", "ascending")])
         columns = {c: table.column(c).to_pylist() for c in ("archive", "urlkey", "time", "page", "place")}
         archives = columns["archive"]
         starts = [i for i in range(len(archives)) if not i or archives[i] != archives[i - 1]]
@@ -297,7 +298,7 @@ def merged_index(captures: DataFrame) -> DataFrame:
         n = table.num_rows
         return pa.table([pa.array([of] * n, pa.int32()), pa.array(range(n), pa.int64()), *table.columns], names=["range", "rank", *names])
 
-    return keyed.select("range", *names).groupBy("range").applyInArrow(merge, schema)
+    return keyed.select("range", *names, "nth").groupBy("range").applyInArrow(merge, schema)
 
 
 def archive_pages(pages: DataFrame, key: str = "page_id", html: str = "html", folder: str | None = None) -> DataFrame:
@@ -308,14 +309,17 @@ def archive_pages(pages: DataFrame, key: str = "page_id", html: str = "html", fo
     null URL an empty one. Null keys come last among equals, are never referred to
     while another key has the payload, and are responses. Repeated rows are each a
     record; the smallest key is a response wherever it stands. An empty table gives
-    an empty result.
+    an empty result. The key must be an integer; other columns, whatever their
+    names, are ignored.
     """
+    if not isinstance(pages.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be an integer")
     spark = pages.sparkSession
-    if "url" not in pages.columns:
-        pages = pages.withColumn("url", F.lit(None).cast("string"))
+    kind = pages.schema[key].dataType
+    pages = pages.select(F.col(key).alias("page_key"), F.col(html).cast("string").alias("html"), (F.col("url") if "url" in pages.columns else F.lit(None)).cast("string").alias("url"))
     folder = folder or new_folder(spark, "warc")
-    listed = written(write_archives(revisits(pages, key, html), folder), "archives")
+    listed = written(write_archives(revisits(pages, "page_key", "html"), folder), "archives")
     spread = listed.repartition(max(1, listed.count()))
     captures = written(read_archives(spread, folder), "runs")
     index = merged_index(captures)
-    return index.withColumn("page", F.col("page").cast(pages.schema[key].dataType)).withColumnRenamed("page", key)
+    return index.withColumn("page", F.col("page").cast(kind)).withColumnRenamed("page", key)
