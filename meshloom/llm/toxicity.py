@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import released, written
 
 #: Embedding rows, their width, and the n-gram lengths.
 ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Labelled rows of each class that training takes at most (in expectation: the choice is by hash).
 MOST_OF_CLASS = 1600
+#: Bytes of their bags that reach the driver at most (in expectation): beyond, fewer rows are taken, by hash.
+MOST_BYTES = 300_000_000
 STEPS, BATCH, RATE, SCALE = 600, 64, 0.02, 120.0
 #: Empty rows that every average holds beside a text's own: a few words alone then say little.
 PRIOR_ROWS = 2500
@@ -131,7 +133,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
             bags = [bag(x or "") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in bags], pa.binary()), pa.array([b.tobytes() for _, b in bags], pa.binary())], names=["k", "y", "rows", "shares"])
 
-    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(chosen, "k").select(F.col("k").cast("string").alias("k"), "y", "t").mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(chosen, "k").select(F.col("k").cast("string").alias("k"), "y", "t").mapInArrow(released(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_OF_CLASS) -> tuple[np.ndarray, float]:
@@ -142,7 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     learnt: all amounts are zero and the bias tells the one share (half, if none).
     """
     sample = training_rows(docs, labels, key, text, label, most)
-    rows = sorted(sample.collect(), key=lambda r: (r["k"], r["y"], r["shares"], r["rows"]))
+    sample = written(sample, "sample")
+    size = sample.agg(F.sum(F.octet_length("rows") + F.octet_length("shares"))).first()[0] or 0
+    if size > MOST_BYTES:
+        sample = sample.where(F.pmod(F.xxhash64("k", F.lit("thin")), F.lit(1 << 30)) < F.lit(int((1 << 30) * MOST_BYTES / size)))
+    rows = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["k"], r["y"], r["shares"], r["rows"]))
     y = np.array([r["y"] for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return np.zeros(ROWS), 4.0 * (1 if len(y) and y[0] else -1 if len(y) else 0)
@@ -184,7 +190,7 @@ def score(docs: DataFrame, amounts: np.ndarray, bias: float, key: str = "doc_id"
                 out.append(1 / (1 + np.exp(-min(50.0, max(-50.0, x)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["k", "score"])
 
-    scored = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+    scored = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema)
     return scored.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
