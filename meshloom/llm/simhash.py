@@ -1,17 +1,20 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Every fingerprint gets its Hamming distances to many reference fingerprints
-(pivots), computed once. By the triangle inequality, two fingerprints within r
-bits differ by at most r in each coordinate, so a pair with a larger difference
-anywhere is discarded unseen, and only survivors are verified bit by bit.
-
-Which pairs are looked at: the bits are cut into blocks. Distances to the pivots
-that are zero outside a block and have one bit, or none, inside it fix the bits
-of that block; with at most r differing bits, all but r blocks agree. Pairs that
-share these block coordinates meet in an equi-join. A crowded bucket is not
-paired off at all: two fingerprints within 2 bits have a common neighbour within
-1 bit of each, so members are linked through shared neighbours, exactly and in
-proportion to their number.
+Every fingerprint gets its Hamming distances to many reference fingerprints (pivots)
+once: its row of the pivot table. By the triangle inequality, two fingerprints within
+r bits differ by at most r in each coordinate.
+
+The table is used twice. First coordinates, cut into cells, are part of the key by
+which pairs meet: a fingerprint looks for others in its own cell and, where its
+distance is near the border, in the neighbouring one, so no pair within r is lost.
+The other part of the key is a block of bits: with at most r differing bits, one of
+r + 1 blocks agrees. Then pairs whose largest coordinate difference over all pivots
+is more than r are discarded by a few operations on packed rows of the table, and
+only survivors are verified bit by bit. ``funnel`` counts what each step leaves.
+
+A crowded cell is not paired off at all: two fingerprints within 2 bits have a
+common neighbour within 1 bit of each, so members are linked through shared
+neighbours, exactly and in proportion to their number.
 """
 
 from __future__ import annotations
@@ -26,16 +29,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, sent_if_small, small_batches, written
-from .components import components
+from ..operators.components import components
+from .common import released, renamed, sent_if_small, written
 
 SEED = 42
 RADIUS = 2
 PIVOTS = 24
-#: Members up to which a bucket is paired off.
-CROWD = 16
-#: Fingerprints beyond which six blocks (longer keys, more of them) are used instead of four.
-MANY = 1 << 28
+#: Pivots whose cells are part of the key by which pairs meet.
+KEYED = 2
+#: Coordinates packed into one long, a byte each, so that none carries into the sign.
+PACKED = 6
+#: Pairs of a cell up to which it is paired off.
+CROWD = 256
+#: Fingerprints beyond which blocks are cut in two, of which all but ``RADIUS`` agree (longer keys, more of them).
+MANY = 1 << 24
+#: Members up to which a bucket of similar documents is paired off.
+FEW = 16
 #: Sampled fingerprints for similarity on shingle sets.
 BINS, SAMPLE = 64, 3
 SKETCH = 256
@@ -108,39 +117,107 @@ def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 fps = fingerprints([shingles(x or "", width) for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["k", "fp"])
 
-    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
 
 
-def _coordinates(fp: Column) -> Column:
-    return F.struct(*[F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("tinyint").alias(f"c{i}") for i, p in enumerate(_pivots())])
+def _distance(fp: Column, pivot: int) -> Column:
+    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot)))).cast("long")
 
 
-def _coordinate_gap(a: str, b: str) -> Column:
-    return F.greatest(*[F.abs(F.col(f"{a}.c{i}") - F.col(f"{b}.c{i}")) for i in range(PIVOTS)])
+def pivot_rows(fp: Column) -> list[Column]:
+    """A fingerprint's row of the pivot table, packed: ``PACKED`` distances in each long, the first in the lowest byte."""
+    found = [_distance(fp, p) for p in _pivots()]
+    return [sum((F.shiftleft(d, 8 * k) for k, d in enumerate(found[low : low + PACKED])), F.lit(0).cast("long")) for low in range(0, PIVOTS, PACKED)]
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect the distinct fingerprints ``nodes`` (fp) as all pairs within ``RADIUS`` bits do.
+def coordinates_near(a: list[Column], b: list[Column], radius: int) -> Column:
+    """Whether no coordinate of two packed rows differs by more than ``radius`` (below 32)."""
+    each = lambda byte: F.lit(sum(byte << (8 * k) for k in range(PACKED)))
+    near = F.lit(True)
+    for x, y in zip(a, b, strict=True):
+        # bytes of t are 128 + radius + x - y; in range, that is 128 to 128 + 2 radius
+        t = (x.bitwiseOR(each(128)) + each(radius) - y).bitwiseXOR(each(128))
+        near = near & (t.bitwiseOR(t.bitwiseAND(each(127)) + each(127 - 2 * radius)).bitwiseAND(each(128)) == 0)
+    return near
 
-    Every pair in an uncrowded bucket is decided by the pivot table and verified; a
-    crowded bucket gives a star for each shared neighbour instead. All links told
-    are within the radius.
-    """
-    blocks = 4 if nodes.count() <= MANY else 6
+
+def _probes(fp: Column) -> tuple[Column, Column]:
+    """The cells of the first ``KEYED`` coordinates: a fingerprint's own, as one number, and all in which others within ``RADIUS`` may be."""
+    width, own, every = 2 * RADIUS + 1, F.lit(0), F.array(F.lit(0))
+    for p in _pivots()[:KEYED]:
+        d = _distance(fp, p).cast("int")
+        cell, rest = F.floor(d / width).cast("int") + 1, F.pmod(d, F.lit(width))
+        # width 2r + 1: the cell and at most one neighbour
+        here = F.when(rest < RADIUS, F.array(cell, cell - 1)).when(rest > RADIUS, F.array(cell, cell + 1)).otherwise(F.array(cell))
+        own = own * 32 + cell
+        every = _products(every, here)
+    return own, every
+
+
+def _products(every: Column, here: Column) -> Column:
+    """All x * 32 + c of two arrays."""
+    return F.flatten(F.transform(every, lambda x: F.transform(here, lambda c: x * 32 + c)))
+
+
+def _met(nodes: DataFrame, many: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (way, key, cell, fp, packed row): every fingerprint in its own cells, and in all cells that it looks into."""
+    blocks = (RADIUS + 1) * (2 if many else 1)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     mask = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
     keys = [sum(mask[i] for i in kept) for kept in combinations(range(blocks), blocks - RADIUS)]
-    rows = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(k))) for k in keys])).alias("way", "key"))
-    shared = rows.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(rows.join(shared, ["way", "key"]), "buckets")
-    few = met.where(F.col("n") <= CROWD).select("way", "key", "fp", _coordinates(F.col("fp")).alias("at"))
-    a, b = few.select("way", "key", F.col("fp").alias("u"), F.col("at").alias("at_u")), few.select("way", "key", F.col("fp").alias("v"), F.col("at").alias("at_v"))
-    pairs = a.join(b, ["way", "key"]).where((F.col("u") < F.col("v")) & (_coordinate_gap("at_u", "at_v") <= RADIUS) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)).select("u", "v")
-    crowded = met.where(F.col("n") > CROWD).select("fp").distinct()
-    around = crowded.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("near"))
+    fp = F.col("fp")
+    own, every = _probes(fp)
+    names = [f"r{i}" for i in range(PIVOTS // PACKED)]
+    table = nodes.select("fp", own.alias("own"), every.alias("looks"), *[r.alias(n) for r, n in zip(pivot_rows(fp), names, strict=True)])
+    ways = F.posexplode(F.array(*[fp.bitwiseAND(F.lit(_signed(k))) for k in keys])).alias("way", "key")
+    rows = table.select("fp", "own", "looks", *names, ways)
+    return rows.select("way", "key", F.col("own").alias("cell"), "fp", *names), rows.select("way", "key", F.explode("looks").alias("cell"), "fp", *names)
+
+
+def _pairs(nodes: DataFrame, many: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v, packed rows) of fingerprints that meet in a cell that is not crowded, and the fingerprints of crowded ones."""
+    at = ["way", "key", "cell"]
+    here, looking = _met(nodes, many)
+    sizes = here.groupBy(*at).agg(F.count("*").alias("n"))
+    seen = looking.groupBy(*at).agg(F.count("*").alias("m")).join(sizes, at).where(F.col("n") * F.col("m") > F.greatest("n", F.lit(1)))
+    cells = written(seen.withColumn("crowded", F.col("n") * F.col("m") > CROWD).select(*at, "crowded"), "cells")
+    few, many_ = cells.where("not crowded").drop("crowded"), cells.where("crowded").drop("crowded")
+    side = lambda rows, s: rows.join(few, at).select(*at, F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c[0] == "r"])
+    pairs = side(here, "u").join(side(looking, "v"), at).where(F.col("u") < F.col("v"))
+    crowd = here.unionByName(looking).select(*at, "fp").join(many_, at).select("fp").distinct()
+    return pairs, crowd
+
+
+def _discarded(pairs: DataFrame) -> DataFrame:
+    packed = range(PIVOTS // PACKED)
+    return pairs.where(coordinates_near([F.col(f"r{i}_u") for i in packed], [F.col(f"r{i}_v") for i in packed], RADIUS))
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) that connect the distinct fingerprints ``nodes`` (fp) as all pairs within ``RADIUS`` bits do.
+
+    Every pair in an uncrowded cell is decided by the pivot table and verified; a
+    crowded cell gives a star for each shared neighbour instead. All links told are
+    within the radius.
+    """
+    nodes = written(nodes, "nodes")
+    pairs, crowd = _pairs(nodes, nodes.count() > MANY)
+    found = _discarded(pairs).select("u", "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
+    around = crowd.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("near"))
     lowest = around.groupBy("near").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v < w").select("near", "v")
     stars = around.join(lowest, "near").where("fp <> v").select(F.col("fp").alias("u"), "v")
-    return pairs.unionByName(stars).distinct()
+    return found.unionByName(stars).distinct()
+
+
+def funnel(nodes: DataFrame) -> dict[str, int]:
+    """How many pairs of distinct fingerprints meet by blocks alone, by blocks and cells of pivots, are left by the pivot table, and are within the radius."""
+    nodes = written(nodes, "nodes")
+    here, _ = _met(nodes, nodes.count() > MANY)
+    blocks = here.groupBy("way", "key").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    pairs, _ = _pairs(nodes, nodes.count() > MANY)
+    left = _discarded(pairs)
+    close = left.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
+    return {"blocks": int(blocks), "cells": pairs.count(), "pivots": left.count(), "links": close.select("u", "v").distinct().count()}
 
 
 def classes(keyed: DataFrame, key: str, roots: DataFrame) -> DataFrame:
@@ -206,7 +283,7 @@ def _set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     names=["k", "node", "fp", "keys", "sketch", "hashes"],
                 )
 
-    return small_batches(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
 
 
 def _told_alike(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -253,9 +330,11 @@ def _decided(table: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
         side = lambda x: info.select(F.col("node").alias(x), F.col(name).alias(f"{name}_{x}"))
         return pairs.join(side("u"), "u").join(side("v"), "v")
 
-    placed = table.groupBy("node").agg(F.first("fp").alias("fp")).withColumn("at", _coordinates(F.col("fp")))
-    side = lambda x: placed.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("at").alias(f"at_{x}"))
-    near = (_coordinate_gap("at_u", "at_v") <= WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
+    packed = range(PIVOTS // PACKED)
+    placed = table.groupBy("node").agg(F.first("fp").alias("fp"))
+    placed = placed.select("node", "fp", *[r.alias(f"r{i}") for i, r in enumerate(pivot_rows(F.col("fp")))])
+    side = lambda x: placed.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), *[F.col(f"r{i}").alias(f"r{i}_{x}") for i in packed])
+    near = coordinates_near([F.col(f"r{i}_u") for i in packed], [F.col(f"r{i}_v") for i in packed], WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
     near_pairs = written(met.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "near")
     told = written(_told_alike(beside(near_pairs, "sketch"), similarity), "told")
     return written(_alike(beside(told, "hashes"), similarity), "alike")
@@ -309,7 +388,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     order = F.struct(F.xxhash64("node", "way"), F.col("node"))
     heads = rows.groupBy("way", "key").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("way", "key", "n", F.col("head.node").alias("v"))
     met = written(rows.join(heads, ["way", "key"]), "buckets")
-    few, crowded = met.where(F.col("n") <= CROWD), met.where(F.col("n") > CROWD)
+    few, crowded = met.where(F.col("n") <= FEW), met.where(F.col("n") > FEW)
     pairs = few.select("way", "key", F.col("node").alias("u")).join(few.select("way", "key", F.col("node").alias("v")), ["way", "key"]).where("u > v").select("u", "v")
     first = _decided(table, pairs.unionByName(crowded.where("node <> v").select(F.col("node").alias("u"), "v")), similarity)
     more = crowded.isEmpty() and [] or _rest(rows, crowded, components(first))
@@ -320,16 +399,20 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its class, with their columns as they were.
+    """The rows of ``docs`` whose key is the smallest of its class, with their columns, of whatever names, as they were.
 
-    Rows with a null key stay, unless another row of their class has a key.
-    Repeated rows of a kept key stay one row.
+    Rows with a null key stay, unless another row of their class has a key. Null and
+    blank texts are one class. Repeated rows of a kept key stay one row. An empty
+    table gives an empty one.
     """
-    found = similar_documents(docs, key, text, width, similarity)
-    gone = written(found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct(), "gone")
-    twice = written(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("_gone")), "twice")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_gone"))
+    columns, (docs, names) = docs.columns, renamed(docs)
+    key, text = names[columns.index(key)], names[columns.index(text)]
+    found = similar_documents(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", "t", width, similarity)
+    kept = F.col("k").eqNullSafe(F.col("component_id"))
+    gone = written(found.where(~kept).select(F.col("k").alias("_gone")).distinct(), "gone")
+    twice = written(found.where(kept).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("_gone")), "twice")
+    same = F.col(key).eqNullSafe(F.col("_gone"))
     left = docs.join(sent_if_small(gone), same, "left_anti")
-    if twice.isEmpty():
-        return left
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key]))
+    if not twice.isEmpty():
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key]))
+    return left.toDF(*columns)

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from meshloom.llm import simhash
-from meshloom.llm.components import components
+from meshloom.operators.components import components
 from tests.llm.helpers import documents, prose
 
 
