@@ -29,7 +29,7 @@ def join_lods(spark, sf_dir):
     """Pairs within 2, decided at the first level whose range of distances can; the last level measures."""
     a, b = both(spark, sf_dir)
     near = di.box_pairs_within(a.objects, b.objects, 4.0, CELL).select("a_object_id", "b_object_id")
-    levels = [{lod: t for lod, t in _levels(m.triangles).items() if lod in (20, 60, 100)} for m in (a, b)]
+    levels = [{lod: t for lod, t in _levels(m.triangles).items() if lod in (60, 100)} for m in (a, b)]
     return di.progressive_within(*levels, near, D).select("a_object_id", "b_object_id", "within")
 
 

@@ -229,7 +229,7 @@ def _rolled(spark, sf_dir):
 
 
 _ROLL = f"{_EV}, RO AS (SELECT run, lower(name) AS phase, sum(us)/1000.0::DOUBLE AS ms FROM EV GROUP BY 1, 2)"
-@query("sink_timing_json", f"WITH {_EV} SELECT run, lower(name) || '_' || row_number() OVER (PARTITION BY run, lower(name) ORDER BY seq) AS phase, us AS duration_us, round(us/1000.0::DOUBLE, 6) AS duration_ms, sum(us) OVER (PARTITION BY run) AS total_us FROM EV")
+@query("sink_timing_json", f"WITH {_EV} SELECT run, lower(name) || '_' || row_number() OVER (PARTITION BY run, lower(name) ORDER BY seq) AS phase, us AS duration_us, round(us/1000.0::DOUBLE, 6) AS duration_ms, CAST(sum(us) OVER (PARTITION BY run) AS BIGINT) AS total_us FROM EV")
 def sink_timing_json(spark, sf_dir):
     """A report for each run, written as JSON lines and read back."""
     path = _folder(spark, "timing")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from meshloom.operators import distance as di
 from meshloom.operators import estimate as es
 from meshloom.operators import generate as ge
+from meshloom.operators import grid as gr
 from meshloom.operators import joins as jo
 from meshloom.operators import mesh as me
 from meshloom.operators import repair as re_
 from meshloom.plans import fixtures as fx
+from meshloom.schema import BOX
 
 
 @pytest.fixture(scope="module")
@@ -36,10 +38,72 @@ def test_cell_size_changes_nothing(sides, cell):
     assert pairs(jo.overlap(a, b, cell=cell)) == pairs(jo.overlap(a, b))
 
 
-@pytest.mark.parametrize("levels", [1, 3, 7])
-def test_levels_change_nothing(sides, levels):
+BOX_SCHEMA = "object_id long, lx double, ly double, lz double, hx double, hy double, hz double"
+
+
+def boxes(spark, rows):
+    return spark.createDataFrame([(i, *[float(v) for v in low], *[float(v) + s for v in low]) for i, low, s in rows], BOX_SCHEMA)
+
+
+def test_boxes_of_all_sizes_by_brute_force(spark):
+    """One box is 1,000 times as large as the others: it is placed in a few cells, and no pair is lost or told twice."""
+    import random
+
+    rng = random.Random(5)
+    place = lambda: [rng.uniform(0, 200) for _ in range(3)]
+    one = [(i, place(), rng.choice([0.0, 0.2, 0.2, 0.2, 3.0, 20.0])) for i in range(300)] + [(300, [0, 0, 0], 200.0)]
+    two = [(i, place(), rng.choice([0.2, 0.2, 1.0, 50.0])) for i in range(300)]
+    meet = lambda a, b: all(a[1][k] <= b[1][k] + b[2] and b[1][k] <= a[1][k] + a[2] for k in range(3))
+    want = sorted((a[0], b[0]) for a in one for b in two if meet(a, b))
+    a, b = boxes(spark, one), boxes(spark, two)
+    for cell in (None, 0.3, 7.0, 500.0):
+        assert sorted((r[0], r[1]) for r in jo.box_pairs(a, b, cell).select("a_object_id", "b_object_id").collect()) == want
+    found = gr.censuses({"a": (a, BOX), "b": (b, BOX)})
+    grid = gr.grid_for(found["a"], found["b"])
+    assert gr.placed(a, BOX, grid, True).groupBy("object_id").count().agg(F.max("count")).first()[0] <= 64 * 10
+
+
+def test_no_place_meets_nothing(spark):
+    nan = float("nan")
+    bad = spark.createDataFrame([(1, None, 0.0, 0.0, 1.0, 1.0, 1.0), (2, nan, 0.0, 0.0, nan, 1.0, 1.0), (3, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)], BOX_SCHEMA)
+    assert pairs(jo.box_pairs(bad, bad)) == {(3, 3)}
+    assert pairs(di.knn_candidates(bad, bad, 2)) == {(3, 3)}
+
+
+def test_large_meshes_in_bounded_rows(spark):
+    """Two spheres of 8,192 triangles: edges meet the triangles of near clusters only, not all of the other's."""
+    faces = ge.octasphere(5)
+    ball = lambda x: me.Mesh(ge.place_template(spark.createDataFrame([(1, x, 0.0, 0.0, 1.0)], "object_id long, x double, y double, z double, s double"), faces))
+    a, b, far, small = ball(0.0), ball(1.2), ball(3.0), me.Mesh(ge.place_template(spark.createDataFrame([(7, 0.1, 0.0, 0.0, 0.2)], "object_id long, x double, y double, z double, s double"), ge.octasphere(2)))
+    assert pairs(jo.overlap(a, b)) == {(1, 1)}
+    assert pairs(jo.overlap(a, far)) == pairs(jo.overlap(a, small)) == set()
+    assert pairs(jo.containment(a, small)) == {(1, 7)}
+    met = jo.cluster_pairs(a, b).join(a.clusters.selectExpr("cluster AS a_cluster", "n_tri AS n"), "a_cluster").join(b.clusters.selectExpr("cluster AS b_cluster", "n_tri AS m"), "b_cluster")
+    assert met.agg(F.sum(F.col("n") * F.col("m"))).first()[0] < len(faces) ** 2 / 10
+    # two spheres of radius 1, centres 3 apart: the surfaces are 1 apart where the axis crosses them
+    assert di.within(a, far, 1.1).first()["distance"] == pytest.approx(1.0, abs=1e-3)
+
+
+def test_closed_is_one_shell(spark):
+    """Two cubes under one id are closed each, but no one shell; the large way of telling gives the same."""
+    centers = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 0.0, 1.0), (2, 5.0, 0.0, 0.0, 1.0), (3, 9.0, 0.0, 0.0, 1.0)], "object_id long, x double, y double, z double, s double")
+    t = me.cube_mesh(centers).withColumn("tri_id", F.when(F.col("ax") > 4, F.col("tri_id") + 12).otherwise(F.col("tri_id"))).where("object_id <> 3 OR tri_id <> 15")
+    want = {1: True, 2: False, 3: False}
+    assert {r["object_id"]: r["closed"] for r in me.mesh_is_closed(t).collect()} == want
+    most, me.LOCAL_TRIANGLES = me.LOCAL_TRIANGLES, 5
+    try:
+        assert {r["object_id"]: r["closed"] for r in me.mesh_is_closed(t).collect()} == want
+    finally:
+        me.LOCAL_TRIANGLES = most
+
+
+def test_two_pass_places_are_gapless(sides):
     a, b = sides
-    assert pairs(jo.box_pairs(a.objects, b.objects, 2.0, levels=levels)) == pairs(jo.box_pairs(a.objects, b.objects, 8.0))
+    offsets, found = jo.overlap_two_pass(a, b)
+    places = sorted(r["place"] for r in found.select("place").collect())
+    assert places == list(range(len(places)))
+    assert offsets.agg(F.sum("hits")).first()[0] == len(places)
+    assert pairs(found) == pairs(jo.overlap(a, b))
 
 
 def test_translation_and_scale(sides):
@@ -80,8 +144,12 @@ def test_prefix_sums(spark):
 
 
 def test_pack_and_unpack(spark):
-    ids = [(0, 0), (1, 2), (2**31 - 1, 2**31 - 1)]
-    assert pairs(jo.unpack_pairs(jo.pack_pairs(spark.createDataFrame(ids, "a_object_id long, b_object_id long")))) == set(ids)
+    ids = [(0, 0), (1, 2), (2**31 - 1, 2**31 - 1), (2**31, 2**32 - 1), (2**32 - 1, 0)]
+    packed = lambda rows: jo.pack_pairs(spark.createDataFrame(rows, "a_object_id long, b_object_id long"))
+    assert pairs(jo.unpack_pairs(packed(ids))) == set(ids)
+    for wrong in [(2**40, 2**40 + 5), (2**32, 1), (-1, 1)]:
+        with pytest.raises(Exception, match="does not fit"):
+            packed([wrong]).collect()
 
 
 def test_repair_is_greedy_in_order(spark):
