@@ -85,9 +85,10 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     Level by level, each (host, template so far) is a place and the next segments
     its branches. Looks decide first; then a place with too many branches, or none
     common, takes one wildcard for all that are small; then branches that are
-    statistically alike to their siblings together are merged into it too: what
-    follows them must have the same shares, and their blocked shares must agree
-    where both sides have labels. So labels reach unlabelled branches that are
+    statistically alike to their siblings (those that are mostly followed by the same
+    kind of segment, taken together) are merged into it too: what follows them must
+    have the same shares, and their blocked shares must agree where both sides have
+    labels. So labels reach unlabelled branches that are
     built in the same way, and a branch that is labelled differently stays apart.
     Each level joins aggregated counts only; a path leaves when it has no more
     segments.
@@ -103,16 +104,19 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         kinds = [F.sum(F.when(F.col("after") == k, F.col("n")).otherwise(0)).alias(f"f{i}") for i, k in enumerate(NEXT)]
         branches = rows.where(F.col("looks").isNull()).groupBy("host", "at", "step").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), *kinds)
         every = [F.sum(c).alias(f"all_{c}") for c in ("n", "l", "b", *[f"f{i}" for i in range(len(NEXT))])]
-        places = branches.groupBy("host", "at").agg(F.count("*").alias("k"), F.max("n").alias("top"), *every)
-        seen = branches.join(places, ["host", "at"])
+        most = F.greatest(*[F.col(f"f{i}") for i in range(len(NEXT))])
+        branches = branches.withColumn("mostly", F.coalesce(*[F.when(F.col(f"f{i}") == most, F.lit(i)) for i in range(len(NEXT))]))
+        places = branches.groupBy("host", "at").agg(F.count("*").alias("k"), F.max("n").alias("top"), F.sum("n").alias("place_n"))
+        siblings = branches.groupBy("host", "at", "mostly").agg(*every)
+        seen = branches.join(places, ["host", "at"]).join(siblings, ["host", "at", "mostly"])
         other = lambda c: F.col(f"all_{c}") - F.col(c)
         apart = F.lit(False)
         for i in range(len(NEXT)):
             apart = apart | _differs(F.col(f"f{i}"), F.col("n"), other(f"f{i}"), other("n"), 1 / len(NEXT))
         labelled = (F.col("l") > 0) & (other("l") > 0) & _differs(F.col("b"), F.col("l"), other("b"), other("l"), PRIOR_SHARE)
         alike = (F.col("n") >= LEAST_ROWS) & (other("n") >= LEAST_ROWS) & ~apart & ~labelled
-        variable = (F.col("k") > MOST_SIBLINGS) | (F.col("top") < LEAST_TOP_SHARE * F.col("all_n"))
-        small = (F.col("n") < LEAST_TOP_SHARE * F.col("all_n")) & (F.col("l") < LEAST_LABELS)
+        variable = (F.col("k") > MOST_SIBLINGS) | (F.col("top") < LEAST_TOP_SHARE * F.col("place_n"))
+        small = (F.col("n") < LEAST_TOP_SHARE * F.col("place_n")) & (F.col("l") < LEAST_LABELS)
         merged = seen.where((F.col("k") > 1) & (variable & small | alike)).select("host", "at", "step", F.lit(True).alias("merged"))
         rows = rows.join(merged, ["host", "at", "step"], "left")
         wild = F.when(F.coalesce("merged", F.lit(False)), F.lit("*")).otherwise(F.col("step"))
