@@ -29,6 +29,6 @@ def empty(spark):
 
 def clashing(docs):
     """The same table with columns named like those that operators make for themselves."""
-    for c in ("shard", "slot", "size", "fp", "node", "kept", "piece", "length", "_words", "_q", "k", "t", "score", "spans", "host", "rule", "verdict", "bucket", "_key", "_host", "word", "id", "text_crc32"):
+    for c in ("shard", "slot", "size", "fp", "node", "kept", "piece", "length", "_words", "_q", "_k", "_h", "_t", "_gone", "_text", "_line", "k", "t", "score", "spans", "host", "rule", "verdict", "bucket", "_key", "_host", "word", "id", "text_crc32"):
         docs = docs.withColumn(c, docs["doc_id"])
     return docs
