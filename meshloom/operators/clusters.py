@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..schema import BOX
+from ..storage import exchanged
 
 #: Objects of up to so many triangles are one cluster.
 ONE_CLUSTER = 64
@@ -30,7 +31,7 @@ def clustered(triangles: DataFrame, objects: DataFrame) -> tuple[DataFrame, Data
     whole = objects.select("object_id", *[F.col(c).alias(f"_o{c}") for c in BOX], _steps(F.col("n_tri")).alias("_steps"))
     corners = [g.vec(v) for v in "abc"]
     box = tuple(F.col(f"_o{c}") for c in BOX)
-    rows = triangles.join(whole, "object_id").withColumn("cluster", _cluster(g.tri_barycenter(*corners), box, F.col("_steps"))).drop("_steps", *[f"_o{c}" for c in BOX])
+    rows = exchanged(triangles).join(whole, "object_id").withColumn("cluster", _cluster(g.tri_barycenter(*corners), box, F.col("_steps"))).drop("_steps", *[f"_o{c}" for c in BOX])
     around = [(F.min if n[0] == "l" else F.max)(x).alias(n) for x, n in zip(g.tri_box(*corners), BOX, strict=True)]
     return rows, rows.groupBy("object_id", "cluster").agg(*around)
 
@@ -39,7 +40,7 @@ def clustered_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for points (object_id, x, y, z)."""
     at = tuple(F.col(c) for c in "xyz")
     whole = points.groupBy("object_id").agg(F.count("*").alias("_n"), *[F.min(c).alias(f"_ol{c}") for c in "xyz"], *[F.max(c).alias(f"_oh{c}") for c in "xyz"]).withColumn("_steps", _steps(F.col("_n")))
-    rows = points.join(whole, "object_id").withColumn("cluster", _cluster(at, tuple(F.col(f"_o{c}") for c in BOX), F.col("_steps"))).drop("_n", "_steps", *[f"_o{c}" for c in BOX])
+    rows = exchanged(points).join(whole, "object_id").withColumn("cluster", _cluster(at, tuple(F.col(f"_o{c}") for c in BOX), F.col("_steps"))).drop("_n", "_steps", *[f"_o{c}" for c in BOX])
     return rows, rows.groupBy("object_id", "cluster").agg(*[F.min(c).alias(f"l{c}") for c in "xyz"], *[F.max(c).alias(f"h{c}") for c in "xyz"])
 
 
@@ -58,4 +59,4 @@ def near_clusters(points: DataFrame, clusters: DataFrame, point: tuple[str, str,
     gap = lambda c: sum((_square(F.greatest(F.lit(0.0), c[f"l{x}"] - p[i], p[i] - c[f"h{x}"])) for i, x in enumerate("xyz")), F.lit(0.0))
     reach = lambda c: sum((_square(F.greatest(F.abs(c[f"h{x}"] - p[i]), F.abs(p[i] - c[f"l{x}"]))) for i, x in enumerate("xyz")), F.lit(0.0))
     kept = F.transform(F.array(F.array_min(F.transform("_c", reach))), lambda most: F.transform(F.filter("_c", lambda c: gap(c) <= most), lambda c: c["cluster"]))[0]
-    return points.join(per, "object_id").withColumn("cluster", F.explode(F.when(F.size("_c") == 1, F.transform("_c", lambda c: c["cluster"])).otherwise(kept))).drop("_c")
+    return exchanged(points).join(per, "object_id").withColumn("cluster", F.explode(F.when(F.size("_c") == 1, F.transform("_c", lambda c: c["cluster"])).otherwise(kept))).drop("_c")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.kernels import point_tri_distance
 from ..schema import BOX, TRIANGLE
+from ..storage import exchanged
 from .clusters import clustered, clustered_points, near_clusters
 from .mesh import objects
 
@@ -15,7 +16,7 @@ from .mesh import objects
 def sample_points(triangles: DataFrame, n: int) -> DataFrame:
     """Corners and a regular grid of n steps a side on every triangle: (object_id, tri_id, x, y, z)."""
     grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n) - i), lambda j: F.struct((i / F.lit(float(n))).alias("u"), (j / F.lit(float(n))).alias("v")))))
-    rows = triangles.withColumn("_uv", F.explode(grid))
+    rows = exchanged(triangles.withColumn("_uv", F.explode(grid)))
     point = lambda c: F.col(f"a{c}") + F.col("_uv.u") * (F.col(f"b{c}") - F.col(f"a{c}")) + F.col("_uv.v") * (F.col(f"c{c}") - F.col(f"a{c}"))
     return rows.select("object_id", "tri_id", *[point(c).alias(c) for c in "xyz"])
 
@@ -29,7 +30,7 @@ def cluster_simplify(triangles: DataFrame, cell: float) -> DataFrame:
     """A coarse level of detail: vertices of a cell become their mean, and triangles that collapse go."""
     corner = lambda v: F.struct(*[F.floor(F.col(f"{v}{c}") / F.lit(float(cell))).cast("long").alias(c) for c in "xyz"])
     rows = triangles.select("object_id", "tri_id", *[corner(v).alias(f"k{v}") for v in "abc"], *TRIANGLE)
-    points = rows.select("object_id", F.explode(F.array(*[F.struct(F.col(f"k{v}").alias("k"), *[F.col(f"{v}{c}").alias(c) for c in "xyz"]) for v in "abc"])).alias("p")).select("object_id", "p.*").distinct()
+    points = rows.select("object_id", F.explode(F.array(*[F.struct(F.col(f"k{v}").alias("k"), *[F.col(f"{v}{c}").alias(c) for c in "xyz"]) for v in "abc"])).alias("p")).select("object_id", "p.*").distinct().transform(exchanged)
     means = points.groupBy("object_id", "k").agg(*[F.avg(c).alias(c) for c in "xyz"])
     kept = rows.where((F.col("ka") != F.col("kb")) & (F.col("kb") != F.col("kc")) & (F.col("kc") != F.col("ka"))).select("object_id", "tri_id", "ka", "kb", "kc")
     for v in "abc":
@@ -44,7 +45,7 @@ def _nearest_facet(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """
     faces, groups = clustered(triangles.select("object_id", "tri_id", *TRIANGLE), objects(triangles))
     keys = points.columns
-    near = near_clusters(points, groups, ("px", "py", "pz")).join(faces.withColumnRenamed("tri_id", "near_tri"), ["object_id", "cluster"])
+    near = near_clusters(points, groups, ("px", "py", "pz")).join(exchanged(faces).withColumnRenamed("tri_id", "near_tri"), ["object_id", "cluster"])
     rows = near.withColumn("d", point_tri_distance("px", "py", "pz", *TRIANGLE))
     return rows.groupBy(*keys).agg(F.min("d").alias("d"), F.min_by("near_tri", F.struct("d", "near_tri")).alias("near_tri"))
 
@@ -68,7 +69,7 @@ def facet_hausdorff(coarse: DataFrame, original: DataFrame, steps: int = 4, rate
     one = hausdorff(sample_points(coarse, steps), original)
     back = sample_points(original, steps).select("object_id", *[F.col(c).alias(f"p{c}") for c in "xyz"]).distinct()
     two = _nearest_facet(back, coarse).groupBy("object_id", F.col("near_tri").alias("facet")).agg(F.max("d").alias("proxy"))
-    rows = one.join(two, ["object_id", "facet"], "left").join(gaps, "object_id")
+    rows = exchanged(one).join(two, ["object_id", "facet"], "left").join(exchanged(gaps), "object_id")
     return rows.select("object_id", "facet", (F.col("hausdorff") + term).alias("hausdorff"), F.when(F.col("proxy").isNotNull(), F.col("proxy") + term).otherwise(F.lit(0.0)).alias("proxy"))
 
 
@@ -87,7 +88,7 @@ def _nearest(points: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     held, groups = clustered_points(seeds.select("object_id", "seed", *[F.col(f"s{c}").alias(c) for c in "xyz"]))
     held = held.select("object_id", "cluster", "seed", *[F.col(c).alias(f"s{c}") for c in "xyz"])
     d = sum(((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return near_clusters(points, groups, ("x", "y", "z")).join(held, ["object_id", "cluster"]).groupBy(*keys, "x", "y", "z").agg(F.min_by("seed", F.struct(d, F.col("seed"))).alias("seed"))
+    return near_clusters(points, groups, ("x", "y", "z")).join(exchanged(held), ["object_id", "cluster"]).groupBy(*keys, "x", "y", "z").agg(F.min_by("seed", F.struct(d, F.col("seed"))).alias("seed"))
 
 
 def skeleton_points(vertices: DataFrame, gap: int, rounds: int = 2) -> DataFrame:
@@ -182,7 +183,7 @@ def violates_manifold(faces: DataFrame) -> DataFrame:
     """
     ring, n = F.col("ring"), F.size("ring")
     corner = F.transform("ring", lambda v, k: F.struct(v.alias("v"), F.get(ring, (k + n - 1) % n).alias("before"), F.get(ring, (k + 1) % n).alias("after"), n.alias("degree")))
-    corners = faces.where(n >= 3).select("object_id", F.explode(corner).alias("c")).select("object_id", F.col("c.v").alias("vertex_id"), "c.before", "c.after", "c.degree")
+    corners = exchanged(faces).where(n >= 3).select("object_id", F.explode(corner).alias("c")).select("object_id", F.col("c.v").alias("vertex_id"), "c.before", "c.after", "c.degree")
     lows = lambda x, y: (F.least(x, y).alias("_lo"), F.greatest(x, y).alias("_hi"))
     joined = corners.select("object_id", *lows(F.col("vertex_id"), F.col("after"))).distinct().withColumn("_edge", F.lit(True))
     open_ = corners.where("degree > 3").select("object_id", "vertex_id", *lows(F.col("before"), F.col("after")))

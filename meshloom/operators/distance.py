@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.kernels import tri_tri_distance, tri_tri_intersects
 from ..schema import BOX, TRIANGLE
-from ..storage import written
+from ..storage import exchanged, written
 from .clusters import clustered
 from .detail import facet_hausdorff
 from .grid import censuses, grid_for, grid_join, is_box, number
@@ -48,13 +48,13 @@ def _measured(a: Mesh, b: Mesh, pairs: DataFrame, bound: Column, extra: tuple[st
     triangles that are kept.
     """
     (ta, ca), (tb, cb) = clustered(a.triangles, a.objects), clustered(b.triangles, b.objects)
-    part = lambda c, s: c.select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), *[F.col(x).alias(f"{s}k_{x}") for x in BOX])
+    part = lambda c, s: exchanged(c).select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), *[F.col(x).alias(f"{s}k_{x}") for x in BOX])
     x, y = tuple(F.col(f"ak_{c}") for c in BOX), tuple(F.col(f"bk_{c}") for c in BOX)
     both = pairs.select("a_object_id", "b_object_id", bound.cast("double").alias("_bound")).join(part(ca, "a"), "a_object_id").join(part(cb, "b"), "b_object_id")
     # a little more, so that rounding loses nothing
     both = both.withColumn("_gap", g.box_gap(x, y)).withColumn("_least", F.least("_bound", F.min(g.box_reach(x, y)).over(Window.partitionBy("a_object_id", "b_object_id"))) * F.lit(1 + 1e-12) + F.lit(1e-300))
     kept = both.where(F.col("_gap") <= F.col("_least")).select("a_object_id", "b_object_id", "a_cluster", "b_cluster", "_least", *[f"bk_{c}" for c in BOX])
-    mine = lambda t, s: t.select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), F.col("tri_id").alias(f"{s}_tri_id"), *[F.col(c).alias(f"{s}{c}") for c in TRIANGLE], *[F.col(c).alias(f"{s}_{c}") for c in extra])
+    mine = lambda t, s: exchanged(t).select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), F.col("tri_id").alias(f"{s}_tri_id"), *[F.col(c).alias(f"{s}{c}") for c in TRIANGLE], *[F.col(c).alias(f"{s}_{c}") for c in extra])
     left = kept.join(mine(ta, "a"), ["a_object_id", "a_cluster"]).where(g.box_gap(g.tri_box(*_corners("a")), y) <= F.col("_least")).drop(*[f"bk_{c}" for c in BOX])
     rows = left.join(mine(tb, "b"), ["b_object_id", "b_cluster"]).where(g.box_gap(g.tri_box(*_corners("a")), g.tri_box(*_corners("b"))) <= F.col("_least"))
     return rows.withColumn("d", tri_tri_distance(*_coordinates()))
@@ -77,12 +77,12 @@ def mesh_distance_ranges(a: Mesh, b: Mesh, pairs: DataFrame) -> DataFrame:
     most = [m.triangles.agg(F.max("hausdorff"), F.max("proxy")).first() for m in (a, b)]
     slack = max((most[0][i] or 0.0) + (most[1][i] or 0.0) for i in range(2))
     (ta, ca), (tb, cb) = [(t.withColumn("_h", F.col("hausdorff")).withColumn("_p", F.col("proxy")), c) for t, c in (clustered(m.triangles, m.objects) for m in (a, b))]
-    part = lambda c, s: c.select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), *[F.col(x).alias(f"{s}k_{x}") for x in BOX])
+    part = lambda c, s: exchanged(c).select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), *[F.col(x).alias(f"{s}k_{x}") for x in BOX])
     x, y = tuple(F.col(f"ak_{c}") for c in BOX), tuple(F.col(f"bk_{c}") for c in BOX)
     both = pairs.select("a_object_id", "b_object_id").join(part(ca, "a"), "a_object_id").join(part(cb, "b"), "b_object_id")
     least = F.min(g.box_reach(x, y)).over(Window.partitionBy("a_object_id", "b_object_id")) + F.lit(float(slack) * (1 + 1e-9) + 1e-300)
     kept = both.withColumn("_gap", g.box_gap(x, y)).withColumn("_least", least).where(F.col("_gap") <= F.col("_least")).select("a_object_id", "b_object_id", "a_cluster", "b_cluster", "_least")
-    mine = lambda t, s: t.select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), F.col("_h").alias(f"{s}_h"), F.col("_p").alias(f"{s}_p"), *[F.col(c).alias(f"{s}{c}") for c in TRIANGLE])
+    mine = lambda t, s: exchanged(t).select(F.col("object_id").alias(f"{s}_object_id"), F.col("cluster").alias(f"{s}_cluster"), F.col("_h").alias(f"{s}_h"), F.col("_p").alias(f"{s}_p"), *[F.col(c).alias(f"{s}{c}") for c in TRIANGLE])
     rows = kept.join(mine(ta, "a"), ["a_object_id", "a_cluster"]).join(mine(tb, "b"), ["b_object_id", "b_cluster"])
     rows = rows.where(g.box_gap(g.tri_box(*_corners("a")), g.tri_box(*_corners("b"))) <= F.col("_least")).withColumn("d", tri_tri_distance(*_coordinates()))
     low, high = F.greatest(F.lit(0.0), F.col("d") - F.col("a_p") - F.col("b_p")), F.col("d") + F.col("a_h") + F.col("b_h")
@@ -104,14 +104,14 @@ def progressive_within(a: dict[int, DataFrame], b: dict[int, DataFrame], pairs:
         sides = []
         for levels, side in ((a, "a_object_id"), (b, "b_object_id")):
             wanted = open_.select(F.col(side).alias("object_id")).distinct()
-            here, full = (levels[x].join(wanted, "object_id", "left_semi") for x in (lod, last))
+            here, full = (exchanged(levels[x]).join(wanted, "object_id", "left_semi") for x in (lod, last))
             values = facet_hausdorff(here, full, HAUSDORFF_STEPS).withColumnRenamed("facet", "tri_id")
-            sides.append(Mesh(written(here.join(values, ["object_id", "tri_id"]), f"level{lod}")))
+            sides.append(Mesh(written(exchanged(here).join(values, ["object_id", "tri_id"]), f"level{lod}")))
         ranges = mesh_distance_ranges(*sides, open_)
         decided = F.when(F.col("max_dist") <= d, True).when(F.col("min_dist") > d, False)
         done = written(ranges.select(*key, decided.alias("within"), F.lit(lod).alias("lod")).where("within is not null"), "decided")
         told = done if told is None else told.unionByName(done)
-        open_ = written(open_.join(done, key, "left_anti"), "open")
+        open_ = written(exchanged(open_).join(done, key, "left_anti"), "open")
     exact = within(Mesh(a[last]), Mesh(b[last]), d, pairs=open_).select(*key, F.lit(True).alias("met"))
     rest = open_.join(exact, key, "left").select(*key, F.coalesce("met", F.lit(False)).alias("within"), F.lit(last).alias("lod"))
     return rest if told is None else told.unionByName(rest)
@@ -156,7 +156,7 @@ def knn_candidates(a: DataFrame, b: DataFrame, k: int, cell: float | None = None
         told = done if told is None else told.unionByName(done)
         if last:
             return told
-        open_ = written(open_.join(done.select(F.col("a_object_id").alias("object_id")).distinct(), "object_id", "left_anti"), "open")
+        open_ = written(exchanged(open_).join(done.select(F.col("a_object_id").alias("object_id")).distinct(), "object_id", "left_anti"), "open")
         if open_.isEmpty():
             return told
         d *= 2
@@ -211,7 +211,7 @@ def false_positives(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 def voxel_pair_candidates(pairs: DataFrame, va: DataFrame, vb: DataFrame) -> DataFrame:
     """Voxel pairs of candidate objects with their distance range; those beyond the least upper bound of their objects are pruned."""
-    side = lambda v, s: v.select(F.col("object_id").alias(f"{s}_object_id"), F.col("voxel_id").alias(f"{s}_voxel_id"), *[F.col(c).alias(f"{s}v_{c}") for c in BOX])
+    side = lambda v, s: exchanged(v).select(F.col("object_id").alias(f"{s}_object_id"), F.col("voxel_id").alias(f"{s}_voxel_id"), *[F.col(c).alias(f"{s}v_{c}") for c in BOX])
     rows = pairs.select("a_object_id", "b_object_id").join(side(va, "a"), "a_object_id").join(side(vb, "b"), "b_object_id")
     x, y = tuple(F.col(f"av_{c}") for c in BOX), tuple(F.col(f"bv_{c}") for c in BOX)
     rows = rows.withColumn("mindist", g.box_gap(x, y)).withColumn("maxdist", g.box_reach(x, y))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BOX, TRIANGLE
+from ..storage import exchanged
 
 
 def write_pairs_csv(pairs: DataFrame, path: str) -> None:
@@ -38,8 +39,8 @@ def obj_blocks(vertices: DataFrame, faces: DataFrame, name: str = "object") -> D
 
     sizes = vertices.groupBy("object_id").agg(F.count("*").alias("n"))
     base = prefix_sums(sizes, "object_id", [], "n").select("object_id", F.col("offset").alias("base"))
-    v = vertices.groupBy("object_id").agg(_ordered(F.format_string("v %.6f %.6f %.6f", "x", "y", "z"), F.col("vertex_id")).alias("v"))
-    f = faces.join(base, "object_id").groupBy("object_id").agg(_ordered(F.format_string("f %d %d %d", *[F.col(i) + F.col("base") + 1 for i in ("i0", "i1", "i2")]), F.col("tri_id")).alias("f"))
+    v = exchanged(vertices).groupBy("object_id").agg(_ordered(F.format_string("v %.6f %.6f %.6f", "x", "y", "z"), F.col("vertex_id")).alias("v"))
+    f = exchanged(faces).join(base, "object_id").groupBy("object_id").agg(_ordered(F.format_string("f %d %d %d", *[F.col(i) + F.col("base") + 1 for i in ("i0", "i1", "i2")]), F.col("tri_id")).alias("f"))
     return v.join(f, "object_id").select("object_id", F.concat_ws("\n", F.format_string(f"o {name}_%d", "object_id"), "v", "f").alias("text"))
 
 
@@ -50,8 +51,8 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str, name: str = "obj
 
 def off_blocks(vertices: DataFrame, faces: DataFrame, line: str = "\n") -> DataFrame:
     """OFF text of every object; with ``line`` = '|' each is one line."""
-    v = vertices.groupBy("object_id").agg(F.count("*").alias("nv"), _ordered(F.concat_ws(" ", _number(F.col("x")), _number(F.col("y")), _number(F.col("z"))), F.col("vertex_id")).alias("v"))
-    f = faces.groupBy("object_id").agg(F.count("*").alias("nf"), _ordered(F.format_string("3 %d %d %d", "i0", "i1", "i2"), F.col("tri_id")).alias("f"))
+    v = exchanged(vertices).groupBy("object_id").agg(F.count("*").alias("nv"), _ordered(F.concat_ws(" ", _number(F.col("x")), _number(F.col("y")), _number(F.col("z"))), F.col("vertex_id")).alias("v"))
+    f = exchanged(faces).groupBy("object_id").agg(F.count("*").alias("nf"), _ordered(F.format_string("3 %d %d %d", "i0", "i1", "i2"), F.col("tri_id")).alias("f"))
     text = F.concat_ws("\n", F.lit("OFF"), F.format_string("%d %d 0", "nv", "nf"), "v", "f")
     return v.join(f, "object_id").select("object_id", F.regexp_replace(text, "\n", line).alias("text"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import TRIANGLE
+from ..storage import exchanged
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +40,10 @@ def read_obj(spark: SparkSession, path: str) -> DataFrame:
     v, f, o = F.col("value").startswith("v "), F.col("value").startswith("f "), F.col("value").rlike("^[og] ")
     rows = _running(_lines(spark, path).where(v | f | o), {"nv": v, "nf": f, "no": o})
     parts = F.split(F.trim("value"), r"\s+")
-    points = rows.where(v).select("file", F.col("nv").alias("vno"), *[F.element_at(parts, i + 2).cast("double").alias(c) for i, c in enumerate("xyz")])
+    points = exchanged(rows).where(v).select("file", F.col("nv").alias("vno"), *[F.element_at(parts, i + 2).cast("double").alias(c) for i, c in enumerate("xyz")])
     index = lambda t: F.split(t, "/")[0].cast("long")
     ring = F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda t: F.when(index(t) < 0, F.col("nv") + 1 + index(t)).otherwise(index(t)))
-    faces = rows.where(f).select("file", "no", "nf", ring.alias("ring"))
+    faces = exchanged(rows).where(f).select("file", "no", "nf", ring.alias("ring"))
     corners = faces.where(F.size("ring") == 3)
     for i, c in enumerate("abc"):
         corners = corners.withColumn("vno", F.get("ring", F.lit(i))).join(points.select("file", "vno", *[F.col(x).alias(f"{c}{x}") for x in "xyz"]), ["file", "vno"], "left").drop("vno")
@@ -50,7 +51,7 @@ def read_obj(spark: SparkSession, path: str) -> DataFrame:
     given = faces.groupBy("file", "no").agg(F.count("*").alias("all"))
     kept = whole.join(given, ["file", "no"]).where((F.col("n") == F.col("all")) & F.col("found")).select("file", "no", "first")
     ids = kept.withColumn("object_id", _dense(kept, "no"))
-    return corners.join(ids, ["file", "no"]).select("object_id", (F.col("nf") - F.col("first")).alias("tri_id"), *TRIANGLE)
+    return exchanged(corners).join(ids, ["file", "no"]).select("object_id", (F.col("nf") - F.col("first")).alias("tri_id"), *TRIANGLE)
 
 
 def _dense(kept: DataFrame, order: str) -> Column:
@@ -72,7 +73,7 @@ def parse_off(text: Column) -> tuple[Column, Column]:
 def off_tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(object_id, vertex_id, x, y, z) and (object_id, face_id, ring) of (object_id, text) rows with OFF text."""
     vertices, rings = parse_off(F.col("text"))
-    points = texts.select("object_id", F.posexplode(vertices).alias("vertex_id", "v")).select("object_id", F.col("vertex_id").cast("long").alias("vertex_id"), "v.*")
+    points = texts.select("object_id", F.posexplode(vertices).alias("vertex_id", "v")).select("object_id", F.col("vertex_id").cast("long").alias("vertex_id"), "v.*").transform(exchanged)
     faces = texts.select("object_id", F.posexplode(rings).alias("face_id", "ring")).select("object_id", F.col("face_id").cast("long").alias("face_id"), "ring")
     return points, faces
 

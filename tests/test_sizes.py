@@ -1,10 +1,38 @@
 """What only shows at size: large estimates, and plans that must not send large tables through the driver."""
 
-from meshloom import plans
+import re
+
+import pytest
+from pyspark.sql.readwriter import DataFrameWriter
+
+from meshloom import plans, sources
 from meshloom.operators import estimate as es
+from meshloom.operators import grid, joins
 
 
 def test_slots_of_a_large_estimate(spark, sf, monkeypatch):
     monkeypatch.setattr(es, "estimate_pairs", lambda *_: spark.sql("SELECT 2566540078L AS estimated_pairs"))
     assert tuple(plans.QUERIES["estimate_only"](spark, sf).first()) == (2566540078, 5133080157)
     assert es.hash_table_size(2566540078) == (1 << 31) | 1
+
+
+#: Queries over exploded tables, which the optimizer takes for small.
+EXPLODED = "anti_lookup box_contains_box box_contains_point containment_join edge_check edge_hit_count edge_multi_hit hash_contention_stats hausdorff hausdorff_global intersection_join join_lods octree_query_within overlap_join pair_compact pair_dedup_hash pair_unpack sink_pairs_csv tile_join_intersect tile_self_join voxel_pair_candidates voxelize".split()
+
+
+@pytest.mark.parametrize("name", EXPLODED)
+def test_nothing_is_broadcast_uncounted(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(grid, "SENT_ROWS", -1)  # no table counts as small
+    monkeypatch.setattr(joins, "SENT_BYTES", -1)
+    found, write = [], DataFrameWriter.parquet
+    told = lambda df: found.extend(re.findall(r"Broadcast(?:Hash|NestedLoop)Join.*", df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *args, **options: (told(self._df), write(self, *args, **options))[1])
+    told(plans.QUERIES[name](spark, sf))
+    assert not found
+
+
+def test_reading_obj_broadcasts_only_counts_of_splits(spark, tmp_path):
+    (tmp_path / "a.obj").write_text("o a\nv 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\n")
+    rows = sources.read_obj(spark, str(tmp_path / "a.obj"))
+    assert rows.count() == 1
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+)#\d+, (\w+)#", rows._jdf.queryExecution().executedPlan().toString())) == {("file", "split")}
