@@ -20,7 +20,6 @@ neighbours, exactly and in proportion to their number.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -52,10 +51,8 @@ SKETCH = 256
 #: How far the share told by sketches may be below the similarity: six standard errors at 0.8. The whole sets decide.
 SLACK = 0.15
 WIDE_RADIUS = 26
-#: Pairs for each member that a crowded bucket may cost; beyond, it is split by one more key, until ``MOST_KEYS`` are equal.
-MOST_CROSS, MOST_KEYS = 4, 2
-#: Representatives with which members of a bucket that is still crowded then are compared.
-HEADS = 4
+#: Pairs for each member beyond which the members of a crowded bucket are first compared with ``HEADS`` representatives, ``TURNS`` times at most.
+MOST_CROSS, HEADS, TURNS = 4, 4, 2
 
 _LANES = np.array([sum(((byte >> (7 - bit)) & 1) << (8 * bit) for bit in range(8)) for byte in range(256)], dtype="<u8")
 
@@ -351,38 +348,38 @@ def _paired(members: DataFrame, at: list[str]) -> DataFrame:
     return u.join(v, at).where("root_u <> root_v AND (root_v = main OR u > v)").select("u", "v")
 
 
-def _headed(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of every member of a bucket and ``HEADS`` representatives that are in other classes: in proportion to the members."""
-    heads = members.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("bucket", "node", F.lit(i)), "node", "root")).alias(f"h{i}") for i in range(HEADS)])
+def _headed(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of every member of a bucket and ``HEADS`` representatives, others in every turn, that are in other classes: in proportion to the members."""
+    heads = members.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("bucket", "node", F.lit(turn * HEADS + i)), "node", "root")).alias(f"h{i}") for i in range(HEADS)])
     heads = heads.select("bucket", F.explode(F.array(*[F.struct(F.col(f"h{i}.node"), F.col(f"h{i}.root")) for i in range(HEADS)])).alias("h"))
     return members.join(heads.select("bucket", F.col("h.node").alias("v"), F.col("h.root").alias("of")).distinct(), "bucket").where("root <> of").select(F.col("node").alias("u"), "v")
 
 
-def _rest(rows: DataFrame, crowded: DataFrame, roots: DataFrame) -> list[DataFrame]:
-    """Pairs (u, v) of members of crowded buckets that are in different classes so far.
+def _open(crowded: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, node, root) of crowded buckets, and the buckets with more than one class: members, the largest root and whether pairs between classes are many."""
+    named = crowded.select(F.xxhash64("way", "key").alias("bucket"), "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = written(named, "open")
+    size = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    size = size.where("same < n * n").withColumn("dear", (F.col("n") * F.col("n") - F.col("same")) / 2 > MOST_CROSS * F.col("n"))
+    return named, written(size.select("bucket", "main", "dear"), "crowds")
 
-    A bucket with one class left is done. Where the pairs between classes are too
-    many, members are dealt to smaller buckets by one more key each; what is still
-    crowded with ``MOST_KEYS`` keys in common is compared with representatives.
-    No step makes more than a fixed number of rows for each member.
+
+def _rest(table: DataFrame, crowded: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """The links with those of crowded buckets: all pairs of members that are in different classes by then are decided.
+
+    Where these pairs are many, members are first compared with representatives,
+    which joins most classes and costs a fixed number of rows for each member. What
+    is still apart then is paired off whole, however much that is.
     """
-    named = crowded.select("way", F.xxhash64("way", "key").alias("bucket"), "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = []
-    for keys in range(1, MOST_KEYS + 1):
-        named = written(named, "open")
-        size = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "root"))["root"].alias("main"))
-        size = written(size.where("same < n * n").withColumn("cross", (F.col("n") * F.col("n") - F.col("same")) / 2), "crowds")
-        cheap = F.col("cross") <= MOST_CROSS * F.col("n")
-        found.append(_paired(named.join(size.where(cheap), "bucket"), ["bucket"]))
-        dear = size.where(~cheap).select("bucket")
+    for turn in range(TURNS):
+        named, size = _open(crowded, components(links))
+        dear = size.where("dear").select("bucket")
         if dear.isEmpty():
             break
-        if keys == MOST_KEYS:
-            found.append(_headed(named.join(dear, "bucket")))
-            break
-        further = rows.select("node", F.col("way").alias("next"), "key")
-        named = named.join(dear, "bucket").join(further, "node").where("next > way").select(F.col("next").alias("way"), F.xxhash64("bucket", "next", "key").alias("bucket"), "node", "root")
-    return found
+        links = links.unionByName(_decided(table, _headed(named.join(dear, "bucket"), turn), similarity))
+    else:
+        named, size = _open(crowded, components(links))
+    return links if size.isEmpty() else links.unionByName(_decided(table, _paired(named.join(size, "bucket"), ["bucket"]), similarity))
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -392,8 +389,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     fingerprints is equal. Small buckets are paired off. Each member of a crowded
     one is first compared with two representatives, one chosen anew for every key and
     one that shares the most keys with others; members that are then still in
-    different classes are compared with each other, in buckets split by further keys
-    (what no key splits, with representatives only). The pivot table of the fingerprints discards
+    different classes are all compared with each other, after further representatives
+    where they are many. The pivot table of the fingerprints discards
     first, then the Hamming distance, then sketches; the whole sets decide. A null
     or blank text is alike only to the others.
     """
@@ -410,8 +407,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     middle = crowded.select("way", "key", "node").join(weight, "node").groupBy("way", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("v"))
     headed = crowded.select("node", "v").unionByName(crowded.select("way", "key", "node").join(middle, ["way", "key"]).select("node", "v"))
     first = _decided(table, pairs.unionByName(headed.where("node <> v").select(F.col("node").alias("u"), "v")), similarity)
-    more = crowded.isEmpty() and [] or _rest(rows, crowded, components(first))
-    links = first if not more else first.unionByName(_decided(table, reduce(DataFrame.unionByName, more), similarity))
+    links = first if crowded.isEmpty() else _rest(table, crowded, first, similarity)
     return classes(table.select(key, "node"), key, components(links))
 
 

@@ -163,3 +163,12 @@ def test_repeated_lines_do_not_hide_copies(spark):
         texts |= {2 * pair: " ".join(words + line), 2 * pair + 1: " ".join(words + line * 20)}
     got = simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in texts}
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """Sixty members of one bucket that share no other key, each alike to one other."""
+    alike = lambda table, pairs, similarity: pairs.selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct().where("u - v = 30")
+    monkeypatch.setattr(simhash, "_decided", alike)
+    crowded = spark.range(60).selectExpr("0 AS way", "7L AS key", "id AS node")
+    found = simhash._rest(None, crowded, spark.createDataFrame([], "u long, v long"), 0.8)
+    assert {(r["u"], r["v"]) for r in found.collect()} == {(n + 30, n) for n in range(30)}
