@@ -63,6 +63,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
             yield from run(small_batches(batches))
         finally:
             gc.collect()
+            pa.default_memory_pool().release_unused()  # Arrow's own allocator keeps the batches' memory otherwise
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
             except (OSError, AttributeError):

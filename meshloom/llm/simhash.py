@@ -301,7 +301,7 @@ def _told_alike(pairs: DataFrame, similarity: float) -> DataFrame:
                 keep.append(len(both) and np.count_nonzero(both <= union[-1]) >= (similarity - SLACK) * len(union))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array([bool(k) for k in keep], pa.bool_()))
 
-    return pairs.select("u", "v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "sketch_u", "sketch_v").mapInArrow(released(run), "u long, v long")
 
 
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
