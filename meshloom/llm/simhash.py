@@ -19,7 +19,8 @@ neighbours, exactly and in proportion to their number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -51,8 +52,10 @@ SKETCH = 256
 #: How far the share told by sketches may be below the similarity: six standard errors at 0.8. The whole sets decide.
 SLACK = 0.15
 WIDE_RADIUS = 26
-#: Pairs for each member beyond which the members of a crowded bucket are first compared with ``HEADS`` representatives, ``TURNS`` times at most.
-MOST_CROSS, HEADS, TURNS = 4, 4, 2
+#: Members of a crowded bucket that are compared with as many others by one call: most rows of a group are twice that.
+BLOCK = 512
+#: Pairs of a block from which shared shingles are counted by products of matrices, of so many columns at a time.
+DENSE, COLUMNS = 200, 8192
 
 _LANES = np.array([sum(((byte >> (7 - bit)) & 1) << (8 * bit) for bit in range(8)) for byte in range(256)], dtype="<u8")
 
@@ -262,12 +265,16 @@ def _sketch(h: np.ndarray) -> tuple[list[int], bytes]:
     return keys.view(np.int64).tolist(), np.unique((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32))[:SKETCH].astype(np.uint32).tobytes()
 
 
+def _node(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()), SEED))
+
+
 def _set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, node, fp, keys, sketch, hashes) of every row with a word; node is XXH64 of the lower-cased words.
+    """(key, node, fp, keys, sketch) of every row; node is XXH64 of the lower-cased words.
 
-    The fingerprint is that of the distinct shingles, as the similarity is; hashes are all of them in order.
+    The fingerprint is that of the distinct shingles, as the similarity is.
     """
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,16 +283,52 @@ def _set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 sets = [np.unique(shingles(x, width).view(">u8")[:, 0].astype(np.uint64)) for x in texts]
                 made = [_sketch(s) if len(s) else ([], b"") for s in sets]
-                node = [_signed(xxhash.xxh64_intdigest(b" ".join(x.encode().lower().split()), SEED)) for x in texts]
+                node = [_node(x) for x in texts]
                 fps = fingerprints([s.astype(">u8").view(np.uint8).reshape(-1, 8) for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(node, pa.int64()), pa.array(fps.view(np.int64)), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["k", "node", "fp", "keys", "sketch", "hashes"],
+                    [part.column(0), pa.array(node, pa.int64()), pa.array(fps.view(np.int64)), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())],
+                    names=["k", "node", "fp", "keys", "sketch"],
                 )
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema).withColumnRenamed("k", key)
 
 
+@dataclass(frozen=True)
+class Sets:
+    """The rows of ``_set_table`` with key ``k``, and the texts (k, t) and the width that they were made of."""
+
+    docs: DataFrame
+    width: int
+    rows: DataFrame
+
+
+def _hashes(table: Sets, ends: DataFrame) -> DataFrame:
+    """(node, hashes) of the nodes ``ends``, written: all shingle hashes of their texts in order, made again, because the sets of all texts are larger than the texts."""
+    width = table.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(0).to_pylist()]
+            sets = [np.unique(shingles(x, width).view(">u8")[:, 0].astype(np.uint64)) for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in texts], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+
+    # any row of a node will do; where others have its key, they are left out after
+    keys = written(table.rows.join(sent_if_small(ends), "node", "left_semi").groupBy("node").agg(F.min("k").alias("_k")).select("_k").distinct(), "wanted")
+    texts = table.docs.join(sent_if_small(keys), F.col("k").eqNullSafe(F.col("_k")), "left_semi").select("t")
+    made = texts.mapInArrow(released(run), "node long, hashes binary")
+    return written(made.join(sent_if_small(ends), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "hashes")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "ends")
+
+
+def _beside(pairs: DataFrame, info: DataFrame, name: str) -> DataFrame:
+    """Pairs with a long column of both nodes."""
+    side = lambda x: info.select(F.col("node").alias(x), F.col(name).alias(f"{name}_{x}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v")
+
+
 def _told_alike(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v, sketch_u, sketch_v) whose sets may be similar by their sketches."""
 
@@ -319,67 +362,124 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "hashes_u", "hashes_v").mapInArrow(released(run), "u long, v long")
 
 
-def _decided(table: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _decided(table: Sets, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes that are similar: fingerprints and sketches discard, the whole sets decide."""
     met = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "met")
-
-    def beside(pairs: DataFrame, name: str) -> DataFrame:
-        # long columns: only the nodes that are left send theirs
-        ends = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "ends")
-        info = written(table.join(sent_if_small(ends), "node", "left_semi").groupBy("node").agg(F.first(name).alias(name)), name)
-        side = lambda x: info.select(F.col("node").alias(x), F.col(name).alias(f"{name}_{x}"))
-        return pairs.join(side("u"), "u").join(side("v"), "v")
-
     packed = range(PIVOTS // PACKED)
-    placed = table.groupBy("node").agg(F.first("fp").alias("fp"))
+    placed = table.rows.groupBy("node").agg(F.first("fp").alias("fp"))
     placed = placed.select("node", "fp", *[r.alias(f"r{i}") for i, r in enumerate(pivot_rows(F.col("fp")))])
     side = lambda x: placed.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), *[F.col(f"r{i}").alias(f"r{i}_{x}") for i in packed])
     near = coordinates_near([F.col(f"r{i}_u") for i in packed], [F.col(f"r{i}_v") for i in packed], WIDE_RADIUS) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= WIDE_RADIUS)
     near_pairs = written(met.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "near")
-    told = written(_told_alike(beside(near_pairs, "sketch"), similarity), "told")
-    return written(_alike(beside(told, "hashes"), similarity), "alike")
+    # long columns: only the nodes that are left send theirs
+    sketches = written(table.rows.join(sent_if_small(_ends(near_pairs)), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketch")
+    told = written(_told_alike(_beside(near_pairs, sketches, "sketch"), similarity), "told")
+    return written(_alike(_beside(told, _hashes(table, _ends(told)), "hashes"), similarity), "alike")
 
 
-def _paired(members: DataFrame, at: list[str]) -> DataFrame:
-    """All pairs (u, v) of members of a bucket with different roots; members of its largest root (``main``) are not paired among themselves."""
-    u = members.where("root <> main").select(*at, F.col("node").alias("u"), F.col("root").alias("root_u"))
-    v = members.select(*at, F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("main").alias("main"))
-    # where both are outside the main root, the pair is told once
-    return u.join(v, at).where("root_u <> root_v AND (root_v = main OR u > v)").select("u", "v")
+def _open(crowded: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, node, root) of crowded buckets, and the buckets with more than one class: members, those of the largest root, and that root."""
+    named = crowded.select(F.xxhash64("way", "key").alias("bucket"), "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = written(named, "open")
+    size = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    size = size.where("most.n < n").select("bucket", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.n").alias("mains"), F.col("most.root").alias("main"))
+    return named, written(size, "crowds")
 
 
-def _headed(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v) of every member of a bucket and ``HEADS`` representatives, others in every turn, that are in other classes: in proportion to the members."""
-    heads = members.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("bucket", "node", F.lit(turn * HEADS + i)), "node", "root")).alias(f"h{i}") for i in range(HEADS)])
-    heads = heads.select("bucket", F.explode(F.array(*[F.struct(F.col(f"h{i}.node"), F.col(f"h{i}.root")) for i in range(HEADS)])).alias("h"))
-    return members.join(heads.select("bucket", F.col("h.node").alias("v"), F.col("h.root").alias("of")).distinct(), "bucket").where("root <> of").select(F.col("node").alias("u"), "v")
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (bucket, node, root) with the blocks (bucket, lo, hi) in which parts ``lo`` and ``hi`` of a bucket are compared, and their own ``part``.
 
+    Members of the largest root, which are not compared with each other, have parts
+    of their own: a member is given once for each part of the others.
+    """
+    parts = lambda n: f"cast(ceil({n} / {BLOCK}) AS int)"
+    rows = members.selectExpr("bucket", "node", "root", "root = main AS _main", f"{parts('others')} AS _o", f"{parts('mains')} AS _m")
+    rows = rows.selectExpr("*", "cast(if(_main, _o + pmod(xxhash64(node), _m), pmod(xxhash64(node), _o)) AS int) AS part")
+    rows = rows.selectExpr("bucket", "node", "root", "part", "explode(sequence(0, if(_main, _o, _o + _m) - 1)) AS _with")
+    return rows.selectExpr("bucket", "least(part, _with) AS lo", "greatest(part, _with) AS hi", "part", "node", "root")
+
+
+def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many items the sets of each pair (i, j) have in common."""
+    if len(i) < DENSE:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    left, right = (np.unique(x, return_inverse=True) for x in (at[: len(i)], at[len(i) :]))
+    of = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+    _, item, times = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    often = times > 1  # others are in no two sets
+    column = np.cumsum(often) - 1
+    of, item = of[often[item]], column[item[often[item]]]
+    order = np.argsort(item, kind="stable")
+    of, item = of[order], item[order]
+    both = np.zeros((len(left[0]), len(right[0])), dtype=np.float32)
+    for low in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(item, [low, low + COLUMNS])
+        has = np.zeros((len(used), COLUMNS), dtype=np.float32)
+        has[of[a:b], item[a:b] - low] = 1
+        both += has[left[0]] @ has[right[0]].T
+    return both[left[1], right[1]].astype(np.int64)
+
+
+def _compared(similarity: float):
+    """Of a block (lo, hi, part, node, root, fp, halves): the pairs (u, v) of different roots that may be similar, by the upper halves of all their hashes."""
+
+    def run(block: pa.Table) -> pa.Table:
+        lo, hi = block.column("lo")[0].as_py(), block.column("hi")[0].as_py()
+        part, node, root, fp = (block.column(c).to_numpy() for c in ("part", "node", "root", "fp"))
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in block.column("halves")]
+        size = np.array([len(x) for x in sets])
+        a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        one, two = a[:, None], b[None, :]
+        ok = (root[one] != root[two]) & (np.minimum(size[one], size[two]) >= similarity * np.maximum(size[one], size[two]))
+        ok &= np.bitwise_count(fp.view(np.uint64)[one] ^ fp.view(np.uint64)[two]) <= WIDE_RADIUS
+        i, j = np.nonzero(np.triu(ok, 1) if lo == hi else ok)
+        i, j = a[i], b[j]
+        both = shared(sets, i, j) if len(i) else np.zeros(0, dtype=np.int64)
+        # two hashes with equal halves may count as one
+        keep = both + 1 >= similarity * (size[i] + size[j] - both - 1)
+        u, v = np.maximum(node[i], node[j])[keep], np.minimum(node[i], node[j])[keep]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _halves(hashes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upper = [(np.frombuffer(x.as_buffer(), dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(upper, pa.binary())], names=["node", "halves"])
 
-def _open(crowded: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (bucket, node, root) of crowded buckets, and the buckets with more than one class: members, the largest root and whether pairs between classes are many."""
-    named = crowded.select(F.xxhash64("way", "key").alias("bucket"), "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = written(named, "open")
-    size = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "root"))["root"].alias("main"))
-    size = size.where("same < n * n").withColumn("dear", (F.col("n") * F.col("n") - F.col("same")) / 2 > MOST_CROSS * F.col("n"))
-    return named, written(size.select("bucket", "main", "dear"), "crowds")
+    return hashes.select("node", "hashes").mapInArrow(released(run), "node long, halves binary")
 
 
-def _rest(table: DataFrame, crowded: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+def _told_in_blocks(table: Sets, members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of members of a bucket with different roots that may be similar.
+
+    Pairs are made and discarded within a task, from the sets themselves: rows are
+    exchanged for members, and come out for the pairs that may be similar.
+    """
+    hashes = _hashes(table, written(members.select("node").distinct(), "ends"))
+    info = _halves(hashes).join(table.rows.groupBy("node").agg(F.first("fp").alias("fp")), "node")
+    blocks = _blocks(members).join(written(info, "halves"), "node")
+    return blocks.groupBy("bucket", "lo", "hi").applyInArrow(_compared(similarity), "u long, v long")
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """All pairs (u, v) of members of a bucket with different roots; members of its largest root (``main``) are not paired among themselves."""
+    u = members.where("root <> main").select("bucket", F.col("node").alias("u"), F.col("root").alias("root_u"))
+    v = members.select("bucket", F.col("node").alias("v"), F.col("root").alias("root_v"), "main")
+    # where both are outside the main root, the pair is told once
+    return u.join(v, "bucket").where("root_u <> root_v AND (root_v = main OR u > v)").select("u", "v")
+
+
+def _rest(table: Sets, crowded: DataFrame, links: DataFrame, similarity: float, told: Callable[[DataFrame], DataFrame] = _paired) -> DataFrame:
     """The links with those of crowded buckets: all pairs of members that are in different classes by then are decided.
 
-    Where these pairs are many, members are first compared with representatives,
-    which joins most classes and costs a fixed number of rows for each member. What
-    is still apart then is paired off whole, however much that is.
+    ``told`` gives the pairs of members (bucket, node, root, main) that may be similar; by default all of them, each a row.
     """
-    for turn in range(TURNS):
-        named, size = _open(crowded, components(links))
-        dear = size.where("dear").select("bucket")
-        if dear.isEmpty():
-            break
-        links = links.unionByName(_decided(table, _headed(named.join(dear, "bucket"), turn), similarity))
-    else:
-        named, size = _open(crowded, components(links))
-    return links if size.isEmpty() else links.unionByName(_decided(table, _paired(named.join(size, "bucket"), ["bucket"]), similarity))
+    named, size = _open(crowded, components(links))
+    return links if size.isEmpty() else links.unionByName(_decided(table, told(named.join(size, "bucket")), similarity))
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -389,13 +489,14 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     fingerprints is equal. Small buckets are paired off. Each member of a crowded
     one is first compared with two representatives, one chosen anew for every key and
     one that shares the most keys with others; members that are then still in
-    different classes are all compared with each other, after further representatives
-    where they are many. The pivot table of the fingerprints discards
-    first, then the Hamming distance, then sketches; the whole sets decide. A null
-    or blank text is alike only to the others.
+    different classes are all compared with each other, in blocks. The pivot table of
+    the fingerprints discards first, then the Hamming distance, then sketches (in
+    blocks, the Hamming distance and the sizes); the whole sets decide. A null or
+    blank text is alike only to the others.
     """
-    table = written(_set_table(docs, key, text, width), "sets")
-    nodes = table.groupBy("node").agg(F.first("keys").alias("keys"))
+    docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    table = Sets(docs, width, written(_set_table(docs, "k", "t", width), "sets"))
+    nodes = table.rows.groupBy("node").agg(F.first("keys").alias("keys"))
     rows = written(nodes.select("node", F.posexplode("keys").alias("way", "key")), "keys")
     order = F.struct(F.xxhash64("node", "way"), F.col("node"))
     heads = rows.groupBy("way", "key").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("way", "key", "n", F.col("head.node").alias("v"))
@@ -407,8 +508,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     middle = crowded.select("way", "key", "node").join(weight, "node").groupBy("way", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("v"))
     headed = crowded.select("node", "v").unionByName(crowded.select("way", "key", "node").join(middle, ["way", "key"]).select("node", "v"))
     first = _decided(table, pairs.unionByName(headed.where("node <> v").select(F.col("node").alias("u"), "v")), similarity)
-    links = first if crowded.isEmpty() else _rest(table, crowded, first, similarity)
-    return classes(table.select(key, "node"), key, components(links))
+    links = first if crowded.isEmpty() else _rest(table, crowded, first, similarity, lambda members: _told_in_blocks(table, members, similarity))
+    return classes(table.rows.select(F.col("k").alias(key), "node"), key, components(links))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

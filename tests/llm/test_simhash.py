@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -172,3 +173,35 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     crowded = spark.range(60).selectExpr("0 AS way", "7L AS key", "id AS node")
     found = simhash._rest(None, crowded, spark.createDataFrame([], "u long, v long"), 0.8)
     assert {(r["u"], r["v"]) for r in found.collect()} == {(n + 30, n) for n in range(30)}
+
+
+def test_crowded_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """A hundred texts that share half their words, each alike to one other, in blocks of seven; no pair of a bucket is a row."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr(simhash, "DENSE", 5)
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
+    monkeypatch.setattr(simhash, "_paired", None)
+    rng, sizes = random.Random(24), []
+    compared = simhash._blocks
+    monkeypatch.setattr(simhash, "_blocks", lambda members: (sizes.append(compared(members).groupBy("bucket", "lo", "hi").count().agg({"count": "max"}).first()[0]), compared(members))[1])
+    common = [f"c{n}" for n in range(120)]
+    texts = {}
+    for n in range(50):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        texts |= {n: " ".join(common + own), n + 50: " ".join(common + own[:60] + [f"v{rng.randrange(10**6)}" for _ in range(12)])}
+    want = alike_classes(texts)
+    assert len(set(want.values())) == 50
+    got = simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert sizes and 7 < sizes[0] < 50
+
+
+def test_shared_items_by_products(monkeypatch):
+    rng = random.Random(25)
+    sets = [np.array(sorted(rng.sample(range(400), rng.randrange(1, 200))), dtype=np.uint32) for _ in range(30)]
+    i, j = np.array([(a, b) for a in range(0, 30, 2) for b in range(1, 30, 3) if a != b]).T
+    want = [len({*sets[a].tolist()} & {*sets[b].tolist()}) for a, b in zip(i, j, strict=True)]
+    assert simhash.shared(sets, i, j).tolist() == want
+    monkeypatch.setattr(simhash, "DENSE", 1)
+    monkeypatch.setattr(simhash, "COLUMNS", 37)
+    assert simhash.shared(sets, i, j).tolist() == want
