@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EDGE, TRIANGLE
+from ..storage import written
 
 #: Fixed values of the layout: magic, newest version, header, grid cell.
 MAGIC, VERSION = 0x52334442, 4
@@ -114,26 +116,77 @@ def require_edges(read: Preprocessed) -> Preprocessed:
     return read
 
 
+#: Rows of a piece of a file, about: pieces are cut between objects.
+PIECE_ROWS = 50_000
+
+
+def _in_pieces(rows: DataFrame, keys: list[str], made: Callable[[pd.DataFrame], list[tuple[int, int, bytes]]]) -> DataFrame:
+    """(section, piece, n, content): the sections that each range of the rows, in order of ``keys``, makes; ranges are cut between values of the first key."""
+    parts = max(1, -(-rows.count() // PIECE_ROWS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [pdf for pdf in batches if len(pdf)]
+        if found:
+            piece = TaskContext.get().partitionId()
+            yield pd.DataFrame([(section, piece, n, content) for section, n, content in made(pd.concat(found, ignore_index=True))], columns=["section", "piece", "n", "content"])
+
+    return rows.repartitionByRange(parts, keys[0]).sortWithinPartitions(*keys).mapInPandas(run, "section int, piece int, n long, content binary")
+
+
+def _faces_of(pdf: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+    """Vertices, faces (numbers of the piece's vertices) and objects of triangles in order."""
+    corners = pdf[list(TRIANGLE)].to_numpy().reshape(-1, 3)
+    points, index = np.unique(np.column_stack([np.repeat(pdf.object_id.to_numpy(), 3), corners]), axis=0, return_inverse=True)
+    return [(0, len(points), np.asarray(points[:, 1:], "<f4").tobytes()), (1, len(pdf), np.asarray(index.reshape(-1), "<u4").tobytes()), (2, len(pdf), np.asarray(pdf.object_id, "<i4").tobytes())]
+
+
+def _edges_of(pdf: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+    return [(3, len(pdf), np.asarray(pdf[list(EDGE[:3])], "<f4").tobytes()), (4, len(pdf), np.asarray(pdf[list(EDGE[3:])], "<f4").tobytes()), (5, len(pdf), np.asarray(pdf.object_id, "<i4").tobytes())]
+
+
+def _cells_of(pdf: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+    cells = np.zeros(len(pdf), dtype=CELL)
+    cells["i"] = pdf[["ix", "iy", "iz"]].to_numpy()
+    for c in ("center_count", "touch_count", "avg_size_mean", "vol_ratio"):
+        cells[c] = pdf[c]
+    return [(6, len(pdf), cells.tobytes())]
+
+
 def write_pre(triangles: DataFrame, edges: DataFrame, grid: DataFrame | None, cell_size: float | None, path: str) -> None:
-    """Write one preprocessed file on the driver, which the format needs: its size is that of the dataset."""
-    t = triangles.orderBy("object_id", "tri_id").toPandas()
-    e = edges.orderBy("object_id", "edge_id").toPandas()
-    corners = t[list(TRIANGLE)].to_numpy().reshape(-1, 3)
-    owner = np.repeat(t.object_id.to_numpy(), 3)
-    points, index = np.unique(np.column_stack([owner, corners]), axis=0, return_inverse=True)
-    cells = None
+    """Write one preprocessed file, which the format needs: tasks make its pieces, and one task puts them one behind the other.
+
+    The driver is told how many rows each piece has, and nothing else.
+    """
+    pieces = _in_pieces(triangles, ["object_id", "tri_id"], _faces_of).unionByName(_in_pieces(edges, ["object_id", "edge_id"], _edges_of))
     if grid is not None:
-        g = grid.orderBy("ix", "iy", "iz").toPandas()
-        cells = np.zeros(len(g), dtype=CELL)
-        cells["i"] = g[["ix", "iy", "iz"]].to_numpy()
-        for c in ("center_count", "touch_count", "avg_size_mean", "vol_ratio"):
-            cells[c] = g[c]
-    raw = pack(points[:, 1:], index.reshape(-1, 3), t.object_id.to_numpy(), e[list(EDGE[:3])].to_numpy(), e[list(EDGE[3:])].to_numpy(), e.object_id.to_numpy(), cell_size if grid is not None else None, cells)
-    import pyarrow.fs as pafs
-
-    store, where = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    with store.open_output_stream(where) as out:
-        out.write(raw)
+        pieces = pieces.unionByName(_in_pieces(grid, ["ix", "iy", "iz"], _cells_of))
+    # a union numbers its partitions through: the order stays
+    pieces = written(pieces, "pieces")
+    total = {r["section"]: r["n"] for r in pieces.groupBy("section").agg(F.sum("n").alias("n")).collect()}
+    n = [total.get(k, 0) for k in range(7)]
+    head = HEADER.pack(MAGIC, VERSION, n[0], n[1], n[2], n[3], n[1], grid is not None, n[3] > 0)
+    ahead = [(-1, 0, 0, bytearray(head))] + ([(6, -1, 0, bytearray(struct.pack("<fI", cell_size, n[6])))] if grid is not None else [])
+    pieces = pieces.unionByName(pieces.sparkSession.createDataFrame(ahead, pieces.schema))
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        store, where = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        own = f"{where}.{TaskContext.get().taskAttemptId()}"
+        first, at = [], 0  # the number of vertices before each piece
+        with store.open_output_stream(own) as out:
+            for pdf in batches:
+                for section, count, content in zip(pdf.section, pdf.n, pdf.content, strict=True):
+                    if section == 0:
+                        first.append(sum(first[-1:]) + at)
+                        at = count
+                    elif section == 1:
+                        content = (np.frombuffer(content, "<u4") + np.uint32(first.pop(0))).astype("<u4").tobytes()
+                    out.write(content)
+        store.move(own, where)
+        yield pd.DataFrame({"done": [True]})
+
+    pieces.repartition(1).sortWithinPartitions("section", "piece").mapInPandas(put, "done boolean").collect()
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
