@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,15 @@ from ..functions.kernels import point_tri_distance
 from ..schema import BOX, TRIANGLE
 from ..storage import exchanged
 from .clusters import clustered, clustered_points, near_clusters
-from .mesh import objects
+from .mesh import Mesh, objects
 
 
-def sample_points(triangles: DataFrame, n: int) -> DataFrame:
-    """Corners and a regular grid of n steps a side on every triangle: (object_id, tri_id, x, y, z)."""
+def sample_points(triangles: DataFrame, n: int, kept: Sequence[str] = ()) -> DataFrame:
+    """Corners and a regular grid of n steps a side on every triangle: (object_id, tri_id, x, y, z), and the columns ``kept`` of the triangles."""
     grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n) - i), lambda j: F.struct((i / F.lit(float(n))).alias("u"), (j / F.lit(float(n))).alias("v")))))
     rows = exchanged(triangles.withColumn("_uv", F.explode(grid)))
     point = lambda c: F.col(f"a{c}") + F.col("_uv.u") * (F.col(f"b{c}") - F.col(f"a{c}")) + F.col("_uv.v") * (F.col(f"c{c}") - F.col(f"a{c}"))
-    return rows.select("object_id", "tri_id", *[point(c).alias(c) for c in "xyz"])
+    return rows.select("object_id", "tri_id", *[point(c).alias(c) for c in "xyz"], *kept)
 
 
 def sampling_gap(triangles: DataFrame, rate: float = 30.0) -> DataFrame:
@@ -115,7 +117,21 @@ def voxels_by_seed(triangles: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def voxelize(samples: DataFrame, boxes: DataFrame, steps: int) -> DataFrame:
     """The occupied cells of a grid of ``steps`` a side over each object's box, by its sampled points."""
-    rows = samples.join(boxes.select("object_id", *BOX), "object_id")
+    return _cells(samples.join(boxes.select("object_id", *BOX), "object_id"), steps)
+
+
+def voxelize_mesh(mesh: Mesh, n: int, steps: int) -> DataFrame:
+    """``voxelize`` of the samples of a mesh, n steps a side on every triangle, over its own boxes.
+
+    Triangles get their box before they are sampled, so that samples never leave the
+    task that made them.
+    """
+    own = exchanged(mesh.triangles).join(mesh.objects.select("object_id", *BOX), "object_id")
+    return _cells(sample_points(own, n, BOX), steps)
+
+
+def _cells(rows: DataFrame, steps: int) -> DataFrame:
+    """The occupied cells of points with their object's box."""
     at = lambda i, c: F.least(F.lit(steps - 1), F.floor((F.col(c) - F.col(BOX[i])) / F.nullif(F.col(BOX[i + 3]) - F.col(BOX[i]), F.lit(0.0)) * steps).cast("int"))
     return rows.select("object_id", *[F.greatest(F.coalesce(at(i, c), F.lit(0)), F.lit(0)).alias(f"i{c}") for i, c in enumerate("xyz")]).distinct()
 

@@ -48,14 +48,14 @@ def repeated(sf, tmp_path_factory):
     for name in TABLES:
         key = {"part": "p_partkey", "customer": "c_custkey"}.get(name)
         if key:
-            duckdb.sql(f"COPY (SELECT * REPLACE ({key} + 1000 * i AS {key}) FROM '{sf}/{name}.parquet', range(3) r(i)) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+            duckdb.sql(f"COPY (SELECT * REPLACE ({key} + 7000 * i AS {key}) FROM '{sf}/{name}.parquet', range(3) r(i)) TO '{folder}/{name}.parquet' (FORMAT parquet)")
         else:
             os.symlink(f"{sf}/{name}.parquet", folder / f"{name}.parquet")
     return str(folder)
 
 
 #: Queries of objects, and the operator that sees one object of each shape.
-BY_SHAPE = {"hausdorff": (detail, "facet_hausdorff"), "hausdorff_global": (detail, "facet_hausdorff")}
+BY_SHAPE = {"hausdorff": (detail, "facet_hausdorff"), "hausdorff_global": (detail, "facet_hausdorff"), "voxelize": (detail, "sample_points")}
 
 
 @pytest.mark.parametrize("name", BY_SHAPE)
@@ -63,6 +63,6 @@ def test_copies_are_asked_for_once(spark, repeated, name, monkeypatch):
     module, operator = BY_SHAPE[name]
     asked, told = [], getattr(module, operator)
     tables = lambda args: [x for x in args if hasattr(x, "columns") and "object_id" in x.columns]
-    monkeypatch.setattr(module, operator, lambda *args: (asked.extend(x.select("object_id").distinct().count() for x in tables(args)), told(*args))[1])
+    monkeypatch.setattr(module, operator, lambda *args, **more: (asked.extend(x.select("object_id").distinct().count() for x in tables(args)), told(*args, **more))[1])
     assert_same(spark, repeated, plans.QUERIES[name], plans.ORACLES[name])
     assert asked and max(asked) <= 200  # of 600 parts and 450 customers
