@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..storage import exchanged, written
 from .clusters import clustered
 from .detail import facet_hausdorff
 from .grid import censuses, grid_for, grid_join, is_box, number
-from .joins import box_pairs, cluster_pairs, names_of, sent_if_small, side_box
+from .joins import box_pairs, by_shape, cluster_pairs, names_of, sent_if_small, side_box
 from .mesh import Mesh
 
 
@@ -104,7 +106,8 @@ def progressive_within(a: dict[int, DataFrame], b: dict[int, DataFrame], pairs:
         sides = []
         for levels, side in ((a, "a_object_id"), (b, "b_object_id")):
             wanted = open_.select(F.col(side).alias("object_id")).distinct()
-            here, full = (exchanged(levels[x]).join(wanted, "object_id", "left_semi") for x in (lod, last))
+            # written, because the values look at either table several times: the plan would have its making as often
+            here, full = (written(exchanged(levels[x]).join(wanted, "object_id", "left_semi"), "wanted") for x in (lod, last))
             values = facet_hausdorff(here, full, HAUSDORFF_STEPS).withColumnRenamed("facet", "tri_id")
             sides.append(Mesh(written(exchanged(here).join(values, ["object_id", "tri_id"]), f"level{lod}")))
         ranges = mesh_distance_ranges(*sides, open_)
@@ -117,6 +120,16 @@ def progressive_within(a: dict[int, DataFrame], b: dict[int, DataFrame], pairs:
     return rest if told is None else told.unionByName(rest)
 
 
+def within_by_levels(a: Mesh, b: Mesh, levels: Callable[[DataFrame], dict[int, DataFrame]], reach: float, d: float, cell: float | None = None) -> DataFrame:
+    """``progressive_within`` of all objects whose boxes are at most ``reach`` apart; ``levels`` makes the levels of an object from its triangles alone."""
+
+    def told(a: Mesh, b: Mesh) -> DataFrame:
+        near = box_pairs_within(a.objects, b.objects, reach, cell)
+        return progressive_within(levels(a.triangles), levels(b.triangles), near, d)
+
+    return by_shape(a, b, told)
+
+
 def within(a: Mesh, b: Mesh, d: float, cell: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Pairs whose surfaces are at most ``d`` apart, with their distance. A mesh inside another is as far as its surface.
 

@@ -27,10 +27,8 @@ def _levels(t):
 @query("join_lods", f"WITH {BOXES} SELECT {PAIR}, ({SURFACE} <= 2.0) AS within FROM BA a JOIN BB b ON {GAP} <= 4.0")
 def join_lods(spark, sf_dir):
     """Pairs within 2, decided at the first level whose range of distances can; the last level measures."""
-    a, b = both(spark, sf_dir)
-    near = di.box_pairs_within(a.objects, b.objects, 4.0, CELL).select("a_object_id", "b_object_id")
-    levels = [{lod: t for lod, t in _levels(m.triangles).items() if lod in (60, 100)} for m in (a, b)]
-    return di.progressive_within(*levels, near, D).select("a_object_id", "b_object_id", "within")
+    levels = lambda t: {lod: x for lod, x in _levels(t).items() if lod in (60, 100)}
+    return di.within_by_levels(*both(spark, sf_dir), levels, 4.0, D, CELL).select("a_object_id", "b_object_id", "within")
 
 
 _RAW = ", ".join(f"({lod}, {k}::DOUBLE)" for lod, k in {**SHRINK, 100: 1.0}.items())

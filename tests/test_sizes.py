@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
 from meshloom import plans, sources
-from meshloom.operators import detail, grid, joins
+from meshloom.operators import detail, distance, grid, joins
 from meshloom.operators import estimate as es
 from tests.compare import TABLES, assert_same
 
@@ -55,7 +55,7 @@ def repeated(sf, tmp_path_factory):
 
 
 #: Queries of objects, and the operator that sees one object of each shape.
-BY_SHAPE = {"hausdorff": (detail, "facet_hausdorff"), "hausdorff_global": (detail, "facet_hausdorff"), "voxelize": (detail, "sample_points")}
+BY_SHAPE = {"hausdorff": (detail, "facet_hausdorff"), "hausdorff_global": (detail, "facet_hausdorff"), "voxelize": (detail, "sample_points"), "join_lods": (distance, "facet_hausdorff")}
 
 
 @pytest.mark.parametrize("name", BY_SHAPE)
