@@ -223,13 +223,18 @@ def false_positives(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def voxel_pair_candidates(pairs: DataFrame, va: DataFrame, vb: DataFrame) -> DataFrame:
-    """Voxel pairs of candidate objects with their distance range; those beyond the least upper bound of their objects are pruned."""
-    side = lambda v, s: exchanged(v).select(F.col("object_id").alias(f"{s}_object_id"), F.col("voxel_id").alias(f"{s}_voxel_id"), *[F.col(c).alias(f"{s}v_{c}") for c in BOX])
+    """Voxel pairs of candidate objects with their distance range; those beyond the least upper bound of their objects are pruned.
+
+    An object's voxels come in one row, so that a pair's are told apart where the pair is.
+    """
+    side = lambda v, s: exchanged(v.groupBy(F.col("object_id").alias(f"{s}_object_id")).agg(F.collect_list(F.struct("voxel_id", *BOX)).alias(f"_{s}")))
     rows = pairs.select("a_object_id", "b_object_id").join(side(va, "a"), "a_object_id").join(side(vb, "b"), "b_object_id")
-    x, y = tuple(F.col(f"av_{c}") for c in BOX), tuple(F.col(f"bv_{c}") for c in BOX)
-    rows = rows.withColumn("mindist", g.box_gap(x, y)).withColumn("maxdist", g.box_reach(x, y))
-    least = rows.groupBy("a_object_id", "b_object_id").agg(F.min("maxdist").alias("least"))
-    return rows.join(least, ["a_object_id", "b_object_id"]).where(F.col("mindist") <= F.col("least")).select("a_object_id", "b_object_id", "a_voxel_id", "b_voxel_id", "mindist", "maxdist")
+    box = lambda v: tuple(v[c] for c in BOX)
+    least = F.array_min(F.transform("_a", lambda u: F.array_min(F.transform("_b", lambda v: g.box_reach(box(u), box(v))))))
+    rows = rows.select("a_object_id", "b_object_id", "_b", least.alias("least"), F.explode("_a").alias("u")).select("a_object_id", "b_object_id", "least", "u", F.explode("_b").alias("v"))
+    x, y = box(F.col("u")), box(F.col("v"))
+    rows = rows.select("a_object_id", "b_object_id", F.col("u.voxel_id").alias("a_voxel_id"), F.col("v.voxel_id").alias("b_voxel_id"), "least", g.box_gap(x, y).alias("mindist"), g.box_reach(x, y).alias("maxdist"))
+    return rows.where(F.col("mindist") <= F.col("least")).drop("least")
 
 
 def sort_partition(boxes: DataFrame, cuts: int) -> DataFrame:

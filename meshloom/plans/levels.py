@@ -59,8 +59,16 @@ def _halves(centers):
 
 _HALF = lambda side: f"V{side} AS (SELECT id, v, lx, hx, ly, hy, CASE WHEN v = 0 THEN lz ELSE z END AS lz, CASE WHEN v = 0 THEN z ELSE hz END AS hz FROM B{side}, (SELECT unnest([0, 1]) AS v))"
 _OVER = "sqrt(" + " + ".join(f"power(greatest(a.h{c} - b.l{c}, b.h{c} - a.l{c}), 2)" for c in "xyz") + ")"
+
+
+def _voxel_pairs(a, b):
+    """Of objects told by triangles and voxels; rounded before copies get their rows, of which there may be many more."""
+    pairs = jo.candidates(*[me.Mesh(m.tables[0]) for m in (a, b)], CELL)
+    return rounded(di.voxel_pair_candidates(pairs, a.tables[1], b.tables[1]), 5)
+
+
 query("voxel_pair_candidates", f"WITH {BOXES}, {_HALF('A')}, {_HALF('B')}, C AS (SELECT {PAIR} FROM BA a JOIN BB b ON {MEET}), P AS (SELECT C.*, CAST(a.v AS BIGINT) AS a_voxel_id, CAST(b.v AS BIGINT) AS b_voxel_id, {GAP} AS mindist, {_OVER} AS maxdist FROM C JOIN VA a ON a.id = a_object_id JOIN VB b ON b.id = b_object_id) SELECT a_object_id, b_object_id, a_voxel_id, b_voxel_id, round(mindist, 5) AS mindist, round(maxdist, 5) AS maxdist FROM (SELECT *, min(maxdist) OVER (PARTITION BY a_object_id, b_object_id) AS least FROM P) WHERE mindist <= least")(
-    lambda s, d: rounded(di.voxel_pair_candidates(jo.candidates(*both(s, d), CELL), _halves(centers_a(s, d)), _halves(fx.centers_b(s, d))), 5)
+    lambda s, d: jo.by_shape(*[me.Tables((m.triangles, _halves(centers(s, d)))) for m, centers in zip(both(s, d), (centers_a, fx.centers_b), strict=True)], _voxel_pairs)
 )
 
 # Slices and trees.

@@ -55,7 +55,7 @@ def repeated(sf, tmp_path_factory):
 
 
 #: Queries of objects, and the operator that sees one object of each shape.
-BY_SHAPE = {"hausdorff": (detail, "facet_hausdorff"), "hausdorff_global": (detail, "facet_hausdorff"), "voxelize": (detail, "sample_points"), "join_lods": (distance, "facet_hausdorff")}
+BY_SHAPE = {"hausdorff": (detail, "facet_hausdorff"), "hausdorff_global": (detail, "facet_hausdorff"), "voxelize": (detail, "sample_points"), "join_lods": (distance, "facet_hausdorff"), "voxel_pair_candidates": (distance, "voxel_pair_candidates")}
 
 
 @pytest.mark.parametrize("name", BY_SHAPE)
