@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.kernels import point_tri_distance
 from ..schema import BOX, TRIANGLE
-from ..storage import exchanged
+from ..storage import exchanged, written
 from .clusters import clustered, clustered_points, near_clusters
 from .mesh import Mesh, objects
 
@@ -58,14 +58,36 @@ def hausdorff(samples: DataFrame, triangles: DataFrame) -> DataFrame:
     return _nearest_facet(points, triangles).groupBy("object_id", "facet").agg(F.max("d").alias("hausdorff"))
 
 
-def facet_hausdorff(coarse: DataFrame, original: DataFrame, steps: int = 4, rate: float = 30.0) -> DataFrame:
+def _between(steps: int) -> Column:
+    """How far a place on a triangle can be from its nearest sample: samples cut it into small ones like itself, and a circle through corners of at most so long sides has no larger radius."""
+    a, b, c = g.vec("a"), g.vec("b"), g.vec("c")
+    return F.greatest(*[g.norm(g.sub(u, v)) for u, v in ((a, b), (b, c), (c, a))]) * F.lit((1 + 1e-9) / (steps * 3**0.5))
+
+
+def facet_bounds(coarse: DataFrame, original: DataFrame, steps: int) -> DataFrame:
+    """``facet_hausdorff`` with values that hold whatever the shapes and sizes of the triangles.
+
+    On top of a sample's distance comes what lies between the samples of its own
+    triangle, not of the mean one.
+    """
+    own = coarse.select("object_id", F.col("tri_id").alias("facet"), _between(steps).alias("_more"))
+    one = exchanged(hausdorff(sample_points(coarse, steps), original)).join(exchanged(own), ["object_id", "facet"])
+    back = sample_points(original.withColumn("_more", _between(steps)), steps, ["_more"]).select("object_id", "_more", *[F.col(c).alias(f"p{c}") for c in "xyz"]).distinct()
+    two = _nearest_facet(back, coarse).groupBy("object_id", F.col("near_tri").alias("facet")).agg(F.max(F.col("d") + F.col("_more")).alias("proxy"))
+    return exchanged(one).join(exchanged(two), ["object_id", "facet"], "left").select("object_id", "facet", (F.col("hausdorff") + F.col("_more")).alias("hausdorff"), F.coalesce("proxy", F.lit(0.0)).alias("proxy"))
+
+
+def facet_hausdorff(coarse: DataFrame, original: DataFrame, steps: int = 4, rate: float = 30.0, sure: bool = False) -> DataFrame:
     """(object_id, facet, hausdorff, proxy) of every facet of a coarse level against the original.
 
     ``hausdorff``: the largest distance of the facet's samples to the original.
     ``proxy``: the largest distance of those samples of the original that are nearest
     to this facet; 0, if there are none. Both with the half diagonal of a sample's
-    area, sqrt(gap / 2), on top, which no place between samples exceeds.
+    area, sqrt(gap / 2), on top, which no place between samples of a mean triangle
+    exceeds; ``sure`` gives ``facet_bounds``.
     """
+    if sure:
+        return facet_bounds(coarse, original, steps)
     term = F.sqrt(F.col("gap") / 2)
     gaps = sampling_gap(coarse, rate)
     one = hausdorff(sample_points(coarse, steps), original)
@@ -153,13 +175,17 @@ def progressive_decide(bounds: DataFrame, d: float) -> DataFrame:
     return bounds.withColumn("within", decided).where(F.col("within").isNotNull()).groupBy("a_object_id", "b_object_id").agg(F.min("lod").alias("lod"), F.min_by("within", "lod").alias("within"))
 
 
-def levels_of(triangles: DataFrame, cells: dict[int, float]) -> dict[int, DataFrame]:
-    """Levels of detail by number, 100 the original: vertices are clustered with each level's cell; a level of an object without facets left is that of the next finer one."""
+def levels_of(triangles: DataFrame, cells: dict[int, float], stored: bool = False) -> dict[int, DataFrame]:
+    """Levels of detail by number, 100 the original: vertices are clustered with each level's cell; a level of an object without facets left is that of the next finer one.
+
+    ``stored``: coarse levels are written, so that none is made again for each coarser one.
+    """
+    kept = (lambda df: exchanged(written(df, "level"))) if stored else (lambda df: df)
     out = {100: triangles}
     for lod in sorted(cells, reverse=True):
         finer = out[min(x for x in out if x > lod)]
-        coarse = cluster_simplify(triangles, cells[lod])
-        out[lod] = coarse.unionByName(finer.select("object_id", "tri_id", *TRIANGLE).join(coarse.select("object_id").distinct(), "object_id", "left_anti"))
+        coarse = kept(cluster_simplify(triangles, cells[lod]))
+        out[lod] = kept(coarse.unionByName(finer.select("object_id", "tri_id", *TRIANGLE).join(coarse.select("object_id").distinct(), "object_id", "left_anti")))
     return dict(sorted(out.items()))
 
 

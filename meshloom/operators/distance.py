@@ -97,19 +97,17 @@ def progressive_within(a: dict[int, DataFrame], b: dict[int, DataFrame], pairs:
     ``a`` and ``b`` have the triangles of the same levels, the last of which is the
     original. A level tells a range of distances from Hausdorff values; pairs whose
     range is on one side of ``d`` leave, and only the others come to the next level.
-    The last level measures what is left.
+    The last level measures what is left. Values are 0 for an object whose level is
+    the original.
     """
     *coarse, last = sorted(a)
     open_, told = written(pairs.select("a_object_id", "b_object_id").distinct(), "open"), None
     key = ["a_object_id", "b_object_id"]
+    valued = _level_values((a, b), open_) if coarse else None
     for lod in coarse:
-        sides = []
-        for levels, side in ((a, "a_object_id"), (b, "b_object_id")):
-            wanted = open_.select(F.col(side).alias("object_id")).distinct()
-            # written, because the values look at either table several times: the plan would have its making as often
-            here, full = (written(exchanged(levels[x]).join(wanted, "object_id", "left_semi"), "wanted") for x in (lod, last))
-            values = facet_hausdorff(here, full, HAUSDORFF_STEPS).withColumnRenamed("facet", "tri_id")
-            sides.append(Mesh(written(exchanged(here).join(values, ["object_id", "tri_id"]), f"level{lod}")))
+        if open_.isEmpty():
+            break
+        sides = [Mesh(exchanged(valued.where(f"side = {n} AND lod = {lod}").drop("side", "lod"))) for n in range(2)]
         ranges = mesh_distance_ranges(*sides, open_)
         decided = F.when(F.col("max_dist") <= d, True).when(F.col("min_dist") > d, False)
         done = written(ranges.select(*key, decided.alias("within"), F.lit(lod).alias("lod")).where("within is not null"), "decided")
@@ -120,12 +118,44 @@ def progressive_within(a: dict[int, DataFrame], b: dict[int, DataFrame], pairs:
     return rest if told is None else told.unionByName(rest)
 
 
+def _level_values(sides: tuple[dict[int, DataFrame], dict[int, DataFrame]], pairs: DataFrame) -> DataFrame:
+    """(side, lod, object_id, tri_id, corners, hausdorff, proxy) of all coarse levels of the objects of the pairs, written: an object is measured against its original once, however many pairs ask."""
+    *coarse, last = sorted(sides[0])
+    here = full = None
+    for n, (levels, name) in enumerate(zip(sides, ("a_object_id", "b_object_id"), strict=True)):
+        wanted = exchanged(written(pairs.select(F.col(name).alias("object_id")).distinct(), "wanted"))
+        mine = lambda t, *more: exchanged(t).join(wanted, "object_id", "left_semi").select(F.lit(n).alias("side"), *more, F.col("object_id").alias("id"), "tri_id", *TRIANGLE)  # noqa: B023, E731
+        for lod in coarse:
+            rows = mine(levels[lod], F.lit(lod).alias("lod"))
+            here = rows if here is None else here.unionByName(rows)
+        full = mine(levels[last]) if full is None else full.unionByName(mine(levels[last]))
+    # written, because the values look at either table several times: the plan would have its making as often
+    here, full = exchanged(written(here, "wanted")), exchanged(written(full, "wanted"))
+    alike = [F.count("*").alias("_n"), *[F.bit_xor(F.xxhash64(F.lit(k), "tri_id", *TRIANGLE)).alias(f"_h{k}") for k in range(2)]]
+    whole = full.groupBy("side", "id").agg(*alike).withColumn("_whole", F.lit(True))
+    same = here.groupBy("side", "lod", "id").agg(*alike).join(whole, ["side", "id", "_n", "_h0", "_h1"], "left")
+    same = exchanged(written(same.select("side", "lod", "id", F.coalesce("_whole", F.lit(False)).alias("same")), "same"))
+    one = F.struct("side", "id").alias("object_id")
+    values = here.join(same.where("same"), ["side", "lod", "id"], "left_semi").select("side", "lod", F.col("id").alias("object_id"), "tri_id", *TRIANGLE, F.lit(0.0).alias("hausdorff"), F.lit(0.0).alias("proxy"))
+    for lod in coarse:
+        changed = same.where(f"NOT same AND lod = {lod}").select("side", "id")
+        level, original = (exchanged(t.join(changed, ["side", "id"], "left_semi").select(one, "tri_id", *TRIANGLE)) for t in (here.where(f"lod = {lod}"), full))
+        found = facet_hausdorff(level, original, HAUSDORFF_STEPS, sure=True).withColumnRenamed("facet", "tri_id")
+        rows = level.join(exchanged(found), ["object_id", "tri_id"])
+        values = values.unionByName(rows.select("object_id.side", F.lit(lod).alias("lod"), F.col("object_id.id").alias("object_id"), "tri_id", *TRIANGLE, "hausdorff", "proxy"))
+    return written(values, "levels")
+
+
 def within_by_levels(a: Mesh, b: Mesh, levels: Callable[[DataFrame], dict[int, DataFrame]], reach: float, d: float, cell: float | None = None) -> DataFrame:
     """``progressive_within`` of all objects whose boxes are at most ``reach`` apart; ``levels`` makes the levels of an object from its triangles alone."""
 
     def told(a: Mesh, b: Mesh) -> DataFrame:
         near = box_pairs_within(a.objects, b.objects, reach, cell)
-        return progressive_within(levels(a.triangles), levels(b.triangles), near, d)
+        # levels of both sides are made together
+        one = lambda m, n: m.triangles.select(F.struct(F.lit(n).alias("side"), F.col("object_id").alias("id")).alias("object_id"), "tri_id", *TRIANGLE)
+        made = levels(exchanged(written(one(a, 0).unionByName(one(b, 1)), "triangles")))
+        mine = lambda n: {lod: t.where(f"object_id.side = {n}").select(F.col("object_id.id").alias("object_id"), "tri_id", *TRIANGLE) for lod, t in made.items()}
+        return progressive_within(mine(0), mine(1), near, d)
 
     return by_shape(a, b, told)
 

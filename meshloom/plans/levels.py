@@ -15,7 +15,10 @@ from .fixtures import BOXES, CELL, GAP, MEET, PAIR, centers_a, cubes_a, cubes_b
 from .more import _folder, _poles
 from .registry import SURFACE, D, both, query, rounded
 
-# Levels of detail: cubes shrunk about their centres stand for the coarse ones.
+#: Cells of the vertex clustering that makes the coarse levels of ``join_lods`` from the meshes.
+CELLS = {20: 16.0, 40: 8.0, 60: 4.0, 80: 2.0}
+
+# Levels of the raw tiles: cubes shrunk about their centres stand for the coarse ones.
 
 SHRINK = {20: 2.0, 40: 1.6, 60: 1.25, 80: 1.1}
 
@@ -26,8 +29,8 @@ def _levels(t):
 
 @query("join_lods", f"WITH {BOXES} SELECT {PAIR}, ({SURFACE} <= 2.0) AS within FROM BA a JOIN BB b ON {GAP} <= 4.0")
 def join_lods(spark, sf_dir):
-    """Pairs within 2, decided at the first level whose range of distances can; the last level measures."""
-    levels = lambda t: {lod: x for lod, x in _levels(t).items() if lod in (60, 100)}
+    """Pairs within 2, decided at the first of the levels 20, 40, 60, 80 and 100 whose range of distances can; the last level measures."""
+    levels = lambda t: de.levels_of(t, CELLS, stored=True)
     return di.within_by_levels(*both(spark, sf_dir), levels, 4.0, D, CELL).select("a_object_id", "b_object_id", "within")
 
 
