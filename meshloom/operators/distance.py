@@ -220,6 +220,10 @@ def self_join(mesh: Mesh, join, **options) -> DataFrame:
 
 def face_join(a: Mesh, b: Mesh, cell: float | None = None) -> DataFrame:
     """Pairs of objects of which some triangles meet, borders and coplanar faces included."""
+    return by_shape(a, b, lambda a, b: _face_join(a, b, cell))
+
+
+def _face_join(a: Mesh, b: Mesh, cell: float | None) -> DataFrame:
     box = lambda s: [f"{f}({', '.join(f'{s}{v}{c}' for v in 'abc')})" for f in ("least", "greatest") for c in "xyz"]
     meet = lambda x, y: " AND ".join(f"{x[i]} <= {y[i + 3]} AND {y[i]} <= {x[i + 3]}" for i in range(3))
     size = lambda m: m.census["cluster"].weight

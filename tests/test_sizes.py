@@ -76,3 +76,10 @@ def test_triangles_are_made_once_for_a_plan(spark, sf, repeated, name, monkeypat
     for folder in (sf, repeated):
         told(plans.QUERIES[name](spark, folder))
     assert max(found) == 1
+
+
+def test_a_self_join_asks_for_copies_once(spark, repeated, monkeypatch):
+    asked, told = [], distance.cluster_pairs
+    monkeypatch.setattr(distance, "cluster_pairs", lambda a, b, cell: (asked.extend(m.clusters.select("object_id").distinct().count() for m in (a, b)), told(a, b, cell))[1])
+    assert_same(spark, repeated, plans.QUERIES["tile_self_join"], plans.ORACLES["tile_self_join"])
+    assert asked == [150, 150]  # of 450 customers
