@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EDGE, TRIANGLE
-from ..storage import written
+from ..storage import new_folder, written
 
 #: Fixed values of the layout: magic, newest version, header, grid cell.
 MAGIC, VERSION = 0x52334442, 4
@@ -72,26 +73,134 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+#: Rows of a table that are handed over at once.
+BATCH_ROWS = 50_000
+#: Rows of a file that one task reads.
+RANGE_ROWS = 500_000
+
+
+def _opened(path: str):
+    """A file, by a reader that can seek."""
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+    store, where = pafs.FileSystem.from_uri(path)
+    return store.open_input_file(where)
+
+
+def _seekable(path: str) -> bool:
+    import pyarrow.fs as pafs
+
+    try:
+        pafs.FileSystem.from_uri(path if "://" in path else "file:///")
+    except (OSError, ValueError):
+        return False
+    return True
+
+
+class _Sections:
+    """Rows of the sections of a file's bytes, each read where it is asked for. Empty where the magic or version is not known, as in ``unpack``."""
+
+    def __init__(self, file):
+        self.file, size = file, file.size()
+        self.faces = self.edges = 0
+        head = file.read(HEADER.size)
+        if len(head) < HEADER.size:
+            return
+        magic, version, nv, ni, nm, ne, _, _, has_edges = HEADER.unpack(head)
+        if magic != MAGIC or not 1 <= version <= VERSION:
+            return
+        ends = np.cumsum([HEADER.size, 12 * nv, 12 * ni, 4 * nm, 12 * ne, 12 * ne, 4 * ne])
+        self.starts, self.faces = [int(x) for x in ends], ni
+        self.edges = ne if version == VERSION and has_edges else 0
+        if size < ends[6 if self.edges else 3]:
+            raise ValueError("the file is shorter than its header tells")
+
+    def rows(self, section: int, kind: str, width: int, first: int, n: int) -> np.ndarray:
+        self.file.seek(self.starts[section] + 4 * width * first)
+        found = np.frombuffer(self.file.read(4 * width * n), dtype=kind)
+        return found.reshape(n, width) if width > 1 else found
+
+    def before(self, section: int, ids: np.ndarray, first: int) -> np.ndarray:
+        """How many of the rows ahead of ``first`` have each of the ids, which are sorted."""
+        told = np.zeros(len(ids), dtype=np.int64)
+        for at in range(0, first, RANGE_ROWS):
+            rows = self.rows(section, "<i4", 1, at, min(RANGE_ROWS, first - at))
+            place = np.minimum(np.searchsorted(ids, rows), len(ids) - 1)
+            told += np.bincount(place[ids[place] == rows], minlength=len(ids))
+        return told
+
+
+def _numbers(objects: np.ndarray) -> np.ndarray:
+    """The number of each row among those of its object."""
+    order = np.argsort(objects, kind="stable")
+    sorted_ = objects[order]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+    return number
+
+
+def _ranges(files: DataFrame, what: str) -> DataFrame:
+    """(path, first, n): ranges of the rows of each file's faces or edges, dealt to all tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf.path:
+                with _opened(path) as file:
+                    n = getattr(_Sections(file), what)
+                yield pd.DataFrame([(path, at, min(RANGE_ROWS, n - at)) for at in range(0, n, RANGE_ROWS)], columns=["path", "first", "n"])
+
+    return files.select("path").mapInPandas(run, "path string, first long, n long").repartition(files.sparkSession.sparkContext.defaultParallelism)
+
+
+def _range_triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, first, n in zip(pdf.path, pdf["first"], pdf.n, strict=True):
+            with _opened(path) as file:
+                x = _Sections(file)
+                objects = x.rows(2, "<i4", 1, first, n)
+                ids, at = np.unique(objects, return_inverse=True)
+                number = _numbers(objects) + x.before(2, ids, first)[at]
+                for k in range(0, n, BATCH_ROWS):
+                    faces = x.rows(1, "<u4", 3, first + k, min(BATCH_ROWS, n - k)).astype(np.int64)
+                    low = int(faces.min())
+                    flat = x.rows(0, "<f4", 3, low, int(faces.max()) - low + 1)[faces - low].astype(float).reshape(-1, 9)
+                    yield pd.DataFrame({"object_id": objects[k : k + len(faces)].astype(np.int64), "tri_id": number[k : k + len(faces)]} | {c: flat[:, i] for i, c in enumerate(TRIANGLE)})
+
+
+def _range_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, first, n in zip(pdf.path, pdf["first"], pdf.n, strict=True):
+            with _opened(path) as file:
+                x = _Sections(file)
+                for k in range(first, first + n, BATCH_ROWS):
+                    m = min(BATCH_ROWS, first + n - k)
+                    both = np.concatenate([x.rows(section, "<f4", 3, k, m) for section in (3, 4)], axis=1).astype(float)
+                    yield pd.DataFrame({"object_id": x.rows(5, "<i4", 1, k, m).astype(np.int64), "edge_id": np.arange(k, k + m)} | {c: both[:, i] for i, c in enumerate(EDGE)})
+
+
 def read_pre(spark: SparkSession, path: str) -> Preprocessed:
-    """Tables of preprocessed files, each read whole by one task, in batches of rows."""
+    """Tables of preprocessed files, read in ranges of rows by many tasks; in a store that only Spark reads, each file whole by one task."""
 
     def triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for raw in pdf.content:
                 x = unpack(raw)
-                order = np.argsort(x["objects"], kind="stable")
-                sorted_ = x["objects"][order]
-                number = np.empty(len(order), dtype=np.int64)
-                number[order] = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
-                flat = x["vertices"][x["faces"]].reshape(-1, 9)
-                yield pd.DataFrame({"object_id": x["objects"], "tri_id": number} | {c: flat[:, i] for i, c in enumerate(TRIANGLE)})
+                number = _numbers(x["objects"])
+                for at in range(0, len(number), BATCH_ROWS):
+                    part = slice(at, at + BATCH_ROWS)
+                    flat = x["vertices"][x["faces"][part]].astype(float).reshape(-1, 9)
+                    yield pd.DataFrame({"object_id": x["objects"][part].astype(np.int64), "tri_id": number[part]} | {c: flat[:, i] for i, c in enumerate(TRIANGLE)})
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for raw in pdf.content:
                 x = unpack(raw)
-                both = np.concatenate([x["starts"], x["ends"]], axis=1)
-                yield pd.DataFrame({"object_id": x["edge_objects"], "edge_id": np.arange(len(both))} | {c: both[:, i] for i, c in enumerate(EDGE)})
+                for at in range(0, len(x["edge_objects"]), BATCH_ROWS):
+                    part = slice(at, at + BATCH_ROWS)
+                    both = np.concatenate([x["starts"][part], x["ends"][part]], axis=1).astype(float)
+                    yield pd.DataFrame({"object_id": x["edge_objects"][part].astype(np.int64), "edge_id": np.arange(at, at + len(both))} | {c: both[:, i] for i, c in enumerate(EDGE)})
 
     def grid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -102,11 +211,12 @@ def read_pre(spark: SparkSession, path: str) -> Preprocessed:
 
     files = _files(spark, path)
     doubles = lambda names: ", ".join(f"{n} double" for n in names)
-    return Preprocessed(
-        files.mapInPandas(triangles, f"object_id long, tri_id long, {doubles(TRIANGLE)}"),
-        files.mapInPandas(edges, f"object_id long, edge_id long, {doubles(EDGE)}"),
-        files.mapInPandas(grid, "ix long, iy long, iz long, center_count long, touch_count long, avg_size_mean double, vol_ratio double"),
-    )
+    tables = (f"object_id long, tri_id long, {doubles(TRIANGLE)}", f"object_id long, edge_id long, {doubles(EDGE)}")
+    if _seekable(path):
+        first, second = _ranges(files, "faces").mapInPandas(_range_triangles, tables[0]), _ranges(files, "edges").mapInPandas(_range_edges, tables[1])
+    else:
+        first, second = files.mapInPandas(triangles, tables[0]), files.mapInPandas(edges, tables[1])
+    return Preprocessed(first, second, files.mapInPandas(grid, "ix long, iy long, iz long, center_count long, touch_count long, avg_size_mean double, vol_ratio double"))
 
 
 def require_edges(read: Preprocessed) -> Preprocessed:
@@ -120,17 +230,27 @@ def require_edges(read: Preprocessed) -> Preprocessed:
 PIECE_ROWS = 50_000
 
 
-def _in_pieces(rows: DataFrame, keys: list[str], made: Callable[[pd.DataFrame], list[tuple[int, int, bytes]]]) -> DataFrame:
-    """(section, piece, n, content): the sections that each range of the rows, in order of ``keys``, makes; ranges are cut between values of the first key."""
+def _in_pieces(rows: DataFrame, keys: list[str], made: Callable[[pd.DataFrame], list[tuple[int, int, bytes]]], folder: str) -> DataFrame:
+    """(section, piece, n, name): the sections that each range of the rows, in order of ``keys``, makes, in files of these names; ranges are cut between values of the first key."""
+    rows = written(rows, "rows")  # counted, sampled and read: made once
     parts = max(1, -(-rows.count() // PIECE_ROWS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
         found = [pdf for pdf in batches if len(pdf)]
         if found:
-            piece = TaskContext.get().partitionId()
-            yield pd.DataFrame([(section, piece, n, content) for section, n, content in made(pd.concat(found, ignore_index=True))], columns=["section", "piece", "n", "content"])
+            store, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+            store.create_dir(root, recursive=True)
+            told = []
+            for section, n, content in made(pd.concat(found, ignore_index=True)):
+                name = f"{root}/{section}-{uuid.uuid4().hex}"
+                with store.open_output_stream(name) as out:
+                    out.write(content)
+                told.append((section, TaskContext.get().partitionId(), n, name))
+            yield pd.DataFrame(told, columns=["section", "piece", "n", "name"])
 
-    return rows.repartitionByRange(parts, keys[0]).sortWithinPartitions(*keys).mapInPandas(run, "section int, piece int, n long, content binary")
+    return rows.repartitionByRange(parts, keys[0]).sortWithinPartitions(*keys).mapInPandas(run, "section int, piece int, n long, name string")
 
 
 def _faces_of(pdf: pd.DataFrame) -> list[tuple[int, int, bytes]]:
@@ -155,28 +275,37 @@ def _cells_of(pdf: pd.DataFrame) -> list[tuple[int, int, bytes]]:
 def write_pre(triangles: DataFrame, edges: DataFrame, grid: DataFrame | None, cell_size: float | None, path: str) -> None:
     """Write one preprocessed file, which the format needs: tasks make its pieces, and one task puts them one behind the other.
 
-    The driver is told how many rows each piece has, and nothing else.
+    The driver is told how many rows each piece has, and nothing else; pieces are
+    files of their own, of which the last task holds one at a time.
     """
-    pieces = _in_pieces(triangles, ["object_id", "tri_id"], _faces_of).unionByName(_in_pieces(edges, ["object_id", "edge_id"], _edges_of))
+    folder = new_folder(triangles.sparkSession, "sections")
+    pieces = _in_pieces(triangles, ["object_id", "tri_id"], _faces_of, folder).unionByName(_in_pieces(edges, ["object_id", "edge_id"], _edges_of, folder))
     if grid is not None:
-        pieces = pieces.unionByName(_in_pieces(grid, ["ix", "iy", "iz"], _cells_of))
+        pieces = pieces.unionByName(_in_pieces(grid, ["ix", "iy", "iz"], _cells_of, folder))
     # a union numbers its partitions through: the order stays
     pieces = written(pieces, "pieces")
     total = {r["section"]: r["n"] for r in pieces.groupBy("section").agg(F.sum("n").alias("n")).collect()}
     n = [total.get(k, 0) for k in range(7)]
     head = HEADER.pack(MAGIC, VERSION, n[0], n[1], n[2], n[3], n[1], grid is not None, n[3] > 0)
-    ahead = [(-1, 0, 0, bytearray(head))] + ([(6, -1, 0, bytearray(struct.pack("<fI", cell_size, n[6])))] if grid is not None else [])
+    cells = struct.pack("<fI", cell_size, n[6]) if grid is not None else b""
+    ahead = [(-1, 0, 0, ""), (6, -1, 0, "")]
     pieces = pieces.unionByName(pieces.sparkSession.createDataFrame(ahead, pieces.schema))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
 
         store, where = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        source, _ = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         own = f"{where}.{TaskContext.get().taskAttemptId()}"
         first, at = [], 0  # the number of vertices before each piece
         with store.open_output_stream(own) as out:
             for pdf in batches:
-                for section, count, content in zip(pdf.section, pdf.n, pdf.content, strict=True):
+                for section, count, name in zip(pdf.section, pdf.n, pdf.name, strict=True):
+                    if not name:
+                        out.write(head if section < 0 else cells)
+                        continue
+                    with source.open_input_stream(name) as piece:
+                        content = piece.read()
                     if section == 0:
                         first.append(sum(first[-1:]) + at)
                         at = count

@@ -137,3 +137,16 @@ def test_pieces_make_the_same_file(spark, tmp_path, monkeypatch):
     assert (tmp_path / "a.pre").read_bytes() == want
     binary.write_pre(m.triangles.limit(0), m.edges.limit(0), None, None, str(tmp_path / "none.pre"))
     assert (tmp_path / "none.pre").read_bytes() == binary.HEADER.pack(binary.MAGIC, binary.VERSION, 0, 0, 0, 0, 0, False, False)
+
+
+def test_a_preprocessed_file_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "RANGE_ROWS", 5)
+    corners = np.arange(36, dtype=float).reshape(12, 3)
+    faces, of = np.array([[n, (n + 1) % 12, (n + 2) % 12] for n in range(12)]), np.array([1, 2, 3] * 4)
+    (tmp_path / "a.pre").write_bytes(binary.pack(corners, faces, of, corners, corners + 1, of))
+    read = binary.read_pre(spark, str(tmp_path / "a.pre"))
+    rows = {(r.object_id, r.tri_id): (r.ax, r.bx, r.cz) for r in read.triangles.collect()}
+    assert rows == {(n % 3 + 1, n // 3): (3.0 * n, 3.0 * ((n + 1) % 12), 3.0 * ((n + 2) % 12) + 2) for n in range(12)}
+    assert sorted((r.edge_id, r.object_id, r.px, r.qz) for r in read.edges.collect()) == [(n, n % 3 + 1, 3.0 * n, 3.0 * n + 3) for n in range(12)]
+    for table in (read.triangles, read.edges):  # no row holds a file
+        assert "content" not in table._jdf.queryExecution().executedPlan().toString()
