@@ -142,14 +142,17 @@ def _level_values(sides: tuple[dict[int, DataFrame], dict[int, DataFrame]], pair
         level, original = (exchanged(t.join(changed, ["side", "id"], "left_semi").select(one, "tri_id", *TRIANGLE)) for t in (here.where(f"lod = {lod}"), full))
         found = facet_hausdorff(level, original, HAUSDORFF_STEPS, sure=True).withColumnRenamed("facet", "tri_id")
         rows = level.join(exchanged(found), ["object_id", "tri_id"])
-        values = values.unionByName(rows.select("object_id.side", F.lit(lod).alias("lod"), F.col("object_id.id").alias("object_id"), "tri_id", *TRIANGLE, "hausdorff", "proxy"))
-    return written(values, "levels")
+        # each level by itself, so that no plan has all of them
+        values = values.unionByName(written(rows.select("object_id.side", F.lit(lod).alias("lod"), F.col("object_id.id").alias("object_id"), "tri_id", *TRIANGLE, "hausdorff", "proxy"), f"level{lod}"))
+    return values
 
 
 def within_by_levels(a: Mesh, b: Mesh, levels: Callable[[DataFrame], dict[int, DataFrame]], reach: float, d: float, cell: float | None = None) -> DataFrame:
     """``progressive_within`` of all objects whose boxes are at most ``reach`` apart; ``levels`` makes the levels of an object from its triangles alone."""
 
     def told(a: Mesh, b: Mesh) -> DataFrame:
+        # written: the objects of each shape are looked at several times
+        a, b = (Mesh(exchanged(written(m.triangles, "triangles"))) for m in (a, b))
         near = box_pairs_within(a.objects, b.objects, reach, cell)
         # levels of both sides are made together
         one = lambda m, n: m.triangles.select(F.struct(F.lit(n).alias("side"), F.col("object_id").alias("id")).alias("object_id"), "tri_id", *TRIANGLE)
